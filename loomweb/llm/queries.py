@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_counts
+from . import bpe, decontaminate, license_scan, simhash, token_counts, url_filter
 from .shared import table
 
 
@@ -15,10 +15,38 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_matches(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["first"])
+    labels = F.transform("places", lambda p: p["label"])
+    more = F.transform("blocks", lambda b: b["label"])
+    joined = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), ",")
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(labels).alias("base_labels"),
+        joined(F.concat(labels, more)).alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,7 +57,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op8_simhash_near_dedup, op10_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_bpe_encode_decode)}
 
 
 def oracle_sql() -> dict[str, str]:
