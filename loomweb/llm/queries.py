@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, simhash, token_counts, url_filter
+from . import bpe, decontaminate, license_scan, quality, simhash, token_counts, url_filter
 from .shared import table
 
 
@@ -52,12 +52,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    distances = [F.round(c, 6).alias(c) for c in ("class_distance", "common_distance")]
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *distances)
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
 
 
 def oracle_sql() -> dict[str, str]:
