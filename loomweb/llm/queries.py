@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, quality, simhash, token_counts, url_filter
-from .shared import table
+from . import bpe, chat, decontaminate, license_scan, quality, simhash, token_counts, url_filter
+from .shared import table, written
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,6 +38,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    return chat.read_back(written(chat.windows(rows.unionByName(own)), "formatted"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge_urls(table(spark, sf_dir, "pages"))
     return found.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
@@ -63,8 +70,38 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op5_chat_formatting, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
+
+
+OP5_SQL = """
+with probe(conv_id, turn, role, text) as (values
+  (-1::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+r0 as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (
+    select conv_id, turn, role, text from conversations union all select * from probe)),
+e1 as (select *, replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+    '%', '%25'), '<|', '<%7C'), '|>', '%7C>'), '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]'), '<s>', '%3Cs>'), '</s>', '%3C/s>'),
+    '<<SYS>>', '%3C%3CSYS>>'), '<</SYS>>', '%3C%3C/SYS>>') as safe from r0),
+t0 as (select *, length(safe) + length(role) + 17 as chars, cast(ceil((strlen(safe) + strlen(role) + 17) / 4.0) as bigint) as tokens from e1),
+t1 as (select *, row_number() over w - 1 as seq, coalesce(sum(tokens) over (w rows between unbounded preceding and 1 preceding), 0) as before
+  from t0 window w as (partition by conv_id order by turn nulls first, role, text)),
+t as (select *, cast(floor(before / 1024.0) as bigint) as win from t1),
+f as (select conv_id, win, min(seq) as first_seq, min(before) as first_before from t group by all),
+again as (
+  select distinct f.conv_id, f.win, t.seq, t.chars from f join t on t.conv_id is not distinct from f.conv_id and (
+    (t.seq < f.first_seq and t.seq >= f.first_seq - 2 and f.first_before - t.before <= 512)
+    or (t.seq = 0 and t.role = 'system' and f.first_seq > 0))),
+more as (select conv_id, sum(chars) as chars from again group by conv_id),
+sums as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by seq)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by seq) filter (role = 'assistant'), '')) as loss_sha256, sum(chars) as chars
+  from t group by conv_id)
+select s.conv_id, s.n_turns, s.turns_sha256, cast(s.loss_chars as bigint) as loss_chars, s.loss_sha256,
+  cast(s.chars + coalesce(m.chars, 0) as bigint) as formatted_chars
+from sums s left join more m on m.conv_id is not distinct from s.conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": OP5_SQL}
