@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, quality, simhash, token_counts, url_filter
+from . import bpe, chat, decontaminate, license_scan, quality, simhash, token_counts, url_filter, warc
 from .shared import table, written
 
 
@@ -34,6 +34,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -70,7 +75,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op4_token_counts, op5_chat_formatting, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_license_scan, op3_warc, op4_token_counts, op5_chat_formatting, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
 
 
 OP5_SQL = """
@@ -103,5 +108,21 @@ from sums s left join more m on m.conv_id is not distinct from s.conv_id
 """
 
 
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select html, min(page_id) as first_id from p group by html),
+h as (select p.*, f.first_id, sha1(p.html) as hex from p join f using (html)),
+b as (select *, list_reduce(list_transform(string_split(hex, ''), lambda x:
+  ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', x)]),
+  lambda a, c: a || c) as bits from h)
+select page_id, strlen(html)::bigint as payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5),
+    lambda j: (substr(bits, cast(5 * i + j + 1 as bigint), 1)::bigint) << (4 - j)))::bigint, 1)), lambda a, c: a || c) as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL}
+    return {"op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL}
