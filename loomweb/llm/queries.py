@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, quality, simhash, token_counts, url_filter, warc
+from . import bpe, chat, decontaminate, license_scan, quality, simhash, suffix_dedup, token_counts, url_filter, warc
 from .shared import table, written
 
 
@@ -34,6 +34,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,7 +79,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_warc, op4_token_counts, op5_chat_formatting, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_warc, op4_token_counts, op5_chat_formatting, op6_url_filter, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_bpe_encode_decode)}
 
 
 OP5_SQL = """
