@@ -3,21 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomweb.llm import bpe, simhash
+from loomweb.llm import bpe, decontaminate, quality, simhash, suffix_dedup
 from loomweb.llm.queries import tokenizer_file
 from loomweb.llm.shared import table, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that repeat leave the texts; n_chars is that of what is left."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("bpe_encode_decode", tokenize)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_dedup", substring_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("bpe_encode_decode", tokenize),
+]
 ORACLE_SQL = None
 
 

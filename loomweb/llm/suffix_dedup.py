@@ -346,13 +346,19 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes of text_col gone; bytes of a character that was cut in two are dropped as well."""
 
-    @F.pandas_udf("string")
-    def rest(text, found):
-        import pandas as pd
+    place = docs.columns.index(text_col)
 
-        return pd.Series([t if r is None or t is None else drop_runs(t.encode(), r, length)[0].decode(errors="ignore") for t, r in zip(text, found)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                t.as_py() if not (t.is_valid and found) else drop_runs(t.as_buffer().to_pybytes(), found, length)[0].decode(errors="ignore")
+                for t, found in zip(batch.column(place), batch.column(batch.num_columns - 1).to_pylist())
+            ]
+            columns = [*batch.columns[:-1]]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     removals = _removals(docs, id_col, text_col, length)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(removals, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    return joined.select(*[rest(F.col(c), F.col("runs")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.coalesce(docs[text_col], F.lit(""))
+    joined = docs.join(removals, docs[id_col].eqNullSafe(removals["_id"]) & (F.xxhash64(text) == removals["_th"]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], removals["runs"]).mapInArrow(run, docs.schema)
