@@ -132,5 +132,5 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.startswith("#") | (href == ""), base)
         .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
     )
-    bare = F.regexp_replace(F.regexp_replace(whole, "#.*$", ""), "([^/:])/+$", "$1")
+    bare = F.regexp_replace(F.regexp_replace(whole, "#.*$", ""), "^(https?://[^/]+/.*[^/])/+$", "$1")
     return F.when(host(whole) == host(base), bare)

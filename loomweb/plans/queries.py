@@ -203,7 +203,7 @@ def doc_price_spec_markers(spark, sf_dir):
 STATS = [("a", 3, 1, 4, 2, 6, 9, 240), ("b", 0, 0, 0, 1, 0, 30, 19), ("c", 9, 2, 12, 8, 40, 3, 1200)]
 
 
-@query(f"select id, 12*h+18*f+4*l-s as docs, 14*p+w//20-2*k as article, 10*p+2*k-s as listing, 8*p+3*k-4*h as search, 16*p+w//30-3*k as forum from (values {_sql_rows(STATS)}) t(id, h, f, l, p, k, s, w)")
+@query(f"select id, (12*h+18*f+4*l-s)::bigint as docs, (14*p+w//20-2*k)::bigint as article, (10*p+2*k-s)::bigint as listing, (8*p+3*k-4*h)::bigint as search, (16*p+w//30-3*k)::bigint as forum from (values {_sql_rows(STATS)}) t(id, h, f, l, p, k, s, w)")
 def doc_family_adjustment(spark, sf_dir):
     rows = values(spark, "id string, h int, f int, l int, p int, k int, s int, w int", STATS)
     names = dict(headings="h", code_fences="f", list_items="l", paragraphs="p", links="k", short_lines="s", words="w")
@@ -463,7 +463,7 @@ NODES = [("https://a.x/",), ("https://a.x/1",), ("https://a.x/2",), ("https://a.
 VISITS = [("https://a.x/", "https://a.x/", 0, 1), ("https://a.x/", "https://a.x/1", 1, 2), ("https://a.x/", "https://a.x/2", 1, 3), ("https://a.x/", "https://a.x/3", 2, 4)]
 
 
-@query(f"select * from (values {_sql_rows(VISITS)}) t(seed, url, depth, ord)")
+@query(f"select seed, url, depth, ord::bigint as ord from (values {_sql_rows(VISITS)}) t(seed, url, depth, ord)")
 def crawl_bfs_budget(spark, sf_dir):
     links = values(spark, "url string, href string, link_ord int", EDGES)
     return crawl.crawl(values(spark, "seed string", [NODES[0]]), links, values(spark, "url string", NODES), max_depth=2, max_pages=4)
