@@ -34,21 +34,32 @@ VOTE_ROWS = 1 << 15
 #: Groups up to this size are compared in one piece; larger ones are split by free bits.
 DIRECT = 1024
 N_PIVOTS = 16
+#: Least-hash values per text, and how many make a band.  At a similarity of 0.8, all 25 bands differ once in 20,000 pairs.
+SIGNATURE, BAND = 128, 5
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = np.random.default_rng(12).integers(0, 1 << 63, size=SIGNATURE, dtype=np.uint64)
 
 
-def fingerprint(words: list[bytes], shingle_words: int) -> int:
-    """The 64-bit SimHash of the word shingles, repeats included."""
+def shingle_hashes(words: list[bytes], shingle_words: int) -> bytes:
+    """The big-endian 64-bit hashes of the word shingles, one after the other; of all words where there are fewer."""
     import xxhash
 
     if not words:
-        return 0
+        return b""
     text = b" ".join(words)
     n = max(1, len(words) - shingle_words + 1)
     spaces = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
     starts = [0, *(spaces + 1).tolist()]
     ends = [*spaces.tolist(), len(text)]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(text[s:e], SEED) for s, e in zip(starts[:n], ends[min(shingle_words, len(words)) - 1 :])])
+    return b"".join([digest(text[s:e], SEED) for s, e in zip(starts[:n], ends[min(shingle_words, len(words)) - 1 :])])
+
+
+def fingerprint(hashes: bytes) -> int:
+    """The 64-bit SimHash of shingles, repeats included."""
+    n = len(hashes) // 8
+    if not n:
+        return 0
     bits = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(bits), VOTE_ROWS):
@@ -56,20 +67,35 @@ def fingerprint(words: list[bytes], shingle_words: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def signature(hashes: bytes) -> bytes:
+    """16 bits of the least value of each of SIGNATURE hash functions over the shingles: equal ones estimate the sets' similarity."""
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max)
+    values = np.frombuffer(hashes, dtype=">u8").astype(np.uint64)
+    for at in range(0, len(values), 4096):
+        part = values[at : at + 4096] * _FACTORS[:, None] + _TERMS[:, None]
+        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=1))
+    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, signed: bool = False) -> DataFrame:
+    """(id_col, fp): fp is the fingerprint as a signed 64-bit number; where signed, also sig, the text's signature()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_signed(fingerprint((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), shingle_words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
+            fps, sigs = [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), shingle_words)
+                fps.append(_signed(fingerprint(hashes)))
+                sigs.append(signature(hashes) if signed else b"")
+            columns = [batch.column(0), pa.array(fps, pa.int64())] + [pa.array(sigs, pa.binary())] * signed
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "sig"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp bigint" + ", sig binary" * signed).withColumnRenamed("id", id_col)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -199,11 +225,68 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     return dealt.mapInArrow(_link_batches(max_distance, masks), "u bigint, v bigint")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 3) -> DataFrame:
-    """(id_col, fp, component_id): component_id is the smallest id that links reach."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
-    labels = component_labels(links(classes.select("fp"), max_distance))
+def _similar_batches(similarity: float):
+    """Rows (key, fp, sig) sorted by key: a spanning forest of the members whose signatures agree in that share."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        fps = [r[1] for r in rows]
+        table = np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint16).reshape(len(rows), SIGNATURE)
+        i_all, j_all = [], []
+        for s in range(1, len(rows)):
+            near = np.flatnonzero((table[:-s] == table[s:]).sum(axis=1) >= similarity * SIGNATURE)
+            i_all.append(near)
+            j_all.append(near + s)
+        i, j = forest(len(rows), np.concatenate(i_all), np.concatenate(j_all))
+        return [(fps[a], fps[b]) for a, b in zip(i.tolist(), j.tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[0][0]:
+                    out += solve(held) if len(held) > 1 else []
+                    held = []
+                held.append(row)
+            yield _edges(out)
+        yield _edges(solve(held) if len(held) > 1 else [])
+
+    def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): edges between fingerprints of classes(fp, sig) whose texts' estimated set similarity reaches the threshold.
+
+    Texts meet by bands of their signatures.  Keys of one text are dropped before signatures travel."""
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            keys = [[_signed(xxhash.xxh64_intdigest(sig[2 * k : 2 * (k + BAND)], k)) for k in range(0, SIGNATURE - BAND + 1, BAND)] for sig in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
+
+    keyed = written(classes.select("fp", "sig").mapInArrow(bands, "fp bigint, keys array<bigint>").select("fp", F.explode("keys").alias("key")), "bands")
+    shared = written(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")), "shared")
+    met = written(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "fp"), "met")
+    rows = met.join(classes.select("fp", "sig"), "fp").select("key", "fp", "sig")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_batches(similarity), "u bigint, v bigint")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 3, similarity: float | None = None) -> DataFrame:
+    """(id_col, fp, component_id): component_id is the smallest id that links reach.
+
+    With a similarity, texts whose shingle sets are that similar (as 128 least hashes estimate it) are linked as well."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle_words, similarity is not None), "fingerprints")
+    more = [F.min("sig").alias("sig")] if similarity is not None else []
+    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), *more), "classes")
+    edges = links(classes.select("fp"), max_distance)
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(classes, similarity))
+    labels = component_labels(edges)
     named = classes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = written(named, "named")
     lowest = written(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "lowest")
@@ -211,8 +294,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(members, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose id is its component's smallest; of repeated rows with that id, one stays."""
-    found = simhash_components(docs, id_col, text_col, shingle_words, max_distance)
+    found = simhash_components(docs, id_col, text_col, shingle_words, max_distance, similarity)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])

@@ -132,6 +132,21 @@ def test_fingerprint_and_components(spark):
     assert {9, 13} <= set(kept) and 11 not in kept and kept[9]["text"] == base
 
 
+def test_near_copies_link_and_others_stay(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    near = [*base]
+    for at in (50, 150, 250, 350):
+        near[at] = "changed"
+    far = [*base]
+    for at in range(0, 400, 8):
+        far[at] = f"other{at}"
+    clean = [" ".join(f"c{i}" for i in rng.integers(0, 10**6, 200)) for _ in range(20)]
+    frame = docs(spark, [" ".join(base), " ".join(near), " ".join(far), *clean, *ODD[3:]], True)
+    kept = {r["doc_id"] for r in simhash.keep_one(frame).collect()}
+    assert 0 in kept and 1 not in kept and {2, *range(3, 23)} <= kept
+
+
 @pytest.mark.parametrize("direct", [8, 1024])
 def test_links_lose_nothing(direct, monkeypatch):
     monkeypatch.setattr(simhash, "DIRECT", direct)
