@@ -276,3 +276,48 @@ def page_parts(pages: DataFrame) -> DataFrame:
 
     ddl = "page_id bigint, url string, candidates array<struct<ord:int,depth:int,tag:string,hints:string,text:string>>, links array<string>"
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, ddl)
+
+
+POSTS, SCORES = ("post", "comment", "answer", "message"), ("score", "vote-count", "upvote-count")
+
+
+def _classes(node: Node) -> list[str]:
+    return node.attrs.get("class", "").split()
+
+
+def _is_score(node: Node) -> bool:
+    return any(c in SCORES for c in _classes(node)) or node.attrs.get("itemprop") == "upvoteCount"
+
+
+def forum(html: str) -> str:
+    """A thread: its first post, then replies with accepted ones first and by score, equal ones as they came.
+
+    Posts are the elements of the first class that has any with text, else articles.  Only digits and signs of a score count."""
+    nodes = list(walk(parse(html)))
+    for kind in (*POSTS, "article"):
+        found = []
+        for n in nodes:
+            if kind in _classes(n) or kind == "article" and n.tag == "article":
+                texts = [re.sub(r"[^0-9+-]", "", _flat(x)) for x in walk(n) if x is not n and _is_score(x)]
+                score = int(texts[0]) if texts and re.fullmatch(r"[+-]?[0-9]{1,9}", texts[0]) else 0
+                body = Node(n.tag, n.attrs, None)
+                body.children = [c for c in n.children if isinstance(c, str) or not _is_score(c)]
+                if text := clean(_children(body, 0)):
+                    found.append((not any("accepted" in c for c in _classes(n)), -score, text))
+        if found:
+            first, *rest = found
+            parts = [f"### [Score: {-score}]{'' if other else ' (Accepted Answer)'}\n\n{text}" for other, score, text in sorted(rest, key=lambda p: p[:2])]
+            return f"{first[2]}\n\n---\n\n## Answers\n\n" + "".join(p + "\n\n" for p in parts)
+    return ""
+
+
+def decode(raw: bytes, content_type: str | None = None) -> str:
+    """Text of a body: the charset of its content type, of a meta tag in its first 4,096 bytes, or UTF-8; bad bytes are replaced."""
+    named = re.search(r"charset=[\"']?([\w.:-]+)", content_type or "", re.I)
+    meta = re.search(rb"<meta[^>]*charset=[\"']?([\w.:-]+)", raw[:4096], re.I)
+    for label in (named and named[1], meta and meta[1].decode("ascii", "ignore"), "utf-8"):
+        try:
+            return raw.decode(label or "", "replace").removeprefix("﻿")
+        except LookupError:
+            continue
+    return ""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls
 from ..functions import values as V
-from ..operators import candidates, crawl, evaluate, find, formats, html, ranking
+from ..operators import candidates, crawl, evaluate, find, formats, html, platforms, ranking
 from ..sources import adapters
 
 QUERIES: dict = {}
@@ -555,6 +555,30 @@ def batch_normalize(spark, sf_dir):
     return rows.select("id", F.when(raw.rlike("^[a-z]+://"), raw).otherwise(F.concat(F.lit("https://"), raw)).alias("made"))
 
 
+def _tiers(name: str, wanted: list[str], made) -> None:
+    """A query with a row for each density of one platform projection."""
+
+    def run(spark, sf_dir):
+        one = spark.range(1)
+        return one.select(F.inline(F.array(*[F.struct(F.lit(d).alias("density"), made(d).alias("made")) for d in (1, 2, 3)])))
+
+    run.__name__ = name
+    query(f"select * from (values {_sql_rows([(d, w) for d, w in enumerate(wanted, 1)])}) t(density, made)")(run)
+
+
+COMMENTS = ["a", "b", "c"]
+_strings = lambda xs: F.array(*[F.lit(x) for x in xs])
+_tiers("fmt_reddit", ["- [T]", "# T\n\nS\n\n## Comments\n\na\n\n---\n\nb", "# T\n\nS\n\n## Comments\n\na\n\n---\n\nb\n\n---\n\nc"], lambda d: platforms.reddit(F.lit("T"), F.lit("S"), _strings(COMMENTS), d))
+_tiers("fmt_hn", ["- [T]", "# T\n\n## Comments\n\na\n\n---\n\nb\n\n---\n\nc", "# T\n\n## Comments\n\na\n\n---\n\nb\n\n---\n\nc"], lambda d: platforms.hacker_news(F.lit("T"), F.lit(None).cast("string"), _strings(COMMENTS), d))
+_tiers("fmt_arxiv", ["- [T](i)", "# T\n\n## Abstract\n\nx", "# T\n\n**Authors:** A et al.\n**Published:** 2020\n**ArXiv:** i\n\n## Abstract\n\nx"], lambda d: platforms.paper(F.lit("T"), _strings("ABCD"), F.lit("2020"), F.lit("x"), F.lit("i"), d))
+_tiers("fmt_youtube", ["# T\n\n**Channel:** [c](u)\n", "# T\n\n**Channel:** [c](u)\n\n## Transcript Snippet\n\n" + "x" * 500 + "... (truncated)", "# T\n\n**Channel:** [c](u)\n\n## Transcript\n\n" + "x" * 510], lambda d: platforms.video(F.lit("T"), F.lit("c"), F.lit("u"), F.lit("x" * 510), d))
+_ISSUE = "# [#7] T\n**Labels**: l, m\n**Author**: me\n\nB"
+_tiers("fmt_issue", ["- [#7] T [Labels: l, m]\n", _ISSUE, _ISSUE + "\n\n## Comments\n\n### you\nyes\n\n---\n\n"], lambda d: platforms.issue(F.lit(7), F.lit("T"), _strings("lm"), F.lit("me"), F.lit("B"), F.array(F.struct(F.lit("you").alias("login"), F.lit("yes").alias("body"))), d))
+_tiers("fmt_readme", ["# A\n## B", "# A\n```\ncode\n```\n## B\n", "# A\ntext\n```\ncode\n```\n## B"], lambda d: platforms.readme(F.lit("# A\ntext\n```\ncode\n```\n## B"), d))
+_ANSWER = ["### ✅ Accepted Answer [Score: 1]\n\nx\n\n---\n\n", "### [Score: 9]\n\ny\n\n---\n\n"]
+_tiers("fmt_answers", ["# T\n\n## Answers\n\n" + _ANSWER[0], "# T\n\n## Answers\n\n" + "".join(_ANSWER), "# T\n\n## Answers\n\n" + "".join(_ANSWER)], lambda d: platforms.answers(F.lit("T"), F.array(*[F.struct(F.lit(b).alias("body"), F.lit(n).alias("score"), F.lit(k).alias("is_accepted")) for b, n, k in (("x", 1, True), ("y", 9, False))]), d))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -78,3 +78,17 @@ def test_stream_dedup(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, url string").json(str(tmp_path / "in"))
     log.append_log(log.visited_once(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_forum_order():
+    page = """<div class=post><p>ask</p></div><div class="post"><span class=score>3</span><p>low</p></div>
+<div class="post accepted"><span class=score>1</span><p>best</p></div><div class=post><span class=score>1.2k</span><p>high</p></div>"""
+    text = html.forum(page)
+    assert text.index("ask") < text.index("[Score: 1] (Accepted Answer)\n\nbest") < text.index("[Score: 12]\n\nhigh") < text.index("[Score: 3]\n\nlow")
+    assert html.forum("<p>none</p>") == ""
+
+
+def test_charsets():
+    assert html.decode("日本".encode("shift_jis"), "text/html; charset=Shift_JIS") == "日本"
+    assert html.decode(b'<meta charset="latin1">\xe9').endswith("é")
+    assert html.decode(b"\xef\xbb\xbfa\xff", "text/html; charset=nonsense") == "a\ufffd"
