@@ -20,9 +20,9 @@ def base_score(s: dict[str, Column], tag: Column, depth: Column, hints: Column,
     long = s["words"] > 150
     bonus = F.when(tag == "article", 80 + F.when(long, 40).otherwise(0)).when(tag == "main", 60 + F.when(long, 30).otherwise(0))
     bonus = bonus.when(tag == "section", 20).when(tag == "div", 10).when(tag == "table", 80 if tables else 12).when(tag == "body", -40).otherwise(0)
-    said = lambda hint, points: F.when(hints.contains(hint), points).otherwise(0)
+    said = lambda wanted: F.size(F.filter(F.array(*[F.lit(h) for h in wanted]), lambda h: F.contains(hints, h)))
     score = score + bonus + F.when(hints.contains("main-content") | hints.contains("primary-content"), 35).otherwise(0)
-    return reduce(lambda a, b: a + b, [said(h, 24) for h in V.POSITIVE_HINTS] + [said(h, -60) for h in V.NEGATIVE_HINTS], score)
+    return score + 24 * said(V.POSITIVE_HINTS) - 60 * said(V.NEGATIVE_HINTS)
 
 
 def best_candidates(parts: DataFrame, tables: bool = False) -> DataFrame:
