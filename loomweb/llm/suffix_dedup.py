@@ -9,7 +9,8 @@ of strings around equal anchors can match.  A run is one segment of text.
 2. Segments with the same anchor and bytes collapse to one with a count.  With a count of two or
    more, all their strings repeat.  This settles copies however many there are.
 3. The other segments of anchors with several different segments are compared.  Anchors are dealt to
-   tasks, and each task builds the transform of its collection of segments: in every round each segment
+   tasks.  A segment is clipped to what it has in common, on either side of the anchor, with any other of its
+   anchor, and what is equal then collapses again.  Each task builds the transform of its collection of segments: in every round each segment
    inserts its next symbol from the right, the order of all suffixes so far and the common prefixes of
    neighbours are updated in sequential files, and at the end neighbours with ``length`` or more
    common bytes mark repeated strings.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +65,7 @@ def runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[n
     for low in range(0, max(0, len(raw) - length + 1), STRETCH):
         part = raw[low : low + STRETCH + length - 1]
         h = piece_hashes(part, anchor)
-        bits = np.uint64(max(1, int(len(h)).bit_length()))
+        bits = np.uint64(int(STRETCH + length).bit_length())  # the same for all texts, so that equal strings choose alike
         least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # hash, then place
         window, n = length - anchor + 1, 1
         while 2 * n <= window:
@@ -197,18 +199,65 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist()))
 
 
+def _reach(groups: list[int], contexts: list[bytes]) -> np.ndarray:
+    """Of each context the longest common prefix with another one of its group: its neighbours' in sorted order."""
+    if not contexts:
+        return np.zeros(0, np.int64)
+    order = sorted(range(len(contexts)), key=lambda i: (groups[i], contexts[i]))
+    width = max(map(len, contexts)) + 1
+    table = np.frombuffer(b"".join([contexts[i].ljust(width, b"\0") for i in order]), dtype=np.uint8).reshape(-1, width)
+    sizes = np.array([len(contexts[i]) for i in order])
+    same = np.array([groups[i] for i in order])
+    differ = np.concatenate([table[1:] != table[:-1], np.ones((len(order) - 1, 1), bool)], axis=1)
+    common = np.where(same[1:] == same[:-1], np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1])), 0)
+    reach = np.zeros(len(order), np.int64)
+    reach[order] = np.maximum(np.r_[common, 0], np.r_[0, common])
+    return reach
+
+
+def _clip(rows: list[tuple], length: int) -> list[tuple[int, int]]:
+    """Of each segment the stretch around its anchor that can match another segment of the anchor.
+
+    Equal strings have the anchor at the same place, so none reaches further to a side than the longest common context there."""
+    joined = np.frombuffer(b"".join([r[5] for r in rows]), dtype=np.uint8)
+    sizes = np.array([len(r[5]) for r in rows])
+    starts = np.cumsum(sizes) - sizes
+    wanted = np.repeat(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), sizes)
+    hits = np.flatnonzero(piece_hashes(joined, ANCHOR) == wanted[: len(joined) - ANCHOR + 1])
+    # the anchor is the leftmost such piece that the last string of the segment holds
+    at = hits[np.searchsorted(hits, starts + sizes - length)] - starts
+    at = at.tolist()
+    groups = [r[0] for r in rows]
+    left = _reach(groups, [r[5][:a][::-1] for r, a in zip(rows, at)])
+    right = _reach(groups, [r[5][a + ANCHOR :] for r, a in zip(rows, at)])
+    return [(a - x, a + ANCHOR + y) for a, x, y in zip(at, left.tolist(), right.tolist())]
+
+
 def _compare(length: int):
-    """Rows (g, n, id, th, first, segment) sorted by g: the runs of repeated strings of segments that occur once."""
+    """Rows (g, n, id, th, first, segment) sorted by g: the runs of repeated strings of segments that occur once.
+
+    What is left of the segments after clipping collapses again where it is equal; each distinct rest goes to the transform once."""
 
     def solve(rows: list[tuple]) -> Iterator[tuple]:
-        segments = [r[5] for r in rows]
-        marks = repeated_starts(segments, length)
-        at = 0
-        for g, n, own, th, first, segment in rows:
-            if n == 1:
-                for a, z in _spans(np.flatnonzero(marks[at : at + len(segment)])):
-                    yield own, th, first + a, first + z
-            at += len(segment)
+        rests: dict[tuple[int, bytes], list[int]] = {}
+        clipped = _clip(rows, length)
+        for n, (a, z) in enumerate(clipped):
+            if z - a >= length:
+                rests.setdefault((rows[n][0], rows[n][5][a:z]), []).append(n)
+        several = Counter(g for g, _ in rests)
+        texts = [(g, text) for g, text in rests if several[g] > 1]
+        marks, at = repeated_starts([t for _, t in texts], length), 0
+        found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for key in texts:
+            found[key] = _spans(np.flatnonzero(marks[at : at + len(key[1])]))
+            at += len(key[1])
+        for key, members in rests.items():
+            spans = [(0, len(key[1]) - length)] if len(members) > 1 else found.get(key, [])
+            for n in members:
+                _, count, own, th, first, _ = rows[n]
+                if count == 1:
+                    for a, z in spans:
+                        yield own, th, first + clipped[n][0] + a, first + clipped[n][0] + z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -361,4 +410,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removals = _removals(docs, id_col, text_col, length)
     text = F.coalesce(docs[text_col], F.lit(""))
     joined = docs.join(removals, docs[id_col].eqNullSafe(removals["_id"]) & (F.xxhash64(text) == removals["_th"]), "left")
-    return joined.select(*[docs[c] for c in docs.columns], removals["runs"]).mapInArrow(run, docs.schema)
+    extra = "_" * (1 + max(map(len, docs.columns))) + "runs"  # a name that no column has
+    return joined.select(*[docs[c] for c in docs.columns], removals["runs"].alias(extra)).mapInArrow(run, docs.schema)
