@@ -68,6 +68,18 @@ class Index:
         self.block_most = np.zeros((len(postings), self.n_blocks))
         for t, (i, x) in enumerate(zip(self.numbers, self.weights)):
             np.maximum.at(self.block_most[t], i // BLOCK_ITEMS, x)
+        #: Of each block its terms and their weights for its items.
+        self.block_terms, self.block_weights = [], []
+        pairs = [np.stack([np.full(len(i), t), i]) for t, i in enumerate(self.numbers)]
+        terms, numbers = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        weights = np.concatenate(self.weights) if pairs else np.zeros(0)
+        for block in range(self.n_blocks):
+            inside = np.flatnonzero(numbers // BLOCK_ITEMS == block)
+            own, row = np.unique(terms[inside], return_inverse=True)
+            table = np.zeros((len(own) + 1, BLOCK_ITEMS))
+            table[row, numbers[inside] % BLOCK_ITEMS] = weights[inside]
+            self.block_terms.append(own)
+            self.block_weights.append(table)
         self.shingles = [shingles(w) for _, w in self.items]
         self.parts = []
         for (_, words), text in zip(self.items, texts):
@@ -84,19 +96,11 @@ class Index:
         bound = self.block_most[terms].sum(axis=0)
         out = []
         for block in np.flatnonzero(bound >= THRESHOLD):
-            low = block * BLOCK_ITEMS
-            scores = np.zeros(BLOCK_ITEMS)
-            left = bound[block]  # what the terms not yet read can add
-            inside = self.block_most[terms, block]
-            for t in terms[np.argsort(-inside)]:
-                most = self.block_most[t, block]
-                if not most or scores.max() + left < THRESHOLD:
-                    break
-                numbers = self.numbers[t]
-                a, b = np.searchsorted(numbers, (low, low + BLOCK_ITEMS))
-                scores[numbers[a:b] - low] += self.weights[t][a:b]
-                left -= most
-            out += [(int(low + i), float(scores[i])) for i in np.flatnonzero(scores >= THRESHOLD)]
+            own = self.block_terms[block]
+            row = np.searchsorted(own, terms)
+            row[own[np.minimum(row, len(own) - 1)] != terms] = len(own)  # the row of zeros
+            scores = self.block_weights[block][row].sum(axis=0)
+            out += [(int(block * BLOCK_ITEMS + i), float(scores[i])) for i in np.flatnonzero(scores >= THRESHOLD)]
         return out
 
     def matches(self, text: bytes) -> list[tuple[int, float, float, int]]:
@@ -124,9 +128,9 @@ class Index:
                 start = max(0, p * self.passage - shift)
                 for item, score in self.search(terms[a:b][new[a:b]]):
                     overlap = self.verify(item, words[max(0, start - self.margin) : p * self.passage - shift + self.passage + self.margin])
-                    if overlap is not None and (item not in found or found[item][:2] < (overlap, score)):
-                        found[item] = (overlap, score, start)
-        return [(self.items[i][0], score, overlap, start) for i, (overlap, score, start) in sorted(found.items())]
+                    if overlap is not None:  # the best passage, the first of equal ones
+                        found[item] = max(found.get(item, (0.0, 0.0, 0)), (overlap, round(score, 9), -start))
+        return [(self.items[i][0], score, overlap, -start) for i, (overlap, score, start) in sorted(found.items())]
 
     def verify(self, item: int, words: list[bytes]) -> float | None:
         """The share of the item's shingles among the words, where it, the question and the answer overlap enough."""
