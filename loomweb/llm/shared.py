@@ -48,6 +48,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
+def text_key(column: str) -> list:
+    """k1 and k2: 128 hash bits of a text, null as empty, which with the row's id tell rows apart."""
+    from pyspark.sql import functions as F
+
+    text = F.coalesce(F.col(column), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only."""
     from pyspark.sql import functions as F

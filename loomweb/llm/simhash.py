@@ -17,7 +17,8 @@ kept; an empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .shared import written
+from .shared import text_key, written
 
 SEED = 42
 #: Rows of hash bits that are counted at once.
@@ -34,8 +35,12 @@ VOTE_ROWS = 1 << 15
 #: Groups up to this size are compared in one piece; larger ones are split by free bits.
 DIRECT = 1024
 N_PIVOTS = 16
-#: Least-hash values per text, and how many make a band.  At a similarity of 0.8, all 25 bands differ once in 20,000 pairs.
-SIGNATURE, BAND = 128, 5
+#: Least-hash values per text, and how many make a band.  At a similarity of 0.8, all 32 bands differ once in 20 million pairs.
+SIGNATURE, BAND = 128, 4
+#: Agreeing values from which two texts are candidates: at a similarity of 0.8, fewer than 72 agree less than once in a billion pairs.
+CANDIDATE = 72
+#: Candidate groups up to this size are verified in one piece.
+MEMBERS = 512
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = np.random.default_rng(12).integers(0, 1 << 63, size=SIGNATURE, dtype=np.uint64)
 
@@ -82,7 +87,7 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, signed: bool = False) -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed 64-bit number; where signed, also sig, the text's signature()."""
+    """(id_col, fp): fp is the fingerprint as a signed 64-bit number; where signed, also sig, the text's signature(), and its text_key()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +96,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hashes = shingle_hashes((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), shingle_words)
                 fps.append(_signed(fingerprint(hashes)))
                 sigs.append(signature(hashes) if signed else b"")
-            columns = [batch.column(0), pa.array(fps, pa.int64())] + [pa.array(sigs, pa.binary())] * signed
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "sig"][: len(columns)])
+            columns = [batch.column(0), pa.array(fps, pa.int64())] + [pa.array(sigs, pa.binary()), *batch.columns[2:]] * signed
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "sig", "k1", "k2"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp bigint" + ", sig binary" * signed).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col), F.col(text_col), *text_key(text_col) * signed)
+    return rows.mapInArrow(run, f"id {kind}, fp bigint" + ", sig binary, k1 bigint, k2 bigint" * signed).withColumnRenamed("id", id_col)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -225,19 +231,27 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     return dealt.mapInArrow(_link_batches(max_distance, masks), "u bigint, v bigint")
 
 
-def _similar_batches(similarity: float):
-    """Rows (key, fp, sig) sorted by key: a spanning forest of the members whose signatures agree in that share."""
+def search_forest(n: int, near: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect 0 to n - 1 as all links do; near(x) tells for each member whether x links to it.
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        fps = [r[1] for r in rows]
-        table = np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint16).reshape(len(rows), SIGNATURE)
-        i_all, j_all = [], []
-        for s in range(1, len(rows)):
-            near = np.flatnonzero((table[:-s] == table[s:]).sum(axis=1) >= similarity * SIGNATURE)
-            i_all.append(near)
-            j_all.append(near + s)
-        i, j = forest(len(rows), np.concatenate(i_all), np.concatenate(j_all))
-        return [(fps[a], fps[b]) for a, b in zip(i.tolist(), j.tolist())]
+    A member is compared only while some are not reached, so a family of near copies takes few rows of comparisons."""
+    todo = np.ones(n, bool)
+    left, right = [], []
+    for seed in range(n):
+        queue = [seed] if todo[seed] else []
+        todo[seed] = False
+        while queue and todo.any():
+            x = queue.pop()
+            new = np.flatnonzero(near(x) & todo)
+            todo[new] = False
+            left.append(np.full(len(new), x))
+            right.append(new)
+            queue += new.tolist()
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _grouped(solve: Callable[[list[tuple]], list[tuple[int, int]]]):
+    """Rows (key, id, bytes) sorted by key: the edges that solve() finds among the rows of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -257,36 +271,92 @@ def _similar_batches(similarity: float):
     return run
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): edges between fingerprints of classes(fp, sig) whose texts' estimated set similarity reaches the threshold.
+def agreeing(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Edges between rows (key, id, signature) that connect those with CANDIDATE agreeing values."""
+    table = np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint16).reshape(len(rows), SIGNATURE)
+    i, j = search_forest(len(rows), lambda x: (table == table[x]).sum(axis=1) >= CANDIDATE)
+    return [(rows[a][1], rows[b][1]) for a, b in zip(i.tolist(), j.tolist())]
+
+
+def _exactly(similarity: float) -> Callable[[list[tuple]], list[tuple[int, int]]]:
+    """Edges between rows (key, id, shingle set) that connect those whose sets have that Jaccard similarity."""
+    share = Fraction(str(similarity))
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        size = np.array([len(r[2]) // 8 for r in rows])
+        start = np.concatenate([[0], np.cumsum(size)])
+        names, ids = np.unique(np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint64), return_inverse=True)
+        here = np.zeros(len(names), bool)
+
+        def near(x: int) -> np.ndarray:
+            own = ids[start[x] : start[x + 1]]
+            here[own] = True
+            common = np.diff(np.concatenate([[0], np.cumsum(here[ids])])[start])
+            here[own] = False
+            return common * share.denominator >= share.numerator * (size + size[x] - common)
+
+        i, j = search_forest(len(rows), near)
+        return [(rows[a][1], rows[b][1]) for a, b in zip(i.tolist(), j.tolist())]
 
-    Texts meet by bands of their signatures.  Keys of one text are dropped before signatures travel."""
+    return solve
+
+
+def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """texts(node, text) as (node, own): the distinct shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for t in batch.column(1):
+                hashes = shingle_hashes((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), shingle_words)
+                sets.append(np.unique(np.frombuffer(hashes, dtype=">u8").astype(np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "own"])
+
+    return texts.mapInArrow(run, "node bigint, own binary")
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """(u, v): edges between nodes of classes(node, sig) that connect those that meet in a band and agree in CANDIDATE values.
+
+    Keys of one text are dropped before signatures travel."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             keys = [[_signed(xxhash.xxh64_intdigest(sig[2 * k : 2 * (k + BAND)], k)) for k in range(0, SIGNATURE - BAND + 1, BAND)] for sig in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
-    keyed = written(classes.select("fp", "sig").mapInArrow(bands, "fp bigint, keys array<bigint>").select("fp", F.explode("keys").alias("key")), "bands")
+    keyed = written(classes.select("node", "sig").mapInArrow(bands, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")), "bands")
     shared = written(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")), "shared")
-    met = written(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "fp"), "met")
-    rows = met.join(classes.select("fp", "sig"), "fp").select("key", "fp", "sig")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_batches(similarity), "u bigint, v bigint")
-
-
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 3, similarity: float | None = None) -> DataFrame:
-    """(id_col, fp, component_id): component_id is the smallest id that links reach.
-
-    With a similarity, texts whose shingle sets are that similar (as 128 least hashes estimate it) are linked as well."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle_words, similarity is not None), "fingerprints")
-    more = [F.min("sig").alias("sig")] if similarity is not None else []
-    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), *more), "classes")
-    edges = links(classes.select("fp"), max_distance)
-    if similarity is not None:
-        edges = edges.unionByName(similar_links(classes, similarity))
-    labels = component_labels(edges)
+    met = written(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "node"), "met")
+    rows = met.join(classes.select("node", "sig"), "node").select("key", "node", "sig")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(agreeing), "u bigint, v bigint")
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(u, v): edges between nodes of classes(node, sig, first_id, k1, k2) that connect those whose shingle sets are that similar.
+
+    Candidates are grouped by what connects them, and every pair of a group is verified on the sets.  texts has (first_id, k1, k2, text).
+    A group of over MEMBERS texts is dealt to parts, and each two parts are compared together."""
+    found = component_labels(candidate_links(classes)).withColumnRenamed("id", "node")
+    found = written(found, "candidates")
+    parts = written(found.groupBy("label").agg(F.ceil(F.count("*") / MEMBERS).cast("bigint").alias("parts")), "parts")
+    found = written(classes.drop("fp", "sig").join(found, "node").join(parts, "label"), "candidates")
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("first_id", "k1", "k2")]
+    chosen = texts.alias("t").join(found.alias("c"), same).select("c.node", "t.text").dropDuplicates(["node"])
+    sets = shingle_sets(chosen, shingle_words).join(found.select("node", "label", "parts"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: (k != own) | (F.col("parts") == 1))
+    sets = sets.select("node", "own", F.explode(F.transform(others, lambda k: F.concat_ws(" ", "label", F.least(k, own), F.greatest(k, own)))).alias("key"))
+    return sets.select("key", "node", "own").repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_exactly(similarity)), "u bigint, v bigint")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 3) -> DataFrame:
+    """(id_col, fp, component_id): component_id is the smallest id that links reach."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
+    labels = component_labels(links(classes.select("fp"), max_distance))
     named = classes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = written(named, "named")
     lowest = written(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "lowest")
@@ -294,8 +364,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(members, "fp").select(id_col, "fp", "component_id")
 
 
+def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_distance: int, similarity: float) -> DataFrame:
+    """(first_id, k1, k2, label): a row for each different text, its smallest id, and the label of its component.
+
+    Texts are linked by fingerprints within max_distance or by shingle sets of that Jaccard similarity."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle_words, True), "fingerprints")
+    classes = prints.groupBy("k1", "k2").agg(F.min(id_col).alias("first_id"), F.min("fp").alias("fp"), F.min("sig").alias("sig"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = written(classes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    near = links(heads.select("fp"), max_distance)
+    for end in ("u", "v"):
+        near = near.join(heads.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("head", end)
+    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"), *text_key(text_col))
+    edges = equal.unionByName(near).unionByName(similar_links(classes, texts, shingle_words, similarity))
+    labels = component_labels(edges).withColumnRenamed("id", "node")
+    named = classes.select("node", "first_id", "k1", "k2").join(labels, "node", "left")
+    return named.select("first_id", "k1", "k2", F.coalesce("label", "node").alias("label"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose id is its component's smallest; of repeated rows with that id, one stays."""
-    found = simhash_components(docs, id_col, text_col, shingle_words, max_distance, similarity)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    """One row of docs of each component: that with the smallest id, null ids last; of rows with one id, one of the least text_key().
+
+    Rows are told apart by id and text, so neither a null nor a repeated id takes another text along."""
+    found = near_classes(docs, id_col, text_col, shingle_words, max_distance, similarity)
+    key = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "k1", "k2")
+    kept = written(found.groupBy("label").agg(F.min(key).alias("key")).select("key.first_id", "key.k1", "key.k2"), "kept")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("first_id"), *text_key(text_col))
+    same = [rows[k].eqNullSafe(kept[k]) for k in ("first_id", "k1", "k2")]
+    return rows.join(kept, same, "left_semi").dropDuplicates(["first_id", "k1", "k2"]).select("doc.*")
