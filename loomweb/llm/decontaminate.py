@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .license_scan import words_of
+from .shared import text_key
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, PART_OVERLAP, SHINGLE = 0.5, 0.8, 0.5, 5
@@ -171,6 +172,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no test item was found; rows with a null id count as one document."""
-    hit = leaks(docs, items, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of docs in which no test item was found; rows are told apart by id and text, null ids too."""
+    key = [F.col(id_col).alias("_row_id"), *text_key(text_col)]
+    rows = docs.select(F.struct("*").alias("doc"), *key)
+    hit = leaks(docs.select(F.struct(*key).alias("_key"), F.col(text_col).alias("text")), items, "_key").select("_key.*").distinct()
+    same = [rows[k].eqNullSafe(hit[k]) for k in ("_row_id", "k1", "k2")]
+    return rows.join(hit, same, "left_anti").select("doc.*")

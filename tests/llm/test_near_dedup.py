@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from loomweb.llm import simhash
+from loomweb.llm import decontaminate, simhash
 
 from .helpers import DOCS, docs
 
@@ -63,3 +63,12 @@ def test_null_and_repeated_ids(spark):
     key = lambda x: (str(x[0]), str(x[1]))
     want = [(1, a), (2, other[0]), (None, other[1]), (None, other[2]), (4, other[4]), (4, other[5]), (5, None), loose[0]]
     assert sorted(kept, key=key) == sorted(want, key=key)
+
+
+def test_clean_keeps_other_texts_of_an_id(spark):
+    item = "Which river crosses the old northern valley before reaching the sea? The answer is the silent green river of stones"
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(None, item), (None, "one clean text"), (None, None), (3, f"so {item}"), (3, "other clean text"), (4, "third clean text")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    left = {(r["doc_id"], r["text"]) for r in decontaminate.clean(frame, items).collect()}
+    assert left == {(None, "one clean text"), (None, None), (3, "other clean text"), (4, "third clean text")}
