@@ -3,9 +3,11 @@
 Two variable-order Markov models, of accepted and of rejected URLs, are smoothed by
 interpolation: an order's estimate is its counts plus ``WEIGHT`` pseudo-counts dealt by the next
 lower order, so unseen contexts fall back by themselves.  Their counts come from every
-row that a rule labels; no row is sampled.  Counts are kept per hashed n-gram in a
-table whose size is fixed by ``ORDERS`` and ``BUCKETS``, which bounds what is collected and
-broadcast at any input size.  A URL's score is the difference of both log-likelihoods
+row that a rule labels; no row is sampled.  Counts are exact and stay a DataFrame that grows
+with the input: a window of ORDERS bytes is one number, all lower orders are sums over
+windows, and the distinct windows of each batch of rows are joined to their log-ratios
+and meet the batch again, so nothing is broadcast but counts by single bytes.  A URL's
+score is the difference of both log-likelihoods
 divided by its length; the decision threshold is calibrated on a histogram of the
 labelled rows' scores, as the bin with the least mean of both error rates.
 
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, written
 
 # The rules of the contract, as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-ORDERS, BUCKETS, WEIGHT = 6, 1 << 15, 2.0
+ORDERS, WEIGHT = 6, 2.0  # a window of ORDERS bytes and its slot fit in 64 bits
+BATCH_BITS = 11  # rows scored together, as a power of two
 BINS, REACH = 400, 4.0  # of the score histogram, which holds -REACH to REACH
 
 
@@ -49,80 +52,109 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all characters of all texts: bucket of context and of context + character per order, and the text's number.
+def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all characters of all texts: the ORDERS bytes that end there as a number, and the text's number.
 
     A text begins with ORDERS - 1 zero bytes as its first contexts."""
     pad = b"\0" * (ORDERS - 1)
-    raw = np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(t) + ORDERS - 1 for t in texts])
     inside = np.concatenate([np.r_[np.zeros(ORDERS - 1, bool), np.ones(len(t), bool)] for t in texts]) if texts else np.zeros(0, bool)
     at = np.flatnonzero(inside)
-    contexts, grams = [], []
-    h = np.full(len(at), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    for order in range(ORDERS):
-        if order:
-            h = (h ^ (raw[at - order] + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93)
-        mixed = h ^ (h >> np.uint64(29))
-        full = (mixed ^ (raw[at] + np.uint64(257))) * np.uint64(0xA0761D6478BD642F)
-        contexts.append((mixed * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(40)) % np.uint64(BUCKETS))
-        grams.append((full >> np.uint64(40)) % np.uint64(BUCKETS))
-    return np.stack(contexts).astype(np.int64), np.stack(grams).astype(np.int64), owner[at]
+    windows = np.zeros(len(at), np.int64)
+    for back in range(ORDERS):
+        windows |= raw[at - back] << 8 * back
+    return windows, owner[at]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t.as_py() or "").lower().encode() for t in batch.column(0)]
+def _texts(column: pa.Array) -> list[bytes]:
+    return [(t.as_py() or "").lower().encode() for t in column]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((2, 2, ORDERS, BUCKETS), dtype=np.int64)  # class, context or gram
+    """Rows (text, rejected): the counts of each window in accepted and in rejected texts."""
     for batch in batches:
-        texts, rejected = _texts(batch), np.array(batch.column(1).to_pylist(), dtype=np.int64)
-        contexts, grams, owner = _grams(texts)
-        for kind, found in enumerate((contexts, grams)):
-            for order in range(ORDERS):
-                np.add.at(table, (rejected[owner], kind, order, found[order]), 1)
-    flat = table.ravel()
-    slots = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(flat[slots])], names=["slot", "n"])
-
-
-def ratios(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Length-normalised log-likelihood of accepted less that of rejected."""
-    contexts, grams, owner = _grams(texts)
-    diff = np.zeros(len(owner))
-    for cls, sign in ((0, 1.0), (1, -1.0)):
-        p = np.full(len(owner), 1 / 256)
+        windows, owner = _windows(_texts(batch.column(0)))
+        rejected = np.array(batch.column(1).to_pylist(), dtype=bool)[owner]
+        names, which = np.unique(windows, return_inverse=True)
+        counts = [np.bincount(which[rejected == c], minlength=len(names)).astype(np.int64) for c in (False, True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, *counts)], names=["window", "accepted", "rejected"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, text): the distinct windows of each batch."""
+    for rows in batches:
+        windows, owner = _windows(_texts(rows.column(1)))
+        of = rows.column(0).to_numpy(zero_copy_only=False)[owner]
+        pairs = np.unique(np.stack([of, windows]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["batch", "window"])
+
+
+def _slots(window: Column) -> list[Column]:
+    """The keys of a window's counts: of its context and of context + character per order, with their slot above the bytes."""
+    out = []
+    for order in range(ORDERS):
+        for bytes_, value in ((order, F.shiftright(window, 8)), (order + 1, window)):
+            out.append(value.bitwiseAND(F.lit((1 << 8 * bytes_) - 1)) + F.lit(len(out) << 8 * ORDERS))
+    return out
+
+
+def log_ratios(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(window, ratio): of distinct windows the log-probability of its character by the accepted less that by the rejected.
+
+    counts has (window, accepted, rejected)."""
+    classes = ("accepted", "rejected")
+    keyed = counts.select(F.explode(F.array(*_slots(F.col("window")))).alias("key"), *classes)
+    sums = written(keyed.groupBy("key").agg(*[F.sum(c).alias(c) for c in classes]), "sums")
+    slots, few = _slots(F.col("window")), 3  # the first three have 513 keys at most, which any window asks for
+    asked = windows.select("window", F.explode(F.array(*slots[few:])).alias("key")).join(sums.where(F.col("key") >= few << 8 * ORDERS), "key")
+    slot = F.shiftright(F.col("key"), 8 * ORDERS)
+    more = asked.groupBy("window").agg(*[F.sum(F.when(slot == k, F.col(c))).alias(f"{c}{k}") for k in range(few, 2 * ORDERS) for c in classes])
+    found = windows.join(more, "window", "left")
+    for k in range(few):
+        part = sums.select(F.col("key").alias("_key"), *[F.col(c).alias(f"{c}{k}") for c in classes]).where(F.shiftright("_key", 8 * ORDERS) == k)
+        found = found.join(F.broadcast(part), slots[k] == F.col("_key"), "left").drop("_key")
+    found, logs = found.fillna(0), []
+    for c in classes:
+        p = F.lit(1 / 256)
         for order in range(ORDERS):
-            p = (table[cls, 1, order][grams[order]] + WEIGHT * p) / (table[cls, 0, order][contexts[order]] + WEIGHT)
-        diff += sign * np.log(p)
-    sums, sizes = np.bincount(owner, diff, len(texts)), np.bincount(owner, minlength=len(texts))
-    return sums / np.maximum(sizes, 1)
+            p = (F.col(f"{c}{2 * order + 1}") + WEIGHT * p) / (F.col(f"{c}{2 * order}") + WEIGHT)
+        logs.append(F.log(p))
+    return found.select("window", (logs[0] - logs[1]).alias("ratio"))
+
+
+def _score(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """The rows of one batch with the mean ratio of their windows; known has (batch, window, ratio)."""
+    windows, owner = _windows(_texts(rows["_text"]))
+    names, first = np.unique(known["window"].to_numpy(), return_index=True)
+    ratios = known["ratio"].to_numpy()[first][np.searchsorted(names, windows)] if len(windows) else np.zeros(0)
+    sums, sizes = np.bincount(owner, ratios, rows.num_rows), np.bincount(owner, minlength=rows.num_rows)
+    return rows.append_column("score", pa.array(sums / np.maximum(sizes, 1), pa.float64()))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id_col, host, path, rule, score, verdict) per row; score is null where a rule decides."""
-    spark = pages.sparkSession
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("_text", F.concat("host", "path"))
-    labelled = rows.where("_ruled is not null").select("_text", (F.col("_ruled") == "block").cast("bigint").alias("rejected"))
-
-    counts = labelled.mapInArrow(_count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(2 * 2 * ORDERS * BUCKETS)
-    table[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy()
-    table = table.reshape(2, 2, ORDERS, BUCKETS)
-    both = bool(table[0, 0, 0].sum() and table[1, 0, 0].sum())
-    model = spark.sparkContext.broadcast(table)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratios(_texts(batch), model.value))], names=[*batch.schema.names, "score"])
-
+    rows = rows.select("_text", "_ruled", F.col(id_col).alias("_id"), "host", "path", "rule", F.shiftright(F.monotonically_increasing_id(), BATCH_BITS).alias("batch"))
+    rows = written(rows, "urls")
+    rejected = F.col("_ruled") == "block"
+
+    counts = rows.where("_ruled is not null").select("_text", rejected.alias("rejected")).mapInArrow(_count, "window bigint, accepted bigint, rejected bigint")
+    counts = written(counts.groupBy("window").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "counts")
+    asked = written(rows.select("batch", "_text").mapInArrow(_asked, "batch bigint, window bigint"), "asked")
+    ratios = written(log_ratios(asked.select("window").distinct(), counts), "ratios")
+    known = asked.join(ratios, "window").select("batch", "window", "ratio")
+    scored = rows.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_score, rows.withColumn("score", F.lit(0.0)).schema)
+    scored = written(scored, "scored")
+
+    totals = counts.agg(F.sum("accepted"), F.sum("rejected")).first()
+    both = bool(totals[0] and totals[1])
     threshold = -REACH
     if both:
-        marked = labelled.mapInArrow(score, "_text string, rejected bigint, score double")
+        marked = scored.where("_ruled is not null").select(rejected.cast("bigint").alias("rejected"), "score")
         place = F.least(F.greatest(F.floor((F.col("score") + REACH) * (BINS / (2 * REACH))), F.lit(0)), F.lit(BINS - 1))
         histogram = np.zeros((2, BINS))
         for r in marked.groupBy("rejected", place.alias("bin")).count().collect():  # 2 * BINS rows at most
@@ -131,8 +163,5 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         error = np.r_[1.0, share[0] + 1 - share[1]]  # accepted ones below the cut, rejected ones above it
         best = np.flatnonzero(error == error.min())
         threshold = -REACH + best[len(best) // 2] * 2 * REACH / BINS
-    scored = rows.select("_text", "_ruled", F.col(id_col).alias("_id"), "host", "path", "rule").mapInArrow(
-        score, rows.select("_text", "_ruled", F.col(id_col).alias("_id"), "host", "path", "rule").withColumn("score", F.lit(0.0)).schema
-    )
     judged = F.when(F.col("_ruled").isNotNull(), F.col("_ruled")).when(F.lit(both) & (F.col("_text") != "") & (F.col("score") < threshold), "block").otherwise("allow")
     return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", F.when(F.col("_ruled").isNull(), F.col("score")).alias("score"), judged.alias("verdict"))
