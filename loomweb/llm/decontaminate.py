@@ -6,9 +6,10 @@ holds for items of any length.  Postings are cut into blocks of item numbers tha
 same for all terms, each with its largest weight.  For a passage the sum of its terms' list
 maxima is compared with the threshold first, then that of each block, and only blocks
 that can reach it are scored.  Every item at or above the threshold is retrieved and
-verified: the document must hold ``OVERLAP`` of the item's five-word shingles around the
-passage, and both the item's question (up to its first sentence or line end) and its
-answer (the rest) must be there.
+verified: half of the words of both the item's question (up to its first sentence or line
+end) and its answer (the rest) must be there, and ``PAIR_OVERLAP`` of its word pairs, which
+tells edited items from other texts of the same words.  The share of its five-word shingles
+is reported, not a condition.
 
 The index is broadcast in parts of at most ``PART_BYTES`` of item text; with more items
 the training texts are read once per part.
@@ -33,7 +34,7 @@ from .license_scan import words_of
 from .shared import text_key
 
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, PART_OVERLAP, SHINGLE = 0.5, 0.8, 0.5, 5
+THRESHOLD, PAIR_OVERLAP, PART_OVERLAP, SHINGLE = 0.5, 0.4, 0.5, 5
 PASSAGE, BLOCK_ITEMS = 128, 8
 PART_BYTES = 32 << 20
 _QUESTION = re.compile(rb"^.*?(?:[.?!](?=\s)|\n|$)", re.S)
@@ -82,6 +83,7 @@ class Index:
             self.block_terms.append(own)
             self.block_weights.append(table)
         self.shingles = [shingles(w) for _, w in self.items]
+        self.pairs = [shingles(w, 2) for _, w in self.items]
         self.parts = []
         for (_, words), text in zip(self.items, texts):
             question = words_of(_QUESTION.match(text)[0])
@@ -134,13 +136,14 @@ class Index:
         return [(self.items[i][0], score, overlap, -start) for i, (overlap, score, start) in sorted(found.items())]
 
     def verify(self, item: int, words: list[bytes]) -> float | None:
-        """The share of the item's shingles among the words, where it, the question and the answer overlap enough."""
-        own = self.shingles[item]
-        overlap = len(own & shingles(words, min(SHINGLE, len(self.items[item][1])))) / len(own)
+        """The share of the item's shingles among the words, where its pairs, the question and the answer overlap enough."""
+        own, pairs, n_words = self.shingles[item], self.pairs[item], len(self.items[item][1])
         there = set(words)
-        if overlap < OVERLAP or any(len(p & there) < PART_OVERLAP * len(p) for p in self.parts[item]):
+        if any(len(p & there) < PART_OVERLAP * len(p) for p in self.parts[item]):
             return None
-        return overlap
+        if len(pairs & shingles(words, min(2, n_words))) < PAIR_OVERLAP * len(pairs):
+            return None
+        return len(own & shingles(words, min(SHINGLE, n_words))) / len(own)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
