@@ -12,7 +12,8 @@ tells edited items from other texts of the same words.  The share of its five-wo
 is reported, not a condition.
 
 The index is broadcast in parts of at most ``PART_BYTES`` of item text; with more items
-the training texts are read once per part.
+the training texts are read once per part.  The numbers of items, words and items with a
+word, and the longest item, are those of all parts, so the parts change no score.
 
 Defined cases: null texts count as empty; an item without words matches nothing; an item of
 under five words is one shingle; repeated rows each count; empty tables give an empty result.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .license_scan import words_of
-from .shared import text_key
+from .shared import text_key, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, PAIR_OVERLAP, PART_OVERLAP, SHINGLE = 0.5, 0.4, 0.5, 5
@@ -47,14 +48,16 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
 class Index:
     """Impact-ordered BM25 postings of the test items with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], totals: tuple[int, int, int] | None = None, df: dict[bytes, int] | None = None):
+        """totals (items with words, their words, the most words of one) and df are those of all items, where these are a part of them."""
         raw = [(i, (t or "").encode()) for i, t in items]
         self.items = [(i, words_of(t)) for i, t in raw if words_of(t)]
         texts = [t for _, t in raw if words_of(t)]
-        n = len(self.items)
-        self.n_blocks = -(-n // BLOCK_ITEMS)
-        df = Counter(w for _, words in self.items for w in set(words))
-        mean = sum(len(w) for _, w in self.items) / max(1, n)
+        self.n_blocks = -(-len(self.items) // BLOCK_ITEMS)
+        sizes = [len(w) for _, w in self.items]
+        n, n_words, longest = totals or (len(sizes), sum(sizes), max(sizes, default=0))
+        df = df or Counter(w for _, words in self.items for w in set(words))
+        mean = n_words / max(1, n)
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for number, (_, words) in enumerate(self.items):
             tf = Counter(words)
@@ -90,7 +93,6 @@ class Index:
             if not question or len(question) == len(words):
                 question = words[: -(-len(words) // 2)]
             self.parts.append((set(question), set(words[len(question) :]) or set(question)))
-        longest = max([len(w) for _, w in self.items], default=0)
         self.passage = max(PASSAGE, 2 * longest)
         self.margin = longest
 
@@ -146,6 +148,18 @@ class Index:
         return len(own & shingles(words, min(SHINGLE, n_words))) / len(own)
 
 
+def item_words(items: DataFrame, item_text: str) -> DataFrame:
+    """(_part, n_words, words): of each row of items its number of words and the different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of((t or "").encode()) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_part", "n_words", "words"])
+
+    return items.select("_part", item_text).mapInArrow(run, "_part bigint, n_words bigint, words array<binary>").where("n_words > 0")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item_id, score, overlap, first_word): a row for each row of docs and test item found in it."""
     spark = docs.sparkSession
@@ -153,10 +167,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     n_parts = 1 + 2 * int(size) // PART_BYTES
     schema = StructType().add("id", docs.schema[id_col].dataType)
     schema = StructType(schema.fields + StructType.fromDDL("item bigint, score double, overlap double, first_word bigint").fields)
-    found = None
+    items = items.select(item_id, item_text, F.pmod(F.xxhash64(item_id, item_text), F.lit(n_parts)).cast("bigint").alias("_part"))
+    totals, df, found = None, None, None
+    if n_parts > 1:  # every part scores by the figures of all items
+        own = written(item_words(items, item_text), "item_words")
+        totals = tuple(own.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first())
+        words = own.select("_part", F.explode("words").alias("word"))
+        df = words.groupBy("word").agg(F.count("*").alias("df"))
+        df = written(words.groupBy("_part", "word").agg(F.lit(1)).join(df, "word").select("_part", "word", "df"), "item_df")
     for part in range(n_parts):
-        rows = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(n_parts)) == part).select(F.col(item_id).cast("bigint"), item_text).collect()
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0))))
+        rows = items.where(F.col("_part") == part).select(F.col(item_id).cast("bigint"), item_text).collect()
+        known = {bytes(r["word"]): r["df"] for r in df.where(F.col("_part") == part).collect()} if df is not None else None
+        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0)), totals, known))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -22,3 +22,15 @@ def test_edited_items_are_found(spark, n_words):
     want = {(2 * n, n) for n in range(len(words))}
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), items).collect()}
     assert found == want
+
+
+def test_parts_change_no_score(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"v{i}" for i in rng.zipf(1.5, rng.integers(6, 60)) % 300) for _ in range(30)]
+    items = spark.createDataFrame([*enumerate(texts), (30, ""), (31, None)], "item_id long, text string")
+    rows = [f"before {t} after" for t in texts] + [" ".join(t.split()[: len(t.split()) * 3 // 4]) for t in texts]
+    frame = docs(spark, rows)
+    get = lambda: sorted(tuple(r) for r in decontaminate.leaks(frame, items).collect())
+    whole = get()
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 4096)
+    assert get() == whole and len(whole) >= 30
