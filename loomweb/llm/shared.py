@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return str(jvm_dir.get())
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomweb-"))
         return str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return found
@@ -38,7 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and any executor can read it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once everything that reads them is written."""
+    for t in tables:
+        drop_path(t.sparkSession, t.written_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -2,34 +2,35 @@
 
 A byte goes if a string of ``length`` bytes that covers it starts anywhere else, in the same
 document or another.  Every string of that length has an anchor: the least hash of its
-``ANCHOR``-byte pieces, leftmost first.  Equal strings have equal anchors, so only documents' runs
-of strings around equal anchors can match.  A run is one segment of text.
-
-1. Anchors of all documents: (anchor, segment hash, document, run).  Anchors that occur once are dropped.
-2. Segments with the same anchor and bytes collapse to one with a count.  With a count of two or
-   more, all their strings repeat.  This settles copies however many there are.
-3. The other segments of anchors with several different segments are compared.  Anchors are dealt to
-   tasks.  A segment is clipped to what it has in common, on either side of the anchor, with any other of its
-   anchor, and what is equal then collapses again.  Each task builds the transform of its collection of segments: in every round each segment
-   inserts its next symbol from the right, the order of all suffixes so far and the common prefixes of
-   neighbours are updated in sequential files, and at the end neighbours with ``length`` or more
-   common bytes mark repeated strings.
-4. An anchor with more than ``HOT`` different segments is not given to one task: its strings are counted by
-   128-bit hash, in sums taken before the shuffle, which is exact for any number.
-5. Runs of repeated strings go back to their documents, which drop the covered bytes.
-
-Documents are referred to by id and text hash, so repeated rows are well defined: each
-counts as an occurrence of all its strings.  Defined cases: null text counts as empty; texts shorter
-than ``length`` keep all bytes; overlapping occurrences count; null ids are ids; an empty table gives an
+``ANCHOR``-byte pieces, leftmost first.  Equal strings have equal anchors, at the same place inside, so
+only documents' runs of strings around equal anchors can match.  A run is one segment of text.
+
+1. Anchors of all documents: (anchor, segment digest, document, run).  Anchors that occur once are dropped.
+2. Equal segments (a 128-bit BLAKE2 digest and the anchor's hash) become one kind with a count.
+3. Each kind's bytes are cut from its document; of kinds that occur more than once, from two places.
+   All kinds of an anchor are one collection, and the transform decides which of their strings repeat.
+4. Collections are dealt to tasks.  As equal strings hold their anchor at the same place, the collection's
+   documents are aligned at the anchor and the transform falls apart into one part per column: in every round
+   each document inserts its next symbol from the right, which gives the next column's order of suffixes from the
+   last one's, and the common prefixes of neighbours are updated with it.  Neighbours with ``length``
+   or more common bytes are repeated strings.  A round reads the last column from end to end and writes the next one,
+   so a task holds its collection and two columns, whatever the corpus has.
+5. A collection of more than ``MOST_BYTES`` is split first: each string has half or more of what is left of it on one
+   side of its anchor, and those bytes make the anchor longer.  Equal strings stay together, equal pieces become one
+   again, and after eight splits the anchor is the string itself, so no collection stays large and no string is lost.
+6. Runs of repeated strings go back to all places of their kind, and the documents drop the covered bytes.
+
+Documents are referred to by 128 hash bits of their text, as equal texts lose the same bytes; each row
+counts as an occurrence of all its strings, repeated rows too.  Defined cases: null text counts as empty; texts shorter
+than ``length`` keep all bytes; overlapping occurrences count; ids may be null or repeat; an empty table gives an
 empty result; extra columns are ignored (or kept, by ``without_repeats``).
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-from collections import Counter
 from collections.abc import Iterator
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import written
+from .shared import release, text_key, written
 
 LENGTH, ANCHOR = 200, 64
-#: Different segments of one anchor up to which one task compares them, and bytes that a task compares at once.
-HOT, CHUNK_BYTES = 2048, 3 << 20
+#: Bytes of one collection up to which a task gets it whole, and of collections that a task takes on together.
+MOST_BYTES, CHUNK_BYTES = 256 << 10, 4 << 20
 #: Texts are scanned in stretches of at most so many bytes.
 STRETCH = 1 << 20
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
+_blake, _TWO = hashlib.blake2b, Struct("=qq")
 _STEPS = np.random.default_rng(8).integers(0, 1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,8 +61,8 @@ def piece_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first start, last start) of the runs of strings with one anchor."""
+def runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(anchor hash, its place, first start, last start) of the runs of strings with one anchor."""
     found: list[tuple[np.ndarray, ...]] = []
     for low in range(0, max(0, len(raw) - length + 1), STRETCH):
         part = raw[low : low + STRETCH + length - 1]
@@ -76,286 +78,214 @@ def runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[n
         place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         cut = np.flatnonzero(np.diff(place)) + 1
         first, last = np.r_[0, cut], np.r_[cut - 1, len(place) - 1]
-        found.append((h[place[first]], first + low, last + low))
+        found.append((h[place[first]], place[first] + low, first + low, last + low))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-class _File:
-    """An array that is written and read from end to end only."""
+def repeated_starts(keys: list[int], segments: list[bytes], ats: list[int], core: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Of each segment the runs (first, last) of places whose string of ``length`` bytes stands in another segment with its key.
 
-    def __init__(self, kind):
-        self.kind, self.file = np.dtype(kind), tempfile.TemporaryFile()
-
-    def put(self, values: np.ndarray) -> None:
-        self.file.seek(0)
-        self.file.truncate()
-        self.file.write(values.astype(self.kind, copy=False).data)
-
-    def get(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.frombuffer(self.file.read(), dtype=self.kind)
-
-
-def repeated_starts(segments: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """Of all places of the joined segments: whether the string of ``length`` bytes there, inside its segment, occurs at another.
-
-    Round by round each segment inserts one symbol, from its last to its first.  The suffixes so far, each with
-    the symbol before it, stand in order; putting a symbol before a suffix keeps the order among equal symbols, so the next
-    order is that of the symbols, stably sorted.  The common prefix of a new suffix and its neighbour is one more than the
-    least common prefix between the two suffixes that they extend."""
-    text = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    Keys are sorted.  ats are the places of the anchors, of ``core`` or more bytes, at which segments are aligned.  Column by column,
+    from the right, each segment inserts one symbol.  The suffixes that begin at the column before stand in order within
+    their key; putting a symbol before each keeps the order among equal symbols, so the next order is that of the symbols, stably
+    sorted.  The common prefix of neighbours is one more than the least one between the two suffixes that they extend.  A segment that
+    has no symbol in a column stands first there, with nothing in common with any other."""
+    n, left = len(segments), length - core
+    width = left + length
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    n, total = len(segments), len(text)
-    marks = np.zeros(total, bool)
-    if n == 0 or total == 0:
-        return marks
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    symbols = np.unique(text)
-    code = np.zeros(256, np.uint8)
-    code[symbols] = np.arange(1, len(symbols) + 1)  # 0 ends a segment
-    coded = code[text]
-    # a suffix is named by the place of its first symbol; the symbol before it is the transform's entry
-    is_start = np.zeros(total + 1, bool)
-    is_start[starts] = True
-    before = lambda at: np.where(is_start[at], 0, coded[at - 1])
-    bwt, lcp, place = _File(np.uint8), _File(np.uint16), _File(np.int32)
-    # the empty suffixes; their places are the ends, where the next segment's first suffix would also be, so they are handled apart
-    bwt.put(np.where(sizes > 0, coded[np.maximum(ends - 1, 0)], 0))
-    lcp.put(np.zeros(n, np.uint16))
-    place.put(ends)
-    newest = np.arange(n)  # ranks of the suffixes inserted last that have a symbol before them
-    for _ in range(int(sizes.max())):
-        old_bwt, old_lcp, old_place = bwt.get(), lcp.get(), place.get()
-        newest = newest[old_bwt[newest] > 0]
-        if not len(newest):
-            break
-        order = np.argsort(old_bwt, kind="stable")
-        order = order[int((old_bwt == 0).sum()) :]  # suffixes that are extended, in their new order
-        m = len(order)
-        fresh = np.zeros(len(old_bwt), bool)
-        fresh[newest] = True
-        is_new = fresh[order]
-        at = np.flatnonzero(is_new)  # places of the new suffixes behind the n empty ones
-        same = np.zeros(m + 1, bool)  # whether a suffix and the one before it begin alike
-        same[1:m] = old_bwt[order[1:]] == old_bwt[order[:-1]]
-        new_lcp = np.zeros(n + m, np.uint16)
-        # old suffixes keep their order; what stood between neighbours stays unless a new one came between
-        new_lcp[n + np.flatnonzero(~is_new)] = old_lcp[n:]
-        need = np.unique(np.r_[at, at[at + 1 < m] + 1])  # entries whose neighbour before them is new, or that are new
-        need_same = need[same[need]]
-        new_lcp[n + need[~same[need]]] = 0
-        if len(need_same):
-            low, high = order[need_same - 1] + 1, order[need_same] + 1
-            edges = np.empty(2 * len(low), np.int64)
-            edges[0::2], edges[1::2] = low, high
-            least = np.minimum.reduceat(np.r_[old_lcp, np.uint16(0)], edges)[0::2]
-            new_lcp[n + need_same] = least + np.uint16(1)
-        new_place = np.r_[ends, old_place[order] - 1]
-        new_bwt = np.r_[old_bwt[:n], before(new_place[n:])]
-        bwt.put(new_bwt)
-        lcp.put(new_lcp)
-        place.put(new_place)
-        newest = n + at
-    common = np.r_[lcp.get(), np.uint16(0)]
-    hit = np.flatnonzero((common[:-1] >= length) | (common[1:] >= length))
-    marks[place.get()[hit]] = True
-    return marks
+    shift = left - np.array(ats, dtype=np.int64)  # the column of a segment's first symbol
+    text = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    owner = np.repeat(np.arange(n), sizes)
+    columns = np.zeros((width, n), np.uint8)
+    columns[np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes - shift, sizes), owner] = text + np.uint8(1)  # 0xFF is in no UTF-8 text
+    group = np.cumsum(np.r_[0, np.diff(np.array(keys, dtype=np.int64)) != 0]) << 8
+    order, common = np.arange(n), np.zeros(n + 1, np.int16)  # of each entry with the one before it; the last is a bound
+    marks = np.zeros((left + 1, n), bool)
+    for column in range(width - 1, -1, -1):
+        symbols = columns[column][order]  # what stands before the suffixes, in their order: the transform
+        value = group + symbols
+        by = np.argsort(value, kind="stable")
+        same = np.zeros(n, bool)
+        same[1:] = (value[by[1:]] == value[by[:-1]]) & (symbols[by[1:]] > 0)
+        at = np.flatnonzero(same)
+        new = np.zeros(n + 1, np.int16)
+        if len(at):
+            edges = np.empty(2 * len(at), np.int64)
+            edges[0::2], edges[1::2] = by[at - 1] + 1, by[at] + 1
+            new[at] = np.minimum.reduceat(common, edges)[0::2] + 1
+        order, common = order[by], new
+        if column <= left:
+            hit = np.flatnonzero(common >= length)
+            marks[column, order[hit]] = True
+            marks[column, order[hit - 1]] = True
+    edge = np.diff(np.concatenate([np.zeros((1, n), np.int8), marks.astype(np.int8), np.zeros((1, n), np.int8)]), axis=0).T
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    who, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    for k, a, z in zip(who.tolist(), first.tolist(), last.tolist()):
+        out[k].append((a - int(shift[k]), z - int(shift[k])))
+    return out
+
+
+def _digest(piece: bytes) -> tuple[int, int]:
+    return _TWO.unpack(_blake(piece, digest_size=16).digest())
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            g, sig, row, first, last = [], [], [], [], []
+            g, at, row, first, last, digests = [], [], [], [], [], []
             for n, text in enumerate(batch.column(2)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if len(raw) < length:
                     continue
-                h, a, z = runs(np.frombuffer(raw, dtype=np.uint8), length)
+                h, p, a, z = runs(np.frombuffer(raw, dtype=np.uint8), length)
                 g.append(h.view(np.int64))
-                sig.append(np.array([digest(raw[i:j], 1) for i, j in zip(a.tolist(), (z + length).tolist())], dtype=np.uint64).view(np.int64))
+                at.append(p - a)
+                digests += [_blake(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), (z + length).tolist())]
                 row.append(np.full(len(h), n))
                 first.append(a)
                 last.append(z)
-            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (g, sig, row, first, last)]
+            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (g, at, row, first, last)]
             rows = pa.array(joined[2])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(joined[0]), pa.array(joined[1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(joined[3].astype(np.int32)), pa.array(joined[4].astype(np.int32))], names=["g", "sig", "id", "th", "first", "last"]
-            )
+            two = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            columns = [pa.array(joined[0]), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(joined[k].astype(np.int32)) for k in (3, 4, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "d1", "d2", "k1", "k2", "first", "last", "at"])
 
     return run
 
 
-def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Runs (first, last) of consecutive numbers."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist()))
-
-
-def _reach(groups: list[int], contexts: list[bytes]) -> np.ndarray:
-    """Of each context the longest common prefix with another one of its group: its neighbours' in sorted order."""
-    if not contexts:
-        return np.zeros(0, np.int64)
-    order = sorted(range(len(contexts)), key=lambda i: (groups[i], contexts[i]))
-    width = max(map(len, contexts)) + 1
-    table = np.frombuffer(b"".join([contexts[i].ljust(width, b"\0") for i in order]), dtype=np.uint8).reshape(-1, width)
-    sizes = np.array([len(contexts[i]) for i in order])
-    same = np.array([groups[i] for i in order])
-    differ = np.concatenate([table[1:] != table[:-1], np.ones((len(order) - 1, 1), bool)], axis=1)
-    common = np.where(same[1:] == same[:-1], np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1])), 0)
-    reach = np.zeros(len(order), np.int64)
-    reach[order] = np.maximum(np.r_[common, 0], np.r_[0, common])
-    return reach
-
-
-def _clip(rows: list[tuple], length: int) -> list[tuple[int, int]]:
-    """Of each segment the stretch around its anchor that can match another segment of the anchor.
-
-    Equal strings have the anchor at the same place, so none reaches further to a side than the longest common context there."""
-    joined = np.frombuffer(b"".join([r[5] for r in rows]), dtype=np.uint8)
-    sizes = np.array([len(r[5]) for r in rows])
-    starts = np.cumsum(sizes) - sizes
-    wanted = np.repeat(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), sizes)
-    hits = np.flatnonzero(piece_hashes(joined, ANCHOR) == wanted[: len(joined) - ANCHOR + 1])
-    # the anchor is the leftmost such piece that the last string of the segment holds
-    at = hits[np.searchsorted(hits, starts + sizes - length)] - starts
-    at = at.tolist()
-    groups = [r[0] for r in rows]
-    left = _reach(groups, [r[5][:a][::-1] for r, a in zip(rows, at)])
-    right = _reach(groups, [r[5][a + ANCHOR :] for r, a in zip(rows, at)])
-    return [(a - x, a + ANCHOR + y) for a, x, y in zip(at, left.tolist(), right.tolist())]
-
-
-def _compare(length: int):
-    """Rows (g, n, id, th, first, segment) sorted by g: the runs of repeated strings of segments that occur once.
-
-    What is left of the segments after clipping collapses again where it is equal; each distinct rest goes to the transform once."""
+def _decide(length: int):
+    """Rows (g, d1, d2, copy, n, at, core, piece) sorted by g: the runs of repeated strings of each kind, by the transform."""
 
     def solve(rows: list[tuple]) -> Iterator[tuple]:
-        rests: dict[tuple[int, bytes], list[int]] = {}
-        clipped = _clip(rows, length)
-        for n, (a, z) in enumerate(clipped):
-            if z - a >= length:
-                rests.setdefault((rows[n][0], rows[n][5][a:z]), []).append(n)
-        several = Counter(g for g, _ in rests)
-        texts = [(g, text) for g, text in rests if several[g] > 1]
-        marks, at = repeated_starts([t for _, t in texts], length), 0
-        found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        for key in texts:
-            found[key] = _spans(np.flatnonzero(marks[at : at + len(key[1])]))
-            at += len(key[1])
-        for key, members in rests.items():
-            spans = [(0, len(key[1]) - length)] if len(members) > 1 else found.get(key, [])
-            for n in members:
-                _, count, own, th, first, _ = rows[n]
-                if count == 1:
-                    for a, z in spans:
-                        yield own, th, first + clipped[n][0] + a, first + clipped[n][0] + z
+        found = repeated_starts([r[0] for r in rows], [r[7] for r in rows], [r[5] for r in rows], min(r[6] for r in rows), length)
+        for r, spans in zip(rows, found):
+            if r[3] == 0:
+                for a, z in spans:
+                    yield r[0], r[1], r[2], a, z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        kind = None
         for batch in batches:
-            kind, out = batch.column(2).type, []
+            out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= CHUNK_BYTES and row[0] != held[-1][0]:
                     out += solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
-            yield _table(out, kind)
+                size += len(row[7])
+            yield _table(out)
         if held:
-            yield _table(list(solve(held)), kind)
+            yield _table(list(solve(held)))
 
-    def _table(rows: list[tuple], kind) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.int64(), pa.int32(), pa.int32()))], names=["id", "th", "first", "last"])
+    def _table(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "d1", "d2", "first", "last"])
 
     return run
 
 
-def _window_hashes(length: int):
-    """Of hot anchors' segments: a row (w, id, th, start) per string, w its 128-bit hash."""
+def halves(piece: bytes, at: int, core: int, length: int = LENGTH) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start in the piece, anchor's place, its size, bytes) of the two parts by the side on which a string has more left; one part's strings are none of the other's."""
+    rest, last = length - core, len(piece) - length
+    half = (rest + 1) // 2
+    if at >= half:  # strings with half or more on the left
+        yield 0, at - half, core + half, piece[: min(last, at - half) + length]
+    start = max(0, at - half + 1)
+    if start <= last:
+        yield start, at - start, core + rest - half + 1, piece[start:]
+
+
+def _split(length: int):
+    """Rows (g, d1, d2, n, at, core, piece): their halves under their longer anchors, with where they come from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            w, row, start = [], [], []
-            for n, (first, segment) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                for i in range(len(segment) - length + 1):
-                    w.append(xxhash.xxh3_128_digest(segment[i : i + length]))
-                    row.append(n)
-                    start.append(first + i)
-            rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), batch.column(1).take(rows), batch.column(2).take(rows), batch.column(3).take(rows), pa.array(start, pa.int32())], names=["w", "n", "id", "th", "start"])
+            out: list[tuple] = []
+            for g, d1, d2, n, at, core, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                for start, place, size, part in halves(piece, at, core, length):
+                    key = xxhash.xxh64_intdigest(part[place : place + size], size) - (1 << 63)
+                    out.append((g, d1, d2, start, n, key, *_digest(part), place, size, part))
+            cols = list(zip(*out)) if out else [()] * 11
+            kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_g", "_d1", "_d2", "start", "n", "g", "d1", "d2", "at", "core", "piece"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(id, th, first, last): runs of starts whose strings repeat; docs has id, th (text hash) and text."""
-    kind = docs.schema["id"].dataType
-    shape = lambda ddl: StructType().add("id", kind).fields + StructType.fromDDL(ddl).fields
-    fields = StructType.fromDDL("g bigint, sig bigint").fields + shape("th bigint, first int, last int")
-    anchors = docs.select("id", "th", "text").mapInArrow(_anchors(length), StructType(fields))
+def repeated_spans(pieces: DataFrame, length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
+    """(g, d1, d2, first, last): of each kind of pieces(g, d1, d2, copy, n, at, core, piece) the runs of starts that repeat."""
+    pieces = written(pieces, "pieces")
+    sizes = pieces.groupBy("g").agg(F.sum(F.octet_length("piece")).alias("size"))
+    large = written(sizes.where(F.col("size") > most).select(F.col("g").alias("_key")), "large")
+    key = [F.col(c).alias(f"_{c}") for c in ("g", "d1", "d2")]
+    small = pieces.join(large, F.col("g") == F.col("_key"), "left_anti")
+    small = small.select("g", "d1", "d2", "copy", "n", "at", "core", "piece").repartition("g").sortWithinPartitions("g")
+    found = small.mapInArrow(_decide(length), "g bigint, d1 bigint, d2 bigint, first int, last int")
+    if large.isEmpty():
+        return found
+    hot = pieces.where("copy = 0").join(large, F.col("g") == F.col("_key"), "left_semi").select("g", "d1", "d2", "n", "at", "core", "piece")
+    parts = written(hot.mapInArrow(_split(length), "_g bigint, _d1 bigint, _d2 bigint, start int, n bigint, g bigint, d1 bigint, d2 bigint, at int, core int, piece binary"), "parts")
+    kinds = parts.groupBy("g", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("at", "core", "piece")).alias("one"))
+    kinds = written(kinds.select("g", "d1", "d2", "n", "one.*"), "kinds")
+    several = kinds.groupBy("g").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("g").alias("_key"))
+    below = kinds.join(written(several, "several"), F.col("g") == F.col("_key"), "left_semi")
+    copies = F.explode(F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    spans = repeated_spans(below.select("g", "d1", "d2", copies, "n", "at", "core", "piece"), length, most)
+    spans = written(spans.select(*key, "first", "last"), "spans")
+    up = parts.select(F.col("_g").alias("g0"), F.col("_d1").alias("d10"), F.col("_d2").alias("d20"), "start", "g", "d1", "d2")
+    back = up.join(spans, [F.col(c) == F.col(f"_{c}") for c in ("g", "d1", "d2")])
+    return found.unionByName(back.select(F.col("g0").alias("g"), F.col("d10").alias("d1"), F.col("d20").alias("d2"), (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last")))
+
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
+    """(k1, k2, first, last): runs of starts whose strings repeat, by text; docs has text and its text_key()."""
+    anchors = docs.select("k1", "k2", "text").mapInArrow(_anchors(length), "g bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, first int, last int, at int")
     anchors = written(anchors, "anchors")
     twice = written(anchors.groupBy("g").count().where("count > 1").select(F.col("g").alias("_g")), "twice")
-    rows = anchors.join(twice, F.col("g") == F.col("_g")).drop("_g")
-    rows = written(rows, "candidates")
-    kinds = rows.groupBy("g", "sig").agg(F.count("*").alias("n"), F.min(F.struct("first", "last", "id", "th")).alias("one"))
-    kinds = written(kinds, "kinds")
-    copies = kinds.where("n > 1").select(F.col("g").alias("_g"), F.col("sig").alias("_sig"))
-    settled = rows.join(copies, (F.col("g") == F.col("_g")) & (F.col("sig") == F.col("_sig"))).select("id", "th", "first", "last")
-    several = kinds.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select(F.col("g").alias("_g"), "k")
-    asked = kinds.join(written(several, "several"), F.col("g") == F.col("_g")).select("g", "n", "k", "one.*")
-    texts = docs.withColumnsRenamed({"id": "_id", "th": "_th"})
-    asked = asked.groupBy("id", "th").agg(F.collect_list(F.struct("g", "n", "k", "first", "last")).alias("asks"))
+    rows = written(anchors.join(twice, F.col("g") == F.col("_g")).drop("_g"), "candidates")
+    release(anchors, twice)
+    place = F.struct("k1", "k2", "first", "last", "at")
+    kinds = rows.groupBy("g", "d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+    copies = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("copy"), "low.*"), F.struct(F.lit(1).alias("copy"), "high.*"))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), "low.*")))
+    # a document's asks are one per kind that it was chosen for, in all no more than a part of its own size
+    asked = written(kinds, "kinds").select("g", "d1", "d2", "n", F.explode(copies).alias("c")).select("g", "d1", "d2", "n", "c.*")
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "d1", "d2", "copy", "n", "first", "last", "at")).alias("asks"))
     asked = written(asked, "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for own, th, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            for text, asks in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
-                out += [(a["g"], a["n"], own, th, a["first"], raw[a["first"] : a["last"] + length], a["k"]) for a in asks]
-            cols = list(zip(*out)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "n", "id", "th", "first", "segment", "k"])
-
-    segment_schema = StructType(StructType.fromDDL("g bigint, n bigint").fields + shape("th bigint, first int, segment binary, k bigint"))
-    # rows that repeat as a whole have the same id and text, and need cutting once
-    found = asked.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "asks").mapInArrow(cut, segment_schema)
-    found = written(found.dropDuplicates(["g", "id", "th", "first"]), "segments")
-    cold = found.where(F.col("k") <= hot).select("g", "n", "id", "th", "first", "segment").repartition("g").sortWithinPartitions("g")
-    out_schema = StructType(shape("th bigint, first int, last int"))
-    compared = cold.mapInArrow(_compare(length), out_schema)
-    strings = found.where(F.col("k") > hot).select("g", "n", "id", "th", "first", "segment")
-    strings = strings.mapInArrow(_window_hashes(length), StructType(StructType.fromDDL("w binary, n bigint").fields + shape("th bigint, start int")))
-    strings = written(strings, "strings")
-    repeated = written(strings.groupBy("w").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("w").alias("_w")), "repeated")
-    counted = strings.where("n = 1").join(repeated, F.col("w") == F.col("_w")).select("id", "th", F.col("start").alias("first"), F.col("start").alias("last"))
-    return settled.unionByName(compared).unionByName(counted)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
-def _removals(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(_id, _th, runs): the runs of each document that has any."""
-    found = repeated_runs(_keyed(docs, id_col, text_col), length)
-    per = found.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
-    return written(per, "runs").withColumnsRenamed({"id": "_id", "th": "_th"})
+                out += [(a["g"], a["d1"], a["d2"], a["copy"], a["n"], a["at"], ANCHOR, raw[a["first"] : a["last"] + length]) for a in asks]
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "d1", "d2", "copy", "n", "at", "core", "piece"])
+
+    # of equal texts one is cut
+    texts = docs.dropDuplicates(["k1", "k2"])
+    chosen = texts.join(asked, ["k1", "k2"]).select("text", "asks")
+    pieces = chosen.mapInArrow(cut, "g bigint, d1 bigint, d2 bigint, copy int, n bigint, at int, core int, piece binary")
+    spans = written(repeated_spans(pieces, length, most).withColumnsRenamed({c: f"_{c}" for c in ("g", "d1", "d2", "first", "last")}), "spans")
+    found = rows.join(spans, [F.col(c) == F.col(f"_{c}") for c in ("g", "d1", "d2")])
+    return found.select("k1", "k2", (F.col("first") + F.col("_first")).alias("first"), (F.col("first") + F.col("_last")).alias("last"))
+
+
+def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col(text_col), F.lit("")).alias("text"), *text_key(text_col))
+
+
+def _removals(keyed: DataFrame, length: int, most: int) -> DataFrame:
+    """(k1, k2, runs): the runs of each text that has any."""
+    found = repeated_runs(keyed.select("k1", "k2", "text"), length, most)
+    return written(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs")), "runs")
 
 
 def drop_runs(raw: bytes, found: list[dict] | None, length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -372,7 +302,7 @@ def drop_runs(raw: bytes, found: list[dict] | None, length: int = LENGTH) -> tup
     return rest, len(raw) - len(rest), spans
 
 
-def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,13 +316,13 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(_removals(docs, id_col, text_col, length), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    keyed = _keyed(docs, text_col, F.col(id_col).alias("id"))
+    joined = keyed.join(_removals(keyed, length, most), ["k1", "k2"], "left")
     schema = StructType(StructType().add("id", keyed.schema["id"].dataType).fields + StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").fields)
     return joined.select("id", "text", "runs").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
     """docs with the repeated bytes of text_col gone; bytes of a character that was cut in two are dropped as well."""
 
     place = docs.columns.index(text_col)
@@ -407,8 +337,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    removals = _removals(docs, id_col, text_col, length)
-    text = F.coalesce(docs[text_col], F.lit(""))
-    joined = docs.join(removals, docs[id_col].eqNullSafe(removals["_id"]) & (F.xxhash64(text) == removals["_th"]), "left")
+    removals = _removals(_keyed(docs, text_col), length, most)
+    k1, k2 = text_key(text_col)
     extra = "_" * (1 + max(map(len, docs.columns))) + "runs"  # a name that no column has
-    return joined.select(*[docs[c] for c in docs.columns], removals["runs"].alias(extra)).mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("doc"), k1, k2).join(removals, ["k1", "k2"], "left")
+    return rows.select("doc.*", F.col("runs").alias(extra)).mapInArrow(run, docs.schema)

@@ -36,29 +36,52 @@ def test_license_join_is_exact():
 
 def test_repeats_by_brute_force():
     rng = np.random.default_rng(3)
-    for size, letters in ((3, 2), (5, 3), (8, 2)):
-        segments = [bytes(rng.integers(97, 97 + letters, rng.integers(0, 40)).astype(np.uint8)) for _ in range(12)]
-        seen = Counter(s[i : i + size] for s in segments for i in range(len(s) - size + 1))
-        want = [i + size <= len(s) and seen[s[i : i + size]] > 1 for s in segments for i in range(len(s))]
-        assert suffix_dedup.repeated_starts(segments, size).tolist() == want
+    for size, core, letters in ((5, 2, 2), (8, 3, 2), (8, 8, 2), (20, 5, 3)):
+        keys, rows = [], []
+        for key in range(6):  # what is common stands at one place of each segment
+            common = bytes(rng.integers(97, 97 + letters, core).astype(np.uint8))
+            for _ in range(rng.integers(1, 9)):
+                left, right = (bytes(rng.integers(97, 97 + letters, rng.integers(0, size - core + 1)).astype(np.uint8)) for _ in "ab")
+                if len(left) + len(right) >= size - core:
+                    keys.append(key)
+                    rows.append((left + common + right, len(left)))
+        seen = Counter((k, s[i : i + size], at - i) for k, (s, at) in zip(keys, rows) for i in range(len(s) - size + 1))
+        got = suffix_dedup.repeated_starts(keys, [s for s, _ in rows], [at for _, at in rows], core, size)
+        for k, (s, at), spans in zip(keys, rows, got):
+            want = [i for i in range(len(s) - size + 1) if seen[k, s[i : i + size], at - i] > 1]
+            assert [i for a, z in spans for i in range(a, z + 1)] == want
+
+
+def test_halves_deal_every_string_once():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        core = int(rng.integers(1, 20))
+        at, tail = int(rng.integers(0, 20 - core + 1)), int(rng.integers(0, 20 - core + 1))
+        piece = bytes(rng.integers(97, 99, max(20, at + core + tail)).astype(np.uint8))[: max(20, at + core + tail)]
+        if len(piece) - at > 20:
+            continue
+        dealt = [start + i for start, place, size, part in suffix_dedup.halves(piece, at, core, 20) for i in range(len(part) - 19)] if core < 20 else list(range(len(piece) - 19))
+        assert sorted(dealt) == list(range(len(piece) - 19))
+        for start, place, size, part in suffix_dedup.halves(piece, at, core, 20) if core < 20 else ():
+            assert core < size <= 20 and part == piece[start : start + len(part)] and place <= 20 - size and len(part) - place <= 20
 
 
 def test_runs_cover_every_start_once(monkeypatch):
     raw = np.random.default_rng(5).integers(97, 101, 3000).astype(np.uint8)
     whole = suffix_dedup.runs(raw)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
-    for _, first, last in (whole, suffix_dedup.runs(raw)):
+    for _, _, first, last in (whole, suffix_dedup.runs(raw)):
         assert np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)]).tolist() == list(range(2801))
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_repeat_report(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.repeated_runs, "__defaults__", (200, hot))
+@pytest.mark.parametrize("most", [256 << 10, 6000])
+def test_repeat_report(spark, most):
     rng = np.random.default_rng(8)
     piece = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
-    shared, long = piece(230), piece(420)
+    shared, long, line = piece(230), piece(420), piece(150)
     texts = [*ODD, piece(100) + shared + piece(90), shared[:210] + piece(300), "é" + shared[10:], long, long, piece(50) + long[100:] + shared[5:], shared[:199], "ab" * 300]
-    report = by_id(suffix_dedup.repeat_report(docs(spark, texts, True)))
+    texts += [piece(60) + line + piece(60) for _ in range(40)] + [piece(60) + line + shared[:55] for _ in range(9)]  # one anchor, many contexts
+    report = by_id(suffix_dedup.repeat_report(docs(spark, texts, True), most=most))
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
     for n, raw in enumerate(raws):
@@ -70,7 +93,7 @@ def test_repeat_report(spark, hot, monkeypatch):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         want = {"doc_id": n, "n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
         assert report[n] == want, n
-    rest = by_id(suffix_dedup.without_repeats(docs(spark, texts, True)))
+    rest = by_id(suffix_dedup.without_repeats(docs(spark, texts, True), most=most))
     assert rest[0]["text"] is None and rest[12]["text"] == "" and len(rest[9]["text"]) == 190
 
 
