@@ -6,9 +6,11 @@ document or another.  Every string of that length has an anchor: the least hash
 only documents' runs of strings around equal anchors can match.  A run is one segment of text.
 
 1. Anchors of all documents: (anchor, segment digest, document, run).  Anchors that occur once are dropped.
-2. Equal segments (a 128-bit BLAKE2 digest and the anchor's hash) become one kind with a count.
-3. Each kind's bytes are cut from its document; of kinds that occur more than once, from two places.
-   All kinds of an anchor are one collection, and the transform decides which of their strings repeat.
+2. Equal segments (128 hash bits besides the anchor's 64) become one kind with a count.
+3. Each kind's bytes are cut from its document; of kinds that occur more than once, from two places, which the transform
+   compares byte by byte like any others.  All kinds of an anchor are one collection, and the transform decides which of their strings repeat.
+   Segments without a partner that has the same bytes over half of what is left of a string, on either side of the anchor,
+   share no string with any and are left out beforehand.
 4. Collections are dealt to tasks.  As equal strings hold their anchor at the same place, the collection's
    documents are aligned at the anchor and the transform falls apart into one part per column: in every round
    each document inserts its next symbol from the right, which gives the next column's order of suffixes from the
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from struct import Struct
 
 import numpy as np
@@ -42,11 +45,11 @@ from .shared import release, text_key, written
 
 LENGTH, ANCHOR = 200, 64
 #: Bytes of one collection up to which a task gets it whole, and of collections that a task takes on together.
-MOST_BYTES, CHUNK_BYTES = 256 << 10, 4 << 20
+MOST_BYTES, CHUNK_BYTES = 64 << 10, 4 << 20
 #: Texts are scanned in stretches of at most so many bytes.
 STRETCH = 1 << 20
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_blake, _TWO = hashlib.blake2b, Struct("=qq")
+_TWO = Struct("=qq")
 _STEPS = np.random.default_rng(8).integers(0, 1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -84,32 +87,30 @@ def runs(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def repeated_starts(keys: list[int], segments: list[bytes], ats: list[int], core: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Of each segment the runs (first, last) of places whose string of ``length`` bytes stands in another segment with its key.
+def repeated_starts(keys: np.ndarray, sizes: np.ndarray, text: np.ndarray, ats: np.ndarray, core: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last) of runs of places whose string of ``length`` bytes stands in another segment with its key.
 
-    Keys are sorted.  ats are the places of the anchors, of ``core`` or more bytes, at which segments are aligned.  Column by column,
-    from the right, each segment inserts one symbol.  The suffixes that begin at the column before stand in order within
-    their key; putting a symbol before each keeps the order among equal symbols, so the next order is that of the symbols, stably
-    sorted.  The common prefix of neighbours is one more than the least one between the two suffixes that they extend.  A segment that
-    has no symbol in a column stands first there, with nothing in common with any other."""
-    n, left = len(segments), length - core
+    text has the segments, one after the other; keys are sorted.  ats are the places of the anchors, of ``core`` or more bytes, at which
+    segments are aligned.  Column by column, from the right, each segment inserts one symbol.  The suffixes that begin at the column before
+    stand in order within their key; putting a symbol before each keeps the order among equal symbols, so the next order is that of
+    the symbols, stably sorted.  The common prefix of neighbours is one more than the least one between the two suffixes that they extend.  A
+    segment that has no symbol in a column stands first there, with nothing in common with any other."""
+    n, left = len(keys), length - core
     width = left + length
-    sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    shift = left - np.array(ats, dtype=np.int64)  # the column of a segment's first symbol
-    text = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    owner = np.repeat(np.arange(n), sizes)
+    shift = left - ats  # the column of a segment's first symbol
     columns = np.zeros((width, n), np.uint8)
-    columns[np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes - shift, sizes), owner] = text + np.uint8(1)  # 0xFF is in no UTF-8 text
-    group = np.cumsum(np.r_[0, np.diff(np.array(keys, dtype=np.int64)) != 0]) << 8
+    columns[np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes - shift, sizes), np.repeat(np.arange(n), sizes)] = text + np.uint8(1)  # 0xFF is in no UTF-8 text
+    kept = _partnered(keys, columns, core, length)
+    columns, shift, n = columns[:, kept], shift[kept], len(kept)
+    group = np.cumsum(np.r_[0, np.diff(keys[kept]) != 0])[:n] << 8
     order, common = np.arange(n), np.zeros(n + 1, np.int16)  # of each entry with the one before it; the last is a bound
     marks = np.zeros((left + 1, n), bool)
     for column in range(width - 1, -1, -1):
         symbols = columns[column][order]  # what stands before the suffixes, in their order: the transform
         value = group + symbols
         by = np.argsort(value, kind="stable")
-        same = np.zeros(n, bool)
-        same[1:] = (value[by[1:]] == value[by[:-1]]) & (symbols[by[1:]] > 0)
-        at = np.flatnonzero(same)
+        value = value[by]
+        at = np.flatnonzero((value[1:] == value[:-1]) & (value[1:] & 255 > 0)) + 1
         new = np.zeros(n + 1, np.int16)
         if len(at):
             edges = np.empty(2 * len(at), np.int64)
@@ -121,20 +122,40 @@ def repeated_starts(keys: list[int], segments: list[bytes], ats: list[int], core
             marks[column, order[hit]] = True
             marks[column, order[hit - 1]] = True
     edge = np.diff(np.concatenate([np.zeros((1, n), np.int8), marks.astype(np.int8), np.zeros((1, n), np.int8)]), axis=0).T
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     who, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    for k, a, z in zip(who.tolist(), first.tolist(), last.tolist()):
-        out[k].append((a - int(shift[k]), z - int(shift[k])))
-    return out
+    return kept[who], first - shift[who], last - shift[who]
+
+
+def _partnered(keys: np.ndarray, columns: np.ndarray, core: int, length: int) -> np.ndarray:
+    """The segments that another one with their key equals over half of what a string has beside the anchor, left or right of it.
+
+    Any two equal strings do: the longer side of both has that much, and its bytes are the same."""
+    n, left = len(keys), length - core
+    half = (left + 1) // 2
+    found = np.zeros(n, bool)
+    for low, high in ((left - half, left), (left + core, left + core + left - half + 1)):
+        value = keys.astype(np.uint64)
+        for column in range(low, min(high, len(columns))):
+            value = (value ^ columns[column]) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+        order = np.argsort(value, kind="stable")
+        same = np.r_[False, value[order][1:] == value[order][:-1]]
+        same[:-1] |= same[1:].copy()
+        found[order[same]] = True  # where bytes are missing their zeros may agree, which only keeps more than is needed
+    return np.flatnonzero(found)
 
 
 def _digest(piece: bytes) -> tuple[int, int]:
-    return _TWO.unpack(_blake(piece, digest_size=16).digest())
+    import xxhash
+
+    return _TWO.unpack(xxhash.xxh3_128_digest(piece))
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest as digest
+
         for batch in batches:
             g, at, row, first, last, digests = [], [], [], [], [], []
             for n, text in enumerate(batch.column(2)):
@@ -144,7 +165,7 @@ def _anchors(length: int):
                 h, p, a, z = runs(np.frombuffer(raw, dtype=np.uint8), length)
                 g.append(h.view(np.int64))
                 at.append(p - a)
-                digests += [_blake(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), (z + length).tolist())]
+                digests += [digest(raw[i:j]) for i, j in zip(a.tolist(), (z + length).tolist())]
                 row.append(np.full(len(h), n))
                 first.append(a)
                 last.append(z)
@@ -158,33 +179,37 @@ def _anchors(length: int):
 
 
 def _decide(length: int):
-    """Rows (g, d1, d2, copy, n, at, core, piece) sorted by g: the runs of repeated strings of each kind, by the transform."""
-
-    def solve(rows: list[tuple]) -> Iterator[tuple]:
-        found = repeated_starts([r[0] for r in rows], [r[7] for r in rows], [r[5] for r in rows], min(r[6] for r in rows), length)
-        for r, spans in zip(rows, found):
-            if r[3] == 0:
-                for a, z in spans:
-                    yield r[0], r[1], r[2], a, z
+    """Rows (g, d1, d2, copy, at, core, piece) sorted by g: the runs of repeated strings of each kind, by the transform."""
+    names = ["g", "d1", "d2", "first", "last"]
+
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        g, d1, d2, copy, at, core = (rows.column(k).to_numpy().astype(np.int64) for k in range(6))
+        pieces = rows.column(6).chunk(0) if rows.num_rows else pa.array([], pa.binary())
+        ends = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        text = np.frombuffer(pieces.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+        who, first, last = repeated_starts(g, np.diff(ends), text, at, int(core.min()), length)
+        own = copy[who] == 0
+        who, first, last = who[own], first[own].astype(np.int32), last[own].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[who], d1[who], d2[who], first, last)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= CHUNK_BYTES and row[0] != held[-1][0]:
-                    out += solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[7])
-            yield _table(out)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column(6).nbytes
+            if size >= CHUNK_BYTES:  # all but the last key, which may go on
+                keys = batch.column(0).to_numpy()
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+                if cut:
+                    yield solve([*held[:-1], batch.slice(0, cut)])
+                    held = [batch.slice(cut)]
+                    size = held[0].column(6).nbytes
         if held:
-            yield _table(list(solve(held)))
-
-    def _table(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "d1", "d2", "first", "last"])
+            yield solve(held)
 
     return run
 
@@ -219,26 +244,29 @@ def _split(length: int):
     return run
 
 
-def repeated_spans(pieces: DataFrame, length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
-    """(g, d1, d2, first, last): of each kind of pieces(g, d1, d2, copy, n, at, core, piece) the runs of starts that repeat."""
-    pieces = written(pieces, "pieces")
-    sizes = pieces.groupBy("g").agg(F.sum(F.octet_length("piece")).alias("size"))
-    large = written(sizes.where(F.col("size") > most).select(F.col("g").alias("_key")), "large")
-    key = [F.col(c).alias(f"_{c}") for c in ("g", "d1", "d2")]
-    small = pieces.join(large, F.col("g") == F.col("_key"), "left_anti")
-    small = small.select("g", "d1", "d2", "copy", "n", "at", "core", "piece").repartition("g").sortWithinPartitions("g")
+def repeated_spans(kinds: DataFrame, pieces: DataFrame, length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
+    """(g, d1, d2, first, last): the runs of starts that repeat of each kind.
+
+    kinds has (g, d1, d2, n, size); pieces has (g, d1, d2, copy, n, at, core, piece), two copies of kinds with n > 1."""
+    total = F.sum(F.col("size") * F.when(F.col("n") > 1, 2).otherwise(1))
+    large = written(kinds.groupBy("g").agg(total.alias("total")).where(F.col("total") > most).select(F.col("g").alias("_key")), "large")
+    split = not large.isEmpty()
+    if split:
+        pieces = written(pieces, "pieces")
+    small = pieces.join(large, F.col("g") == F.col("_key"), "left_anti") if split else pieces
+    small = small.select("g", "d1", "d2", "copy", "at", "core", "piece").repartition("g").sortWithinPartitions("g")
     found = small.mapInArrow(_decide(length), "g bigint, d1 bigint, d2 bigint, first int, last int")
-    if large.isEmpty():
+    if not split:
         return found
     hot = pieces.where("copy = 0").join(large, F.col("g") == F.col("_key"), "left_semi").select("g", "d1", "d2", "n", "at", "core", "piece")
     parts = written(hot.mapInArrow(_split(length), "_g bigint, _d1 bigint, _d2 bigint, start int, n bigint, g bigint, d1 bigint, d2 bigint, at int, core int, piece binary"), "parts")
-    kinds = parts.groupBy("g", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("at", "core", "piece")).alias("one"))
-    kinds = written(kinds.select("g", "d1", "d2", "n", "one.*"), "kinds")
-    several = kinds.groupBy("g").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("g").alias("_key"))
-    below = kinds.join(written(several, "several"), F.col("g") == F.col("_key"), "left_semi")
+    below = parts.groupBy("g", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("at", "core", "piece")).alias("one"))
+    below = written(below.select("g", "d1", "d2", "n", "one.*", F.octet_length("one.piece").alias("size")), "kinds")
+    several = below.groupBy("g").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("g").alias("_key"))
+    below = below.join(written(several, "several"), F.col("g") == F.col("_key"), "left_semi")
     copies = F.explode(F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
-    spans = repeated_spans(below.select("g", "d1", "d2", copies, "n", "at", "core", "piece"), length, most)
-    spans = written(spans.select(*key, "first", "last"), "spans")
+    spans = repeated_spans(below.select("g", "d1", "d2", "n", "size"), below.select("g", "d1", "d2", copies, "n", "at", "core", "piece"), length, most)
+    spans = written(spans.withColumnsRenamed({c: f"_{c}" for c in ("g", "d1", "d2")}), "spans")
     up = parts.select(F.col("_g").alias("g0"), F.col("_d1").alias("d10"), F.col("_d2").alias("d20"), "start", "g", "d1", "d2")
     back = up.join(spans, [F.col(c) == F.col(f"_{c}") for c in ("g", "d1", "d2")])
     return found.unionByName(back.select(F.col("g0").alias("g"), F.col("d10").alias("d1"), F.col("d20").alias("d2"), (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last")))
@@ -253,27 +281,28 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST_BYTES)
     release(anchors, twice)
     place = F.struct("k1", "k2", "first", "last", "at")
     kinds = rows.groupBy("g", "d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+    kinds = written(kinds, "kinds")
     copies = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("copy"), "low.*"), F.struct(F.lit(1).alias("copy"), "high.*"))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), "low.*")))
     # a document's asks are one per kind that it was chosen for, in all no more than a part of its own size
-    asked = written(kinds, "kinds").select("g", "d1", "d2", "n", F.explode(copies).alias("c")).select("g", "d1", "d2", "n", "c.*")
-    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "d1", "d2", "copy", "n", "first", "last", "at")).alias("asks"))
-    asked = written(asked, "asked")
+    asked = kinds.select("g", "d1", "d2", "n", F.explode(copies).alias("c")).select("g", "d1", "d2", "n", "c.*")
+    asks = F.struct("g", "d1", "d2", "copy", "n", "at", "first", (F.col("last") + length).alias("end"))
+    asked = written(asked.groupBy("k1", "k2").agg(F.collect_list(asks).alias("asks")), "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for text, asks in zip(batch.column(0), batch.column(1).to_pylist()):
-                raw = text.as_buffer().to_pybytes()
-                out += [(a["g"], a["d1"], a["d2"], a["copy"], a["n"], a["at"], ANCHOR, raw[a["first"] : a["last"] + length]) for a in asks]
-            cols = list(zip(*out)) if out else [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "d1", "d2", "copy", "n", "at", "core", "piece"])
+            asks = batch.column(1).flatten()
+            g, d1, d2, copy, n, at, first, end = (asks.field(k) for k in range(8))
+            sizes = batch.column(1).value_lengths().to_pylist()
+            places = zip(first.to_pylist(), end.to_pylist())
+            pieces = [raw[a:z] for text, size in zip(batch.column(0), sizes) for raw in (text.as_buffer().to_pybytes(),) for a, z in islice(places, size)]
+            yield pa.RecordBatch.from_arrays([g, d1, d2, copy, n, at, pa.array(np.full(len(pieces), ANCHOR, np.int32)), pa.array(pieces, pa.binary())], names=["g", "d1", "d2", "copy", "n", "at", "core", "piece"])
 
     # of equal texts one is cut
     texts = docs.dropDuplicates(["k1", "k2"])
     chosen = texts.join(asked, ["k1", "k2"]).select("text", "asks")
     pieces = chosen.mapInArrow(cut, "g bigint, d1 bigint, d2 bigint, copy int, n bigint, at int, core int, piece binary")
-    spans = written(repeated_spans(pieces, length, most).withColumnsRenamed({c: f"_{c}" for c in ("g", "d1", "d2", "first", "last")}), "spans")
+    sized = kinds.select("g", "d1", "d2", "n", (F.col("low.last") - F.col("low.first") + length).alias("size"))
+    spans = written(repeated_spans(sized, pieces, length, most).withColumnsRenamed({c: f"_{c}" for c in ("g", "d1", "d2", "first", "last")}), "spans")
     found = rows.join(spans, [F.col(c) == F.col(f"_{c}") for c in ("g", "d1", "d2")])
     return found.select("k1", "k2", (F.col("first") + F.col("_first")).alias("first"), (F.col("first") + F.col("_last")).alias("last"))
 
