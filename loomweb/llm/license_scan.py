@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks and license templates.
 
-A text's words are cut into overlapping blocks, so that any run of up to
-``block_words - stride`` + 1 words lies whole in one block.  A template matches a block that
-holds at least ``threshold`` of its distinct words.  The join is exact:
+A text's words are cut into overlapping blocks, whose size goes with the template's: a template of up to ``s`` words, s a
+power of two and STRIDE at least, is sought in blocks of 2 s words that begin every s words, so any run of up to s + 1 words lies
+whole in one block.  A template matches a block that holds at least ``threshold`` of its distinct words.  The join is exact:
 
 - all words are ordered by their frequency over the whole corpus, rarest first;
 - prefix filter: a block that shares ``need`` words with a template shares one of its
@@ -13,10 +13,11 @@ holds at least ``threshold`` of its distinct words.  The join is exact:
 - what survives is verified by counting shared words.
 
 Phrases are templates with threshold 1 whose words must also stand consecutively.
-Templates are a bounded parameter, so their prefix index goes to every task.
+Templates are a bounded parameter, of any length, so their prefix index goes to every task.  The corpus is read twice: the
+word order needs the frequencies of all of it, of which only those of template words are kept.
 
 Defined cases: null text counts as empty; a text without words has no match and score 0;
-repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
+repeated rows each get a row; null ids are ids; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql.types import StructType
 
 # The phrases of the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices as they usually stand in files; at most block_words - stride + 1 words each.
+#: Notices as they usually stand in files, and whole license texts.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("released under the mit license", "mit"),
@@ -46,8 +47,30 @@ NOTICES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under a creative commons attribution noncommercial license", "cc-by-nc"),
     ("licensed under a creative commons attribution sharealike license", "cc-by-sa"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
+        "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        "CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "bsd",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS.",
+        "isc",
+    ),
 )
-THRESHOLD, BLOCK_WORDS, STRIDE = 0.8, 64, 32
+THRESHOLD, STRIDE = 0.8, 32
 #: Keeps word bytes (ASCII digits, a-z and all non-ASCII), lower-cases A-Z and blanks all others.
 WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -75,10 +98,10 @@ def templates(phrases=PHRASES, notices=NOTICES, threshold: float = THRESHOLD) ->
 class PrefixIndex:
     """Templates under a global word order."""
 
-    def __init__(self, found: list[Template], frequency: dict[bytes, int], block_words: int = BLOCK_WORDS, stride: int = STRIDE):
-        if any(len(t.words) > block_words - stride + 1 for t in found):
-            raise ValueError("a template is longer than what every block overlap holds")
-        self.templates, self.block_words, self.stride = found, block_words, stride
+    def __init__(self, found: list[Template], frequency: dict[bytes, int], stride: int = STRIDE):
+        found = [t for t in found if t.words]
+        self.templates = found
+        self.strides = [max(stride, 1 << (len(t.words) - 1).bit_length()) for t in found]
         vocabulary = sorted({w for t in found for w in t.words}, key=lambda w: (frequency.get(w, 0), w))
         self.order = {w: n for n, w in enumerate(vocabulary)}  # rarest first
         self.sorted = [sorted(self.order[w] for w in set(t.words)) for t in found]
@@ -88,25 +111,22 @@ class PrefixIndex:
                 self.by_prefix[rank].append(n)
         self.prefix_words = frozenset(w for w, rank in self.order.items() if rank in self.by_prefix)
 
-    def blocks_of(self, place: int) -> range:
-        """Numbers of the blocks [stride * b, stride * b + block_words) that hold a word."""
-        return range(max(0, (place - self.block_words) // self.stride + 1), place // self.stride + 1)
-
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, float]]]:
         """Places (label, first word, words) of phrases; blocks (label, first word, containment) of notices."""
         if self.prefix_words.isdisjoint(words):
             return [], []
         order, index = self.order, self.by_prefix
-        candidates = {(b, n) for place, w in enumerate(words) if w in self.prefix_words for n in index[order[w]] for b in self.blocks_of(place)}
+        # block b of a template's stride s has the words from s b to s (b + 2)
+        candidates = {(n, b) for place, w in enumerate(words) if w in self.prefix_words for n in index[order[w]] for b in (place // self.strides[n] - 1, place // self.strides[n]) if b >= 0}
         places: set[tuple[str, int, int]] = set()
         blocks: list[tuple[str, int, float]] = []
-        ranks_of: dict[int, list[int]] = {}
-        for b, n in sorted(candidates):
-            start = b * self.stride
-            block = words[start : start + self.block_words]
-            ranks = ranks_of.get(b)
+        ranks_of: dict[tuple[int, int], list[int]] = {}
+        for n, b in sorted(candidates, key=lambda x: (x[1] * self.strides[x[0]], x[0])):
+            start, end = b * self.strides[n], (b + 2) * self.strides[n]
+            block = words[start:end]
+            ranks = ranks_of.get((start, end))
             if ranks is None:
-                ranks = ranks_of[b] = sorted({order[w] for w in block if w in order})
+                ranks = ranks_of[start, end] = sorted({order[w] for w in block if w in order})
             t, own = self.templates[n], self.sorted[n]
             if len(ranks) < t.need:  # length
                 continue
