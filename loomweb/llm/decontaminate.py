@@ -1,22 +1,26 @@
 """Benchmark decontamination: a BM25 index of test items, searched with block-max WAND.
 
-Test items are the indexed documents and every training passage is a query.  Posting
-weights are BM25 contributions divided by the item's own score, so one threshold
-holds for items of any length.  Postings are cut into blocks of item numbers that are the
-same for all terms, each with its largest weight.  For a passage the sum of its terms' list
-maxima is compared with the threshold first, then that of each block, and only blocks
-that can reach it are scored.  Every item at or above the threshold is retrieved and
-verified: half of the words of both the item's question (up to its first sentence or line
-end) and its answer (the rest) must be there, and ``PAIR_OVERLAP`` of its word pairs, which
+Test items are cut into pieces of at most ``PIECE`` words, the indexed documents, and every training passage is a
+query.  Passages have ``PASSAGE`` words and overlap by half, so a piece that a text quotes lies whole in one of them,
+however long its item is.  Posting weights are BM25 contributions divided by the piece's own score, so one threshold
+holds for all pieces.  Postings are cut into blocks of piece numbers that are the same for all terms; each term has a
+list of the blocks it is in with its largest weight there.  For a passage the terms with the smallest list maxima that
+together cannot reach the threshold choose no block.  The other terms' blocks are candidates; the rest of the lists are
+entered by cursors that skip to these, the heaviest list first, and a block is left as soon as what is known of it and the
+maxima of the lists still to come stay below the threshold.  Only blocks that remain are scored.  Every piece at or
+above the threshold is retrieved and its item verified: half of the words of both the item's question (up to its
+first sentence or line end) and its answer (the rest) must be there, and ``PAIR_OVERLAP`` of its word pairs, which
 tells edited items from other texts of the same words.  The share of its five-word shingles
 is reported, not a condition.
 
 The index is broadcast in parts of at most ``PART_BYTES`` of item text; with more items
-the training texts are read once per part.  The numbers of items, words and items with a
-word, and the longest item, are those of all parts, so the parts change no score.
+the training texts are read once per part.  The numbers of pieces, words and pieces with a
+word are those of all parts, and pieces and passages have fixed sizes, so neither the parts nor other items' length change a
+score more than those numbers do.
 
 Defined cases: null texts count as empty; an item without words matches nothing; an item of
-under five words is one shingle; repeated rows each count; empty tables give an empty result.
+under five words is one shingle; an item of one word needs that word, and counts as found where it stands; repeated rows each
+count; null ids are ids; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ from .shared import text_key, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, PAIR_OVERLAP, PART_OVERLAP, SHINGLE = 0.5, 0.4, 0.5, 5
-PASSAGE, BLOCK_ITEMS = 128, 8
+PASSAGE, PIECE, BLOCK = 128, 64, 8
 PART_BYTES = 32 << 20
+#: Bounds and scores add up in different orders; what a bound discards is below the threshold by more than that.
+SLACK = 1e-9
 _QUESTION = re.compile(rb"^.*?(?:[.?!](?=\s)|\n|$)", re.S)
 
 
@@ -45,46 +51,51 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
+def pieces_of(words: list[bytes]) -> list[list[bytes]]:
+    """The words in pieces of nearly equal length, PIECE at most."""
+    n = -(-len(words) // PIECE)
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    sizes = end - first
+    return np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+
+
 class Index:
-    """Impact-ordered BM25 postings of the test items with block maxima."""
+    """BM25 postings of the items' pieces, with the largest weight of each term in each block it is in."""
 
-    def __init__(self, items: list[tuple[int, str]], totals: tuple[int, int, int] | None = None, df: dict[bytes, int] | None = None):
-        """totals (items with words, their words, the most words of one) and df are those of all items, where these are a part of them."""
+    def __init__(self, items: list[tuple[int, str]], totals: tuple[int, int] | None = None, df: dict[bytes, int] | None = None):
+        """totals (pieces and their words) and df are those of all items, where these are a part of them."""
         raw = [(i, (t or "").encode()) for i, t in items]
-        self.items = [(i, words_of(t)) for i, t in raw if words_of(t)]
+        self.items = [(i, w) for i, t in raw if (w := words_of(t))]
         texts = [t for _, t in raw if words_of(t)]
-        self.n_blocks = -(-len(self.items) // BLOCK_ITEMS)
-        sizes = [len(w) for _, w in self.items]
-        n, n_words, longest = totals or (len(sizes), sum(sizes), max(sizes, default=0))
-        df = df or Counter(w for _, words in self.items for w in set(words))
+        pieces = [(n, p) for n, (_, words) in enumerate(self.items) for p in pieces_of(words)]
+        self.item_of = [n for n, _ in pieces]
+        n, n_words = totals or (len(pieces), sum(len(p) for _, p in pieces))
+        df = df or Counter(w for _, words in pieces for w in set(words))
         mean = n_words / max(1, n)
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        for number, (_, words) in enumerate(self.items):
+        for number, (_, words) in enumerate(pieces):
             tf = Counter(words)
             part = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
             own = sum(part.values())
             for w, x in part.items():
                 postings[w].append((number, x / own))
         self.term = {w: t for t, w in enumerate(postings)}
-        self.numbers = [np.array([i for i, _ in p]) for p in postings.values()]
-        self.weights = [np.array([x for _, x in p]) for p in postings.values()]
-        self.most = np.array([x.max() for x in self.weights] + [0.0])
-        #: The largest weight of each term in each block of items.
-        self.block_most = np.zeros((len(postings), self.n_blocks))
-        for t, (i, x) in enumerate(zip(self.numbers, self.weights)):
-            np.maximum.at(self.block_most[t], i // BLOCK_ITEMS, x)
-        #: Of each block its terms and their weights for its items.
-        self.block_terms, self.block_weights = [], []
-        pairs = [np.stack([np.full(len(i), t), i]) for t, i in enumerate(self.numbers)]
-        terms, numbers = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        weights = np.concatenate(self.weights) if pairs else np.zeros(0)
-        for block in range(self.n_blocks):
-            inside = np.flatnonzero(numbers // BLOCK_ITEMS == block)
-            own, row = np.unique(terms[inside], return_inverse=True)
-            table = np.zeros((len(own) + 1, BLOCK_ITEMS))
-            table[row, numbers[inside] % BLOCK_ITEMS] = weights[inside]
-            self.block_terms.append(own)
-            self.block_weights.append(table)
+        #: Postings by term: (piece, weight); term t's are those from start[t] on.
+        sizes = [len(p) for p in postings.values()]
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.numbers = np.array([i for p in postings.values() for i, _ in p], dtype=np.int64)
+        self.weights = np.array([x for p in postings.values() for _, x in p])
+        #: Block lists by term, in the same way: (block, the term's largest weight there).
+        terms = np.repeat(np.arange(len(sizes)), sizes)
+        new = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(self.numbers // BLOCK) != 0)][: len(terms)])
+        self.block_start = np.searchsorted(terms[new], np.arange(len(sizes) + 1))
+        self.blocks = (self.numbers // BLOCK)[new]
+        self.block_most = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.most = np.maximum.reduceat(self.weights, self.start[:-1]) if len(sizes) else np.zeros(0)
         self.shingles = [shingles(w) for _, w in self.items]
         self.pairs = [shingles(w, 2) for _, w in self.items]
         self.parts = []
@@ -93,20 +104,36 @@ class Index:
             if not question or len(question) == len(words):
                 question = words[: -(-len(words) // 2)]
             self.parts.append((set(question), set(words[len(question) :]) or set(question)))
-        self.passage = max(PASSAGE, 2 * longest)
-        self.margin = longest
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items whose score for the distinct terms reaches the threshold."""
-        bound = self.block_most[terms].sum(axis=0)
-        out = []
-        for block in np.flatnonzero(bound >= THRESHOLD):
-            own = self.block_terms[block]
-            row = np.searchsorted(own, terms)
-            row[own[np.minimum(row, len(own) - 1)] != terms] = len(own)  # the row of zeros
-            scores = self.block_weights[block][row].sum(axis=0)
-            out += [(int(block * BLOCK_ITEMS + i), float(scores[i])) for i in np.flatnonzero(scores >= THRESHOLD)]
-        return out
+        """(piece, score) of those whose score for the distinct terms reaches the threshold."""
+        terms = terms[np.argsort(self.most[terms], kind="stable")]
+        below = np.cumsum(self.most[terms])
+        pivot = int(np.searchsorted(below, THRESHOLD - SLACK))  # the terms before it cannot reach the threshold together
+        if pivot == len(terms):
+            return []
+        a, z = self.block_start[terms], self.block_start[terms + 1]
+        at = _ranges(a[pivot:], z[pivot:])
+        blocks, where = np.unique(self.blocks[at], return_inverse=True)
+        bound = np.bincount(where, self.block_most[at])
+        for k in range(pivot - 1, -1, -1):
+            alive = bound + below[k] >= THRESHOLD - SLACK
+            blocks, bound = blocks[alive], bound[alive]
+            if not len(blocks):
+                return []
+            cursor = np.minimum(a[k] + np.searchsorted(self.blocks[a[k] : z[k]], blocks), z[k] - 1)
+            bound = bound + np.where(self.blocks[cursor] == blocks, self.block_most[cursor], 0.0)
+        blocks = blocks[bound >= THRESHOLD - SLACK]
+        if not len(blocks):
+            return []
+        terms = np.sort(terms)
+        at = _ranges(self.start[terms], self.start[terms + 1])
+        numbers = self.numbers[at]
+        row = np.minimum(np.searchsorted(blocks, numbers // BLOCK), len(blocks) - 1)
+        inside = blocks[row] == numbers // BLOCK
+        scores = np.bincount(row[inside] * BLOCK + numbers[inside] % BLOCK, self.weights[at[inside]], len(blocks) * BLOCK)
+        hit = np.flatnonzero(scores >= THRESHOLD)
+        return list(zip((blocks[hit // BLOCK] * BLOCK + hit % BLOCK).tolist(), scores[hit].tolist()))
 
     def matches(self, text: bytes) -> list[tuple[int, float, float, int]]:
         """(item id, score, shingle overlap, first word of the passage) of the best passage of each verified item."""
@@ -122,17 +149,21 @@ class Index:
         same = terms[order][1:] == terms[order][:-1]
         before[order[1:][same]] = at[order[:-1][same]]
         found: dict[int, tuple[float, float, int]] = {}
-        half = self.passage // 2
-        for shift in (0, half):  # passages that overlap by half
-            number = (at + shift) // self.passage
-            first = number * self.passage - shift
+        for shift in (0, PASSAGE // 2):  # passages that overlap by half
+            number = (at + shift) // PASSAGE
+            first = number * PASSAGE - shift
             new = before < first  # the term's first place in the passage
             bound = np.bincount(number, np.where(new, self.most[terms], 0.0))
-            for p in np.flatnonzero(bound >= THRESHOLD):
+            for p in np.flatnonzero(bound >= THRESHOLD - SLACK):
                 a, b = np.searchsorted(number, (p, p + 1))
-                start = max(0, p * self.passage - shift)
-                for item, score in self.search(terms[a:b][new[a:b]]):
-                    overlap = self.verify(item, words[max(0, start - self.margin) : p * self.passage - shift + self.passage + self.margin])
+                start = max(0, int(p) * PASSAGE - shift)
+                best: dict[int, float] = {}
+                for piece, score in self.search(terms[a:b][new[a:b]]):
+                    item = self.item_of[piece]
+                    best[item] = max(best.get(item, 0.0), score)
+                for item, score in best.items():
+                    margin = len(self.items[item][1])
+                    overlap = self.verify(item, words[max(0, start - margin) : int(p) * PASSAGE - shift + PASSAGE + margin])
                     if overlap is not None:  # the best passage, the first of equal ones
                         found[item] = max(found.get(item, (0.0, 0.0, 0)), (overlap, round(score, 9), -start))
         return [(self.items[i][0], score, overlap, -start) for i, (overlap, score, start) in sorted(found.items())]
@@ -149,15 +180,16 @@ class Index:
 
 
 def item_words(items: DataFrame, item_text: str) -> DataFrame:
-    """(_part, n_words, words): of each row of items its number of words and the different ones."""
+    """(_part, n_words, words): of each piece of the items its number of words and the different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of((t or "").encode()) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))]
+            found = [(n, p) for n, t in enumerate(batch.column(1).to_pylist()) for p in pieces_of(words_of((t or "").encode()))]
+            rows = pa.array([n for n, _ in found], pa.int64())
+            columns = [batch.column(0).take(rows), pa.array([len(p) for _, p in found], pa.int64()), pa.array([sorted(set(p)) for _, p in found], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, names=["_part", "n_words", "words"])
 
-    return items.select("_part", item_text).mapInArrow(run, "_part bigint, n_words bigint, words array<binary>").where("n_words > 0")
+    return items.select("_part", item_text).mapInArrow(run, "_part bigint, n_words bigint, words array<binary>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -171,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     totals, df, found = None, None, None
     if n_parts > 1:  # every part scores by the figures of all items
         own = written(item_words(items, item_text), "item_words")
-        totals = tuple(own.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(0))).first())
+        totals = tuple(own.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first())
         words = own.select("_part", F.explode("words").alias("word"))
         df = words.groupBy("word").agg(F.count("*").alias("df"))
         df = written(words.groupBy("_part", "word").agg(F.lit(1)).join(df, "word").select("_part", "word", "df"), "item_df")
