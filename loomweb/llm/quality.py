@@ -1,8 +1,9 @@
 """Quality rules with SQL functions only: repetition counts and distribution divergence.
 
 Each text gives two histograms: of character classes and of common words of its
-language.  A language's reference is the mean histogram over all its texts of the
-corpus, so it is gathered from every row and has one row per language.  A text
+language.  A language's reference is the mean histogram over its texts that pass the base rules, gathered from
+all rows, so it has one row per language.  All counts are made once and written, the
+references come from that table, and the verdicts from it and them.  A text
 is rejected if the Jensen-Shannon distance (square root of the divergence, base 2) to its
 language's reference is over the limit in either histogram, guarded by minimum lengths, or if
 the base rules reject it.
@@ -11,9 +12,10 @@ Repeated 8-word windows are found inside the row: window hashes are sorted with
 their places and the places of equal neighbours are merged to covered words, so no
 window travels.
 
-Defined cases: null text has no words and fails the base rules; null or rare languages have
-no reference and pass the divergence rules; repeated rows each get a row; an empty
-table gives an empty result; extra columns are ignored.
+Defined cases: null text has no words and fails the base rules; rows without a language share a reference;
+a language without common words in COMMON is judged by its character classes alone; a distance is null, and its rule
+passes, where a text is below the minimum length or its language has no text that the reference could be made of; repeated
+rows each get a row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE
+from .shared import ASCII_SPACE, written
 
 SPACE_RUN = "[ \\t-\\r]+"
 # Character classes.
@@ -32,9 +34,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Least words before a histogram counts, and the largest distance that is kept.
 MIN_CLASS_WORDS, MIN_COMMON_WORDS = 30, 200
-MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.32, 0.24
-#: Texts of a language below which it has no reference.
-MIN_REFERENCE = 20
+MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.35, 0.24
 # Frequent function words of the languages.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "this"],
@@ -61,11 +61,12 @@ def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
-def _class_counts(text: Column, word_chars: Column) -> Column:
-    """Of ASCII capitals, digits, punctuation, symbols, of bytes that continue non-ASCII characters, and of all others."""
-    counts = [*(_among(text, g) for g in ("[A-Z]", "[0-9]", PUNCTUATION, SYMBOLS)), F.octet_length(text) - F.length(text)]
-    rest = F.greatest(word_chars - reduce(lambda a, b: a + b, counts), F.lit(0))
-    return F.array(*[c.cast("double") for c in [*counts, rest]])
+def _class_counts(joined: Column) -> Column:
+    """Of the characters in words: ASCII capitals, digits, punctuation, symbols, other ASCII characters, and all others."""
+    counts = [_among(joined, g) for g in ("[A-Z]", "[0-9]", PUNCTUATION, SYMBOLS)]
+    wide = F.length(F.regexp_replace(joined, r"[\x00-\x7F]+", ""))
+    rest = F.length(joined) - wide - reduce(lambda a, b: a + b, counts)
+    return F.array(*[c.cast("double") for c in [*counts, rest, wide]])
 
 
 def _common(words: Column, lang: Column) -> Column:
@@ -91,13 +92,14 @@ def _share(counts: Column, total: Column) -> Column:
 
 
 def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of shares."""
+    """Jensen-Shannon distance, base 2, of two arrays of shares; null if one is."""
 
     def term(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
     parts = F.zip_with(p, q, lambda a, b: 0.5 * term(a, b) + 0.5 * term(b, a))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def _inner(docs: DataFrame) -> list[str]:
@@ -110,8 +112,9 @@ def histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     own = dict(zip(docs.columns, _inner(docs)))
     text, lang = F.coalesce(F.col(own[text_col]), F.lit("")), F.col(own[lang_col])
     rows = _held(docs.toDF(*own.values()), "words", _words(text)).withColumn("lang", lang)
-    rows = _held(rows, "word_chars", F.length(F.array_join("words", "")).cast("bigint"))
-    rows = _held(rows, "classes", _class_counts(text, F.col("word_chars")))
+    rows = _held(rows, "joined", F.array_join("words", ""))
+    rows = rows.withColumn("word_chars", F.length("joined").cast("bigint"))
+    rows = _held(rows, "classes", _class_counts(F.col("joined")))
     rows = _held(rows, "picked", _common(F.col("words"), lang))
     rows = _held(rows, "common", _common_counts(F.col("picked"), lang))
     n_words = F.size("words").cast("bigint")
@@ -120,7 +123,7 @@ def histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     other = F.greatest(F.lit(0.0), 1 - F.when(n_words > 0, seen / n_words).otherwise(0.0))
     rows = rows.withColumn("n_words", n_words).withColumn("n_symbols", F.col("classes")[3].cast("bigint"))
     rows = _held(rows, "p_class", _share(F.col("classes"), total))
-    return _held(rows, "p_common", F.concat(_share(F.col("common"), n_words), F.array(other))).drop("classes", "picked", "common")
+    return _held(rows, "p_common", F.concat(_share(F.col("common"), n_words), F.array(other))).drop("joined", "classes", "picked", "common")
 
 
 def measures(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -144,34 +147,33 @@ def measures(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """(ref_lang, q_class, q_common): mean histograms over the texts of each language that has common words."""
-    lang = F.col("lang")
+    """(ref_lang, q_class, q_common): mean histograms over the texts of each language that pass the base rules."""
     n_class, n_common = 6, len(COMMON["en"]) + 1
-    # conditions inside the sums, as a filter on what is measured would measure it twice
-    rows = measured.where(lang.isin(*COMMON))
+    rows = measured.where("not base_failed")
     rows = rows.withColumn("p_class", F.when(F.col("n_words") >= MIN_CLASS_WORDS, F.col("p_class"))).withColumn("p_common", F.when(F.col("n_words") >= MIN_COMMON_WORDS, F.col("p_common")))
-    sums = [F.avg(F.col("p_class")[i]).alias(f"c{i}") for i in range(n_class)]
-    sums += [F.avg(F.col("p_common")[i]).alias(f"w{i}") for i in range(n_common)]
-    means = rows.groupBy(lang.alias("ref_lang")).agg(F.count("p_class").alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE)
-    q_common = F.when(F.col("w0").isNotNull(), F.array(*[f"w{i}" for i in range(n_common)]))
-    return means.select("ref_lang", F.array(*[f"c{i}" for i in range(n_class)]).alias("q_class"), q_common.alias("q_common"))
+    sums = [F.avg(F.get("p_class", F.lit(i))).alias(f"c{i}") for i in range(n_class)]
+    sums += [F.avg(F.get("p_common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
+    means = rows.groupBy(F.col("lang").alias("ref_lang")).agg(*sums)
+    known = lambda first, names: F.when(F.col(first).isNotNull(), F.array(*names))
+    return means.select("ref_lang", known("c0", [f"c{i}" for i in range(n_class)]).alias("q_class"), known("w0", [f"w{i}" for i in range(n_common)]).alias("q_common"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs under ``doc``, their counts, both distances (null where a guard holds) and kept."""
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry (or all) of docs under ``doc``, counts, both distances (null where a guard holds) and kept."""
+    own = dict(zip(docs.columns, _inner(docs)))
     measured = measures(docs, text_col, lang_col)
-    # one row per language of COMMON at most
-    found = measured.join(F.broadcast(references(histograms(docs.select(text_col, lang_col), text_col, lang_col))), F.col("lang") == F.col("ref_lang"), "left")
+    measured = measured.select(F.struct(*[F.col(own[name]).alias(name) for name in carry or docs.columns]).alias("doc"), *[c for c in measured.columns if c not in own.values()])
+    measured = written(measured, "measures")
+    # a language has one row; Spark broadcasts them where they are few enough
+    found = measured.join(references(measured), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     class_distance = F.when(F.col("n_words") >= MIN_CLASS_WORDS, distance(F.col("p_class"), F.col("q_class")))
     common_distance = F.when(F.col("n_words") >= MIN_COMMON_WORDS, distance(F.col("p_common"), F.col("q_common")))
     found = found.withColumn("class_distance", class_distance).withColumn("common_distance", common_distance)
     ok = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON_DISTANCE)
     found = found.withColumn("kept", ~F.col("base_failed") & ok)
-    doc = F.struct(*[F.col(own).alias(name) for own, name in zip(_inner(docs), docs.columns)]).alias("doc")
-    return found.select(doc, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
+    return found.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep."""
-    judged = judge(docs, id_col, text_col, lang_col)
-    return _held(judged.select("doc", "kept"), "_kept", F.col("kept")).where("_kept").select("doc.*")
+    return judge(docs, text_col, lang_col).where("kept").select("doc.*")

@@ -69,7 +69,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     distances = [F.round(c, 6).alias(c) for c in ("class_distance", "common_distance")]
     return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *distances)
 
@@ -94,12 +94,15 @@ e1 as (select *, replace(replace(replace(replace(replace(replace(replace(replace
 t0 as (select *, length(safe) + length(role) + 17 as chars, cast(ceil((strlen(safe) + strlen(role) + 17) / 4.0) as bigint) as tokens from e1),
 t1 as (select *, row_number() over w - 1 as seq, coalesce(sum(tokens) over (w rows between unbounded preceding and 1 preceding), 0) as before
   from t0 window w as (partition by conv_id order by turn nulls first, role, text)),
-t as (select *, cast(floor(before / 1024.0) as bigint) as win from t1),
-f as (select conv_id, win, min(seq) as first_seq, min(before) as first_before from t group by all),
+t as (select *, 2 * cast(floor(before / 256.0) as bigint) + case when tokens > 256 then 1 else 0 end as win from t1),
+sys as (select conv_id, tokens as sys from t where seq = 0 and role = 'system'),
+f as (select t.conv_id, win, min(seq) as first_seq, min(before) as first_before, sum(tokens) as own from t group by all),
+g as (select f.*, sys.sys from f left join sys on sys.conv_id is not distinct from f.conv_id),
 again as (
-  select distinct f.conv_id, f.win, t.seq, t.chars from f join t on t.conv_id is not distinct from f.conv_id and (
-    (t.seq < f.first_seq and t.seq >= f.first_seq - 2 and f.first_before - t.before <= 512)
-    or (t.seq = 0 and t.role = 'system' and f.first_seq > 0))),
+  select g.conv_id, g.win, t.seq, t.chars from g join t on t.conv_id is not distinct from g.conv_id and (
+    (t.seq < g.first_seq and t.seq >= g.first_seq - 2 and (t.seq > 0 or g.sys is null)
+      and g.first_before - t.before <= least(256, 1024 - g.own - coalesce(g.sys, 0)))
+    or (t.seq = 0 and t.role = 'system' and g.first_seq > 0))),
 more as (select conv_id, sum(chars) as chars from again group by conv_id),
 sums as (
   select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by seq)) as turns_sha256,
