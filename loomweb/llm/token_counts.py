@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import release, written
+
 #: Bounds of the frequent table: entries, their bytes in all, and entries that one task proposes.
-FREQUENT, FREQUENT_BYTES, PROPOSED = 200_000, 16 << 20, 100_000
+FREQUENT, FREQUENT_BYTES, PROPOSED = 200_000, 4 << 20, 100_000
 #: Pre-tokens a task counts before it drops the rare ones of its proposal.
 PROPOSAL_LIMIT = 1_000_000
 
@@ -73,15 +75,21 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_table(docs: DataFrame, path: str, text_col: str = "text") -> dict[str, int]:
-    """Token counts of at most FREQUENT pre-tokens with FREQUENT_BYTES in all."""
+    """Token counts of at most FREQUENT pre-tokens with FREQUENT_BYTES in all: those of the highest classes of frequency.
+
+    The classes, 8 to a doubling, are summed up first, so the driver gets a histogram of a few hundred rows and then the chosen
+    pre-tokens alone, from all tasks together no more than the bounds."""
     top = docs.select(text_col).mapInArrow(_proposals, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = top.where(F.octet_length("token") <= FREQUENT_BYTES // 16).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()
-    kept, size = [], 0
-    for (token,) in rows:
-        size += len(token.encode())
-        if size > FREQUENT_BYTES:
+    top = written(top.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "proposals")
+    rows = top.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("size")).orderBy(F.desc("class")).collect()
+    n, size, least = 0, 0, None
+    for r in rows:
+        n, size = n + r["n"], size + r["size"]
+        if n > FREQUENT or size > FREQUENT_BYTES:
             break
-        kept.append(token)
+        least = r["class"]
+    kept = [] if least is None else [r["token"] for r in top.where(F.col("class") >= least).select("token").collect()]
+    release(top)
     return dict(zip(kept, Pieces(path).counts(kept)))
 
 
