@@ -3,16 +3,17 @@
 Each task writes its records, gzip members of their own, to one archive file under the
 shared folder and returns an index row per record: file, offset, length, URL and digest.  The
 index is a table; files that a lost task left behind are in no index row and are never
-read.  Readers take the index rows they want, sorted by file and offset, join
-neighbouring byte ranges up to ``MAX_RANGE`` bytes across gaps of at most ``MAX_GAP``, and read each
+read.  The index rows wanted are dealt to tasks by stretches of ``DEAL`` archive bytes, so that the number of reading tasks grows with
+the archives.  Each task sorts its rows by file and offset, joins neighbouring byte ranges up to ``MAX_RANGE`` bytes across gaps of at most ``MAX_GAP``, and reads each
 range once.
 
 Of records with equal payloads that with the smallest id is the response, others are
 revisits that refer to it.  Only (id, payload hash) travels to find them, in sums that are taken
-before the shuffle, so a payload that a third of the pages share stays spread out.
+before the shuffle, so a payload that a third of the pages share stays spread out.  Pages meet the list of revisits where they
+lie while that list is small enough to be broadcast; beyond that, payloads are shuffled once.
 
 Defined cases: null or empty payloads are empty ones and equal each other; null URLs are
-written empty; repeated rows each get a record, and all rows with the smallest id are
+written empty; null ids are written empty and sort before all others; repeated rows each get a record, and all rows with the smallest id are
 responses; an empty table writes no archive; extra columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import scratch, written
 
-MAX_GAP, MAX_RANGE = 64 << 10, 8 << 20
+MAX_GAP, MAX_RANGE, DEAL = 64 << 10, 8 << 20, 16 << 20
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string, record_type string"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 #: Records carry ids in their WARC-Record-ID as urn:page:<id>.
@@ -139,19 +140,26 @@ def read_archives(folder: str, wanted: DataFrame, with_payload: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
-        opened = (None, None)
-        for batch in batches:
-            rows = []
-            for file, start, end, members in ranges(list(zip(*(c.to_pylist() for c in batch.columns)))):
-                if opened[0] != file:
-                    opened = (file, files.open_input_file(f"{root}/{file}"))
-                data = opened[1].read_at(end - start, start)
-                for offset, length in members:
-                    found = parse_record(zlib.decompress(data[offset - start : offset - start + length], 31))
-                    rows.append(found if with_payload else (*found[:-1], None))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    dealt = wanted.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+        name, opened = None, None
+        try:
+            for batch in batches:
+                rows = []
+                for file, start, end, members in ranges(list(zip(*(c.to_pylist() for c in batch.columns)))):
+                    if name != file:
+                        if opened is not None:
+                            opened.close()
+                        name, opened = file, files.open_input_file(f"{root}/{file}")
+                    data = opened.read_at(end - start, start)
+                    for offset, length in members:
+                        found = parse_record(zlib.decompress(data[offset - start : offset - start + length], 31))
+                        rows.append(found if with_payload else (*found[:-1], None))
+                cols = list(zip(*rows)) if rows else [()] * 7
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        finally:
+            if opened is not None:
+                opened.close()
+
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    dealt = wanted.select("file", "offset", "length").repartition(1 + int(size) // DEAL, "file", F.floor(F.col("offset") / DEAL)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, RECORD)
