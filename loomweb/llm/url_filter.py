@@ -2,14 +2,15 @@
 
 Two variable-order Markov models, of accepted and of rejected URLs, are smoothed by
 interpolation: an order's estimate is its counts plus ``WEIGHT`` pseudo-counts dealt by the next
-lower order, so unseen contexts fall back by themselves.  Their counts come from every
-row that a rule labels; no row is sampled.  Counts are exact and stay a DataFrame that grows
+lower order, so unseen contexts fall back by themselves.  The rules label rows.  One labelled text in
+``FOLDS``, by its hash, is held out for calibration, and the counts come from all others; no row is sampled.  What is scored is host and path,
+lower-cased; query strings and fragments, mostly session state, are left out.  Counts are exact and stay a DataFrame that grows
 with the input: a window of ORDERS bytes is one number, all lower orders are sums over
 windows, and the distinct windows of each batch of rows are joined to their log-ratios
 and meet the batch again, so nothing is broadcast but counts by single bytes.  A URL's
 score is the difference of both log-likelihoods
-divided by its length; the decision threshold is calibrated on a histogram of the
-labelled rows' scores, as the bin with the least mean of both error rates.
+divided by its length; the decision threshold is calibrated on a histogram of the held-out
+rows' scores, as the bin with the least mean of both error rates; where a class has none held out, it is 0.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule and, as it has no
 characters to score, the verdict allow; without rows of either class all unruled URLs are
@@ -30,6 +31,7 @@ from .shared import ascii_lower, written
 # The rules of the contract, as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDERS, WEIGHT = 6, 2.0  # a window of ORDERS bytes and its slot fit in 64 bits
+FOLDS = 10
 BATCH_BITS = 11  # rows scored together, as a power of two
 BINS, REACH = 400, 4.0  # of the score histogram, which holds -REACH to REACH
 
@@ -132,6 +134,14 @@ def _score(rows: pa.Table, known: pa.Table) -> pa.Table:
     return rows.append_column("score", pa.array(sums / np.maximum(sizes, 1), pa.float64()))
 
 
+def cut_of(histogram: np.ndarray) -> float:
+    """The score below which the mean of both error rates is least, the middle one of equals; rows are accepted, then rejected."""
+    share = histogram.cumsum(axis=1) / histogram.sum(axis=1, keepdims=True)
+    error = np.r_[1.0, share[0] + 1 - share[1]]  # accepted ones below the cut, rejected ones above it
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    return -REACH + best[len(best) // 2] * 2 * REACH / BINS
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id_col, host, path, rule, score, verdict) per row; score is null where a rule decides."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
@@ -142,7 +152,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = written(rows, "urls")
     rejected = F.col("_ruled") == "block"
 
-    counts = rows.where("_ruled is not null").select("_text", rejected.alias("rejected")).mapInArrow(_count, "window bigint, accepted bigint, rejected bigint")
+    held = F.pmod(F.xxhash64("_text"), F.lit(FOLDS)) == 0
+    counts = rows.where(F.col("_ruled").isNotNull() & ~held).select("_text", rejected.alias("rejected")).mapInArrow(_count, "window bigint, accepted bigint, rejected bigint")
     counts = written(counts.groupBy("window").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "counts")
     asked = written(rows.select("batch", "_text").mapInArrow(_asked, "batch bigint, window bigint"), "asked")
     ratios = written(log_ratios(asked.select("window").distinct(), counts), "ratios")
@@ -151,17 +162,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scored = written(scored, "scored")
 
     totals = counts.agg(F.sum("accepted"), F.sum("rejected")).first()
-    both = bool(totals[0] and totals[1])
-    threshold = -REACH
+    both, threshold = bool(totals[0] and totals[1]), 0.0
     if both:
-        marked = scored.where("_ruled is not null").select(rejected.cast("bigint").alias("rejected"), "score")
+        marked = scored.where(F.col("_ruled").isNotNull() & held).select(rejected.cast("int").alias("rejected"), "score")
         place = F.least(F.greatest(F.floor((F.col("score") + REACH) * (BINS / (2 * REACH))), F.lit(0)), F.lit(BINS - 1))
         histogram = np.zeros((2, BINS))
         for r in marked.groupBy("rejected", place.alias("bin")).count().collect():  # 2 * BINS rows at most
             histogram[r["rejected"], r["bin"]] = r["count"]
-        share = histogram.cumsum(axis=1) / np.maximum(histogram.sum(axis=1, keepdims=True), 1)
-        error = np.r_[1.0, share[0] + 1 - share[1]]  # accepted ones below the cut, rejected ones above it
-        best = np.flatnonzero(error == error.min())
-        threshold = -REACH + best[len(best) // 2] * 2 * REACH / BINS
+        if histogram.sum(axis=1).all():
+            threshold = cut_of(histogram)
     judged = F.when(F.col("_ruled").isNotNull(), F.col("_ruled")).when(F.lit(both) & (F.col("_text") != "") & (F.col("score") < threshold), "block").otherwise("allow")
     return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", F.when(F.col("_ruled").isNull(), F.col("score")).alias("score"), judged.alias("verdict"))
