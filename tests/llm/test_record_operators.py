@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import duckdb
 
@@ -54,6 +55,32 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.windows(spark.createDataFrame([], TURNS))).count() == 0
 
 
+def test_windows_keep_their_budget(spark):
+    rng = random.Random(4)
+    rows = []
+    for conv in range(40):
+        rows += [(conv, 0, "system", "s" * rng.choice([10, 900]))] * (conv % 2)
+        rows += [(conv, k, rng.choice(["user", "assistant"]), "x" * rng.choice([5, 400, 990, 1030, 3000])) for k in range(1, rng.randrange(2, 60))]
+    rows.append((99, 1, "assistant", "y" * 9000))  # a lone turn over the budget
+    made = chat.windows(spark.createDataFrame(rows, TURNS)).collect()
+    text = {(c, n): (r, t) for c in {x[0] for x in rows} for n, (_, _, r, t) in enumerate(sorted(x for x in rows if x[0] == c))}
+    seen = []
+    for w in made:
+        assert w["tokens"] <= chat.BUDGET or w["conv_id"] == 99
+        new = [s for s in w["seqs"] if s >= w["first_seq"]]
+        old = [s for s in w["seqs"] if s < w["first_seq"]]
+        seen += [(w["conv_id"], s) for s in new]
+        system = text[w["conv_id"], 0][0] == "system"
+        assert (0 in w["seqs"]) or not system
+        recent = [s for s in old if not (system and s == 0)]
+        assert recent == list(range(w["first_seq"] - len(recent), w["first_seq"])) and len(recent) <= chat.HISTORY_TURNS
+        assert len(w["loss_spans"]) == sum(text[w["conv_id"], s][0] == "assistant" for s in new)
+        for span, s in zip(w["loss_spans"], [s for s in new if text[w["conv_id"], s][0] == "assistant"]):
+            assert w["formatted"][span["start"] : span["start"] + span["length"]] == text[w["conv_id"], s][1]
+    assert sorted(seen) == sorted(text)
+    assert any(len([s for s in w["seqs"] if 0 < s < w["first_seq"]]) == 2 for w in made)
+
+
 def test_sql_twins(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
@@ -90,8 +117,6 @@ def test_url_model_tells_classes_apart(spark):
 
 
 def test_components_by_union(spark):
-    import random
-
     random.seed(1)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(None, 1), (7, 7)]
     label = {}

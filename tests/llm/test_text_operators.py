@@ -7,7 +7,7 @@ import pytest
 
 from loomweb.llm import bpe, decontaminate, license_scan, quality, queries, simhash, suffix_dedup, token_counts
 
-from .helpers import ODD, by_id, docs
+from .helpers import DOCS, ODD, by_id, docs
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -25,13 +25,58 @@ def test_license_places(spark):
 def test_license_join_is_exact():
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}".encode() for i in range(30)]
-    found = [license_scan.Template(tuple(rng.choice(vocabulary, 8)), f"t{n}", 0.6, False) for n in range(6)]
+    found = [license_scan.Template(tuple(rng.choice(vocabulary, n)), f"t{n}", 0.6, False) for n in (1, 8, 8, 8, 32, 33, 70)]
     frequency = {w: int(rng.integers(1, 99)) for w in vocabulary}
     index = license_scan.PrefixIndex(found, frequency)
-    words = [bytes(w) for w in rng.choice([*vocabulary, *(b"o%d" % i for i in range(90))], 700)]
+    words = [bytes(w) for w in rng.choice([*vocabulary, *(b"o%d" % i for i in range(150))], 700)]
     got = {(label, start) for label, start, _ in index.scan(words)[1]}
-    want = {(t.label, s) for s in range(0, 700, 32) for t in found if len(set(t.words) & set(words[s : s + 64])) >= t.need}
-    assert got == want and want
+    stride = {1: 32, 8: 32, 32: 32, 33: 64, 70: 128}
+    want = {(t.label, s) for t in found for s in range(0, 700, stride[len(t.words)]) if len(set(t.words) & set(words[s : s + 2 * stride[len(t.words)]])) >= t.need}
+    assert got == want and len(want) > 10
+
+
+def test_license_texts_are_found(spark):
+    rng = np.random.default_rng(2)
+    filler = lambda n: " ".join(f"f{i}" for i in rng.integers(0, 10**6, n))
+    texts, want = [*ODD], []
+    for text, label in license_scan.NOTICES:
+        for edited in (0.0, 0.1):
+            words = text.split()
+            for at in rng.choice(len(words), int(edited * len(words)), replace=False):
+                words[at] = f"x{at}"
+            want.append((len(texts), label))
+            texts.append(f"{filler(int(rng.integers(0, 300)))} {' '.join(words)} {filler(int(rng.integers(0, 300)))}")
+    clean = len(texts)
+    texts += [filler(500) for _ in range(20)]
+    found = by_id(license_scan.license_matches(docs(spark, texts, True)))
+    assert [(n, label) for n, label in want if label not in {b["label"] for b in found[n]["blocks"]}] == []
+    assert not any(found[n]["blocks"] for n in [*range(len(ODD)), *range(clean, len(texts))])
+    assert license_scan.license_matches(docs(spark, [])).count() == 0
+
+
+def test_license_query_by_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    notices = [t for t, _ in license_scan.NOTICES]
+    pool = [w for t in notices for w in t.split()] + [f"o{i}" for i in range(40)]
+    texts = [*ODD, "Under the MIT license; CC BY NC", "apache license, version 2 cc by nc under the mit license"]
+    texts += [" ".join(rng.choice(pool, int(rng.integers(1, 400)))) + " " + str(rng.choice(notices)) for _ in range(30)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = by_id(queries.op1_license_scan(spark, str(tmp_path)))
+    for n, text in enumerate(texts):
+        w = license_scan.words_of((text or "").encode())
+        base = [(s, label) for p, label in license_scan.PHRASES for s in range(len(w)) if b" ".join(w[s : s + len(p.split())]) == p.encode()]
+        blocks = []
+        for t, label in license_scan.NOTICES:
+            own = set(license_scan.words_of(t.encode()))
+            size = max(32, 1 << (len(license_scan.words_of(t.encode())) - 1).bit_length())
+            for s in range(0, len(w), size):
+                share = len(own & set(w[s : s + 2 * size])) / len(own)
+                blocks += [(label, share)] if 10 * len(own & set(w[s : s + 2 * size])) >= 8 * len(own) else []
+        starts = [s for s, _ in base] or [None]
+        want = (len(w), len(base), min(starts), max(starts), ",".join(sorted({x for _, x in base})), ",".join(sorted({x for _, x in base} | {x for x, _ in blocks})))
+        r = found[n]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == want
+        assert abs(r["score"] - (1.0 if base else max([x for _, x in blocks], default=0.0))) < 1e-12
 
 
 def test_repeats_by_brute_force():
@@ -46,10 +91,11 @@ def test_repeats_by_brute_force():
                     keys.append(key)
                     rows.append((left + common + right, len(left)))
         seen = Counter((k, s[i : i + size], at - i) for k, (s, at) in zip(keys, rows) for i in range(len(s) - size + 1))
-        got = suffix_dedup.repeated_starts(keys, [s for s, _ in rows], [at for _, at in rows], core, size)
-        for k, (s, at), spans in zip(keys, rows, got):
+        sizes, ats = np.array([len(s) for s, _ in rows]), np.array([at for _, at in rows])
+        got = list(zip(*suffix_dedup.repeated_starts(np.array(keys), sizes, np.frombuffer(b"".join(s for s, _ in rows), np.uint8), ats, core, size)))
+        for n, (k, (s, at)) in enumerate(zip(keys, rows)):
             want = [i for i in range(len(s) - size + 1) if seen[k, s[i : i + size], at - i] > 1]
-            assert [i for a, z in spans for i in range(a, z + 1)] == want
+            assert [i for who, a, z in got if who == n for i in range(a, z + 1)] == want
 
 
 def test_halves_deal_every_string_once():
@@ -235,9 +281,121 @@ def test_search_equals_all_scores():
     rng = np.random.default_rng(4)
     words = [f"v{i}" for i in range(60)]
     index = decontaminate.Index([(i, " ".join(rng.choice(words, rng.integers(5, 20)))) for i in range(50)])
-    for _ in range(40):
-        terms = np.unique(rng.integers(0, len(index.term), 25))
+    hits = 0
+    for _ in range(60):
+        terms = rng.permutation(len(index.term))[: rng.integers(1, 40)]
         scores = np.zeros(50)
         for t in terms:
-            scores[index.numbers[t]] += index.weights[t]
-        assert [i for i, _ in index.search(terms)] == np.flatnonzero(scores >= decontaminate.THRESHOLD).tolist()
+            scores[index.numbers[index.start[t] : index.start[t + 1]]] += index.weights[index.start[t] : index.start[t + 1]]
+        assert [i for i, _ in sorted(index.search(terms))] == np.flatnonzero(scores >= decontaminate.THRESHOLD).tolist()
+        hits += (scores >= decontaminate.THRESHOLD).sum()
+    assert hits > 100
+
+
+def brute_leaks(texts, items):
+    """(doc, item, score, overlap, first word) by scoring every piece against every passage."""
+    words = [license_scan.words_of((t or "").encode()) for t in items]
+    pieces = [(n, p) for n, w in enumerate(words) for p in decontaminate.pieces_of(w)]
+    df = Counter(w for _, p in pieces for w in set(p))
+    mean = sum(len(p) for _, p in pieces) / len(pieces)
+
+    def weights(p):
+        tf = Counter(p)
+        each = {w: np.log(1 + (len(pieces) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(p) / mean)) for w, f in tf.items()}
+        return {w: x / sum(each.values()) for w, x in each.items()}
+
+    weighed = [(n, weights(p)) for n, p in pieces]
+    index = decontaminate.Index(list(enumerate(items)))
+    number = {i: k for k, (i, _) in enumerate(index.items)}
+    out = []
+    for d, text in enumerate(texts):
+        w = license_scan.words_of((text or "").encode())
+        best = {}
+        for low in range(-64, len(w), 64):
+            passage = set(w[max(0, low) : low + 128])
+            top = {}
+            for n, each in weighed:
+                score = sum(x for t, x in each.items() if t in passage)
+                if score >= 0.5 - 1e-12:
+                    top[n] = max(top.get(n, 0), score)
+            for n, score in top.items():
+                overlap = index.verify(number[n], w[max(0, max(0, low) - len(words[n])) : low + 128 + len(words[n])])
+                if overlap is not None:
+                    best[n] = max(best.get(n, (0.0, 0.0, 0)), (overlap, round(score, 6), -max(0, low)))
+        out += [(d, n, score, round(overlap, 9), -low) for n, (overlap, score, low) in best.items()]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("part_bytes", [32 << 20, 6000])
+def test_leaks_are_all_pairs(spark, part_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part_bytes)
+    rng = np.random.default_rng(12)
+    word = lambda n, k=300: " ".join(f"v{i}" for i in rng.zipf(1.3, n) % k)
+    items = [word(n) + "? " + word(m) for n, m in rng.integers(3, 60, (24, 2))] + [word(700), "", None, "one", word(40)]
+    texts = [*ODD, word(900)]
+    for t in items[:25]:
+        texts.append(word(int(rng.integers(0, 200))) + " " + t + " " + word(int(rng.integers(0, 200))))
+        kept = t.split()
+        for at in rng.integers(0, len(kept), 1 + len(kept) // 9):
+            kept[at] = "changed"
+        texts.append(" ".join(kept))
+        texts.append(" ".join(t.split()[: len(t.split()) * 2 // 3]))
+    frame = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, texts, True), frame).collect()
+    got = sorted((r["doc_id"], r["item_id"], round(r["score"], 6), round(r["overlap"], 9), r["first_word"]) for r in found)
+    want = brute_leaks(texts, items)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len(want) >= 50
+    assert np.allclose(np.array(got)[:, 2:], np.array(want)[:, 2:], atol=2e-6)
+
+
+def js(p, q):
+    term = lambda a, b: a * np.log2(2 * a / (a + b)) if a > 0 else 0.0
+    return max(0.0, sum(0.5 * term(a, b) + 0.5 * term(b, a) for a, b in zip(p, q))) ** 0.5
+
+
+def test_quality_verdicts_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MIN_COMMON_WORDS", 40)
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéüß日本ABC019.,!$#"), int(rng.integers(2, 9))))
+    rows = []
+    for n in range(160):
+        lang = [None, "xx", "en", "de", "fr"][n % 5]
+        common = quality.COMMON.get(lang, ["uno"])
+        k, share = int(rng.integers(0, 90)), rng.random()
+        words = [str(rng.choice(common)) if rng.random() < share else word() for _ in range(k)]
+        if n % 11 == 0:
+            words = [w + "$$$###" for w in words]
+        if n % 13 == 0:
+            words = words[:12] * 4
+        rows.append((n, " ".join(words) if n % 17 else None, lang, "s", 1))
+    rows.append((160, " ".join(f"w{i}" for i in range(60)), "solo", "s", 1))
+    measured = {}
+    for n, text, lang, _, _ in rows:
+        w = (text or "").split()
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+        joined = "".join(w)
+        classes = [len(re.findall(c, joined)) for c in ("[A-Z]", "[0-9]", "[.,;:!?'\"()-]", "[#*$%&|<>]")]
+        wide = sum(ord(c) > 127 for c in joined)
+        classes += [len(joined) - wide - sum(classes), wide]
+        p_class = [c / len(joined) if joined else 0.0 for c in classes]
+        own = quality.COMMON.get(lang)
+        p_common = [sum(x == c for x in w) / len(w) if w else 0.0 for c in own] if own else None
+        p_common = [*p_common, max(0.0, 1 - sum(p_common))] if own else None
+        measured[n] = (lang, len(w), len(w) < 20 or 100 * len(covered) > 30 * len(w), p_class, p_common)
+    found = {r["doc"]["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS), carry=["doc_id"]).collect()}
+    rejected = 0
+    for n, (lang, size, failed, p_class, p_common) in measured.items():
+        peers = [m for m in measured.values() if m[0] == lang and not m[2]]
+        mean = lambda k, least: np.mean([m[k] for m in peers if m[1] >= least], axis=0) if any(m[1] >= least for m in peers) else None
+        q_class, q_common = mean(3, quality.MIN_CLASS_WORDS), mean(4, 40) if p_common else None
+        d_class = js(p_class, q_class) if q_class is not None and size >= quality.MIN_CLASS_WORDS else None
+        d_common = js(p_common, q_common) if q_common is not None and size >= 40 else None
+        r = found[n]
+        for got, want in ((r["class_distance"], d_class), (r["common_distance"], d_common)):
+            assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-9), (n, lang)
+        kept = not failed and (d_class or 0) <= quality.MAX_CLASS_DISTANCE and (d_common or 0) <= quality.MAX_COMMON_DISTANCE
+        assert (r["base_failed"], r["kept"]) == (failed, kept)
+        rejected += not failed and not kept
+    assert rejected > 5 and found[160]["kept"]
+    assert quality.judge(spark.createDataFrame([], DOCS)).count() == 0
