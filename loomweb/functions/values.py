@@ -46,6 +46,19 @@ FAMILY_PATHS = [
 # Phrases that mark prices and specifications.
 PRICE_PHRASES = ["$", "Current price", "Sale price", "Price when purchased"]
 SPEC_PHRASES = ["specifications", "specs", "product details", "about this item", "key features", "warranty", "dimensions", "brand", "model", "isbn", "sku"]
+# Lines of documentation pages that only label controls.
+UI_LINES = ["Copy item path", "Expand description"]
+# Id and class parts that tell a candidate's family, and those of result cards.
+DOC_HINTS = [
+    "doc", "docs", "reference", "api", "manual", "guide", "guides", "tutorial", "learn", "developer", "developers", "readthedocs", "gitbook", "docusaurus",
+]
+PRODUCT_HINTS = ["product", "pdp", "buybox", "price", "pricing", "spec", "specs", "sku", "item", "details", "purchase", "cart", "merchant", "offer"]
+ARTICLE_HINTS = ["article", "post", "story", "blog", "news", "entry", "content", "prose"]
+RESULT_HINTS = ["result", "hit", "item", "product", "listing"]
+# Statuses that are worth another try, and those that mean a block.
+RETRY_STATUS, BLOCK_STATUS = [429, 500, 502, 503, 504], [403, 429]
+# The cloud reader's prefix for an URL, and the note before what it returns.
+CLOUD_READER, CLOUD_NOTE = "https://r.jina.ai/", "<!-- Processed via Jina.ai Cloud Proxy -->\n\n"
 # Platform hosts.
 PLATFORMS = [
     ("github", ["github.com"]),

@@ -25,27 +25,65 @@ def base_score(s: dict[str, Column], tag: Column, depth: Column, hints: Column,
     return score + 24 * said(V.POSITIVE_HINTS) - 60 * said(V.NEGATIVE_HINTS)
 
 
-def best_candidates(parts: DataFrame, tables: bool = False) -> DataFrame:
-    """(page_id, url, family, tag, score, text): the candidate with the highest score, the first of equals.
+def page_family(url: Column, og_type: Column, item_type: Column, is_search: Column, compat: bool = True) -> Column:
+    """The family by URL, else by the page's own og:type, else by its first itemtype.
 
-    Pages without a family by URL count as search pages."""
-    rows = parts.select("page_id", "url", F.inline("candidates"))
+    Other pages count as search pages, as the results to match have it; without compat only those that look like one do, others are generic."""
+    said = F.when(og_type.isin("article", "product"), og_type)
+    has = lambda *names: reduce(lambda a, b: a | b, [item_type.contains(n) for n in names])
+    schema = F.when(has("Article", "BlogPosting"), "article").when(has("Product"), "product").when(has("SearchResultsPage"), "search").when(has("ItemList"), "listing")
+    return F.coalesce(urls.family_hint(url), said, schema, F.lit("search") if compat else F.when(is_search, "search").otherwise("generic"))
+
+
+def candidate_family(family: Column, hints: Column, s: dict[str, Column], price: Column, spec: Column) -> Column:
+    """The page's family; on a generic page that of the candidate's own id, class and counters."""
+    said = lambda names: reduce(lambda a, b: a | b, [hints.contains(n) for n in names])
+    code = (s["code_fences"] > 0) | ((s["headings"] >= 3) & (s["list_items"] >= 3) & (s["links"] >= 8))
+    product = (price > 0) & ((spec > 0) | (s["list_items"] >= 2) | (s["headings"] >= 1))
+    prose = (s["paragraphs"] >= 3) & (s["words"] >= 180)
+    listing = (s["links"] >= 5) & (s["short_lines"] >= 8) & (s["paragraphs"] >= 3) & (s["links"] > s["words"] * 0.05)
+    own = F.when(said(V.DOC_HINTS) | code, "docs").when(said(V.PRODUCT_HINTS) | product, "product").when(said(V.ARTICLE_HINTS) | prose, "article").when(listing, "listing").otherwise("generic")
+    return F.when(family != "generic", family).otherwise(own)
+
+
+def scored_candidates(parts: DataFrame, tables: bool = False, compat: bool = True) -> DataFrame:
+    """Each candidate of page_parts() with words, the page's family, its own and its score."""
+    rows = parts.withColumn("family", page_family(F.col("url"), F.col("og_type"), F.col("item_type"), F.col("is_search"), compat))
+    rows = rows.select("page_id", "family", F.inline("candidates"))
     s = T.stats(F.col("text"))
-    rows = rows.select("page_id", "url", "ord", "depth", "tag", "hints", "text", *[c.alias(f"s_{n}") for n, c in s.items()], T.price_lines(F.col("text")).alias("s_price"), T.spec_lines(F.col("text")).alias("s_spec"))
+    rows = rows.select("page_id", "family", "ord", "depth", "tag", "hints", "text", *[c.alias(f"s_{n}") for n, c in s.items()], T.price_lines(F.col("text")).alias("s_price"), T.spec_lines(F.col("text")).alias("s_spec"))
     s = {n: F.col(f"s_{n}") for n in s}
-    rows = rows.withColumn("family", F.coalesce(urls.family_hint(F.col("url")), F.lit("search")))
+    rows = rows.withColumn("candidate_family", candidate_family(F.col("family"), F.col("hints"), s, F.col("s_price"), F.col("s_spec"))).where("s_words > 0")
     extra = T.family_adjustment(s, F.col("s_price"), F.col("s_spec"))
-    points = reduce(lambda other, f: F.when(F.col("family") == f, extra[f]).otherwise(other), extra, F.lit(0))
-    rows = rows.withColumn("score", (base_score(s, F.col("tag"), F.col("depth"), F.col("hints"), tables) + points).cast("bigint"))
-    best = F.max_by(F.struct("url", "family", "tag", "score", "text"), F.struct("score", (-F.col("ord")).alias("o")))
-    return rows.groupBy("page_id").agg(best.alias("b")).select("page_id", "b.*")
-
-
-def quality_metrics(html: Column, text: Column) -> dict[str, Column]:
-    """compression, link_saturation and code_share of an extracted text, rounded to 3 places."""
-    size = lambda c: F.octet_length(c)
-    sum_of = lambda xs: F.aggregate(F.transform(xs, size), F.lit(0), lambda a, b: a + b)
-    labels = F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]\([^)]*\)"))
-    code = F.regexp_extract_all(text, F.lit(r"(?s)```(.*?)```"))
-    share = lambda part: F.round(F.coalesce(F.try_divide(part, size(text)), F.lit(0.0)), 3)
-    return {"compression": F.round(F.coalesce(F.try_divide(size(text), size(html)), F.lit(0.0)), 3), "link_saturation": share(sum_of(labels)), "code_share": share(sum_of(code))}
+    points = reduce(lambda other, f: F.when(F.col("candidate_family") == f, extra[f]).otherwise(other), extra, F.lit(0))
+    score = (base_score(s, F.col("tag"), F.col("depth"), F.col("hints"), tables) + points).cast("bigint")
+    return rows.select("page_id", "ord", "tag", "text", "candidate_family", F.col("s_words").alias("words"), score.alias("score"))
+
+
+def best_candidates(parts: DataFrame, tables: bool = False, compat: bool = True) -> DataFrame:
+    """(page_id, url, status, family, tag, score, text): a row for every page of page_parts(), with its text.
+
+    The candidate with the highest score is chosen, the first of equals.  Forum pages with posts are laid out as threads.  Embedded state
+    stands for texts of under 100 words that it is longer than.  tag and score are null, and text is empty, where a page has no candidate."""
+    best = F.max_by(F.struct("tag", "score", "text"), F.struct("score", (-F.col("ord")).alias("o")))
+    chosen = scored_candidates(parts, tables, compat).groupBy("page_id").agg(best.alias("b")).select(F.col("page_id").alias("_page"), "b.*")
+    family = page_family(F.col("url"), F.col("og_type"), F.col("item_type"), F.col("is_search"), compat)
+    rows = parts.select("page_id", "url", "status", family.alias("family"), "forum", "state").join(chosen, F.col("page_id").eqNullSafe(F.col("_page")), "left").drop("_page")
+    rows = rows.withColumn("text", F.when((F.col("family") == "forum") & (F.col("forum") != ""), F.col("forum")).otherwise(F.coalesce("text", F.lit(""))))
+    words, found = T.word_count(F.col("text")), T.word_count(F.col("state"))
+    return rows.withColumn("text", F.when((words < 100) & (found > words), F.col("state")).otherwise(F.col("text"))).drop("forum", "state")
+
+
+def quality_metrics(html_bytes: Column, body_bytes: Column, text: Column) -> dict[str, Column]:
+    """compression, noise_to_signal, link_saturation and code_share of an extracted text, rounded to 3 places."""
+    size = F.octet_length(text)
+    sum_of = lambda xs: F.aggregate(F.transform(xs, F.octet_length), F.lit(0), lambda a, b: a + b)
+    share = lambda part, of: F.round(F.coalesce(F.try_divide(part, of), F.lit(0.0)), 3)
+    links = F.regexp_extract_all(text, F.lit(r"\[[^\]]+\]\([^)]+\)"), F.lit(0))
+    code = F.regexp_extract_all(text, F.lit(r"(?s)```.*?```"), F.lit(0))
+    return {"compression": share(size, html_bytes), "noise_to_signal": share(size, body_bytes), "link_saturation": share(sum_of(links), size), "code_share": share(sum_of(code), size)}
+
+
+def is_sparse(text: Column, n_pages: Column) -> Column:
+    """Whether what was read says too little: one page of under 150 bytes."""
+    return (F.octet_length(F.trim(text)) < 150) & (n_pages == 1)

@@ -52,6 +52,27 @@ def test_cleanup(spark):
     assert one(spark, T.cleanup, "a\n\n\nb") == "a\n\nb"
 
 
+def test_resolve_dots(spark):
+    rows = [("https://a.x/d/e/p", h) for h in ("../q", "./q/", "../../../q", "/a/./b/../c", "?x=1", "..", "")]
+    found = [r[0] for r in spark.createDataFrame(rows, "b string, h string").select(urls.resolve(F.col("b"), F.col("h"))).collect()]
+    assert found == ["https://a.x/d/q", "https://a.x/d/e/q", "https://a.x/q", "https://a.x/a/c", "https://a.x/d/e/p?x=1", "https://a.x/d", "https://a.x/d/e/p"]
+
+
+def test_items_of_platforms(spark):
+    wanted = {
+        "https://github.com/o/r/pulls/x": ("github", "o/r"), "https://github.com/o": ("generic", None), "https://news.ycombinator.com/x?id=": ("hackernews", ""), "https://arxiv.org/abs/1.2v3": ("arxiv", "1.2v3"),
+        "https://www.youtube.com/embed/z": ("youtube", "z"), "https://www.youtube.com/feed": ("generic", None), "https://stackoverflow.com/questions/abc": ("generic", None),
+    }
+    item = lambda c: F.struct(urls.platform(c).alias("p"), F.coalesce(*[F.when(urls.platform(c) == k, x) for k, x in urls.platform_item(c).items()]).alias("i"))
+    for url, want in wanted.items():
+        assert tuple(one(spark, item, url)) == want, url
+
+
+def test_minify_leaves_fences(spark):
+    assert one(spark, T.minify, "a  b\n\n\n\n```\nx   y\n\n\n\nz\n```\n  c ` d") == "a b\n\n```\nx   y\n\n\n\nz\n```\nc` d"
+    assert one(spark, T.minify, "a ```open   code") == "a ```open   code"
+
+
 def test_minify_never_longer(spark):
     for text in ("a   b", "[x](#y) z", "f" * 45, "é ü", ""):
         assert len(one(spark, T.minify, text).encode()) <= len(text.strip().encode())
