@@ -8,7 +8,7 @@ rules, undone one by one, would never have joined across the pair's border.  The
 last token of every prefix is stored; following them backwards gives the ids.
 
 The tokenizer's file path is a parameter.  Words that repeat are encoded once per
-worker, in a dictionary of bounded size.
+worker, in a dictionary of bounded size.  Ids are held in 16 bits, so vocabularies of up to 65,536 entries are read; larger ones are an error.
 
 Defined cases: null text counts as empty; an empty text has no ids; special strings
 inside a text become their own ids, as the library does by default; repeated rows are
@@ -57,6 +57,8 @@ class WordBpe:
         self.content = [""] * (max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1)
         for token, i in vocab.items():
             self.content[i] = token
+        if len(self.content) > 1 << 16:
+            raise ValueError("ids do not fit in 16 bits")
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for token, i in self.special.items():
             self.content[i] = token

@@ -2,7 +2,7 @@
 
 Each round is two joins and two aggregations whose partial sums run before
 the shuffle, so a hub with a third of all edges stays spread over tasks.  The
-edge list is written to the shared folder after every round.
+edge list is written to the shared folder after every round, and the one before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -18,11 +18,6 @@ def _signature(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _star(pairs: DataFrame, lowest: DataFrame) -> DataFrame:
-    """pairs(u, v) joined to the lowest id m of u's neighbourhood."""
-    return pairs.join(written(lowest, "lowest"), "u")
-
-
 def component_labels(edges: DataFrame) -> DataFrame:
     """(id, label) for every id on an edge; label is its component's smallest id.
 
@@ -36,14 +31,16 @@ def component_labels(edges: DataFrame) -> DataFrame:
         before = now
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _star(both.where("v > u"), lowest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "edges")
+        release(edges, lowest)
         # small star: u and its smaller neighbours go to the smallest of them
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = _star(large, lowest)
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "edges")
+        release(large, lowest)
     ends = edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("label", F.col("id"))
     return ends.unionByName(roots)

@@ -12,7 +12,8 @@ Tasks emit a spanning forest of the links, never all pairs.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and links like any other; equal texts share a fingerprint; repeated rows are
-kept; an empty table gives an empty result; other columns are left alone.
+kept; rows without an id are rows, and a component's smallest id is null only where none of its rows has one; an
+empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
