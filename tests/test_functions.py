@@ -81,3 +81,17 @@ def test_minify_never_longer(spark):
 def test_fences_are_left_out(spark):
     s = one(spark, lambda c: F.struct(*[v.alias(n) for n, v in T.stats(c).items()]), "# h\n```\n# no\n[a](b)\n```\n- x\n1. y")
     assert (s["headings"], s["code_fences"], s["list_items"], s["links"]) == (1, 2, 2, 0)
+
+
+def test_settings(tmp_path):
+    import pytest
+
+    from loomweb import config
+
+    assert config.load([tmp_path / "none.toml"]).lists["low"] == [] and config.load([]).weights["rrf_k"] == 60.0
+    (tmp_path / "a.toml").write_text('[search.trust]\nlow = ["Bad.x"]\n[search.blocklist]\ndomains = ["spam.x"]\n[search.scoring]\nrrf_k = 0\nurl_pattern = -3\n')
+    found = config.load([tmp_path / "none.toml", tmp_path / "a.toml"])
+    assert (found.low, found.blocked, found.weights["rrf_k"], found.weights["url_pattern"]) == (["bad.x"], ["spam.x"], 1.0, 0.0)
+    assert "docs.rs" in found.high
+    with pytest.raises(ValueError, match="no such weights"):
+        config.weights_of({"typo": 1})
