@@ -7,7 +7,7 @@ holds for all pieces.  Postings are cut into blocks of piece numbers that are th
 list of the blocks it is in with its largest weight there.  For a passage the terms with the smallest list maxima that
 together cannot reach the threshold choose no block.  The other terms' blocks are candidates; the rest of the lists are
 entered by cursors that skip to these, the heaviest list first, and a block is left as soon as what is known of it and the
-maxima of the lists still to come stay below the threshold.  Only blocks that remain are scored.  Every piece at or
+maxima of the lists still to come stay below the threshold (lists of ``SHORT`` blocks are read whole instead).  Only blocks that remain are scored.  Every piece at or
 above the threshold is retrieved and its item verified: half of the words of both the item's question (up to its
 first sentence or line end) and its answer (the rest) must be there, and ``PAIR_OVERLAP`` of its word pairs, which
 tells edited items from other texts of the same words.  The share of its five-word shingles
@@ -44,6 +44,7 @@ PASSAGE, PIECE, BLOCK = 128, 64, 8
 PART_BYTES = 32 << 20
 #: Bounds and scores add up in different orders; what a bound discards is below the threshold by more than that.
 SLACK = 1e-9
+LEAST, FEW, SHORT = THRESHOLD - SLACK, 16, 64
 _QUESTION = re.compile(rb"^.*?(?:[.?!](?=\s)|\n|$)", re.S)
 
 
@@ -59,8 +60,8 @@ def pieces_of(words: list[bytes]) -> list[list[bytes]]:
 
 def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after the other."""
-    sizes = end - first
-    return np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    ends = (end - first).cumsum()
+    return np.repeat(end - ends, end - first) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
@@ -89,11 +90,15 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.numbers = np.array([i for p in postings.values() for i, _ in p], dtype=np.int64)
         self.weights = np.array([x for p in postings.values() for _, x in p])
-        #: Block lists by term, in the same way: (block, the term's largest weight there).
         terms = np.repeat(np.arange(len(sizes)), sizes)
+        #: Sorted keys of (term, piece), by which a cursor finds its place.
+        self.key = terms * (len(pieces) + BLOCK) + self.numbers
+        #: Block lists by term, in the same way: (block, the term's largest weight there).
+        self.n_blocks = -(-len(pieces) // BLOCK)
         new = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(self.numbers // BLOCK) != 0)][: len(terms)])
         self.block_start = np.searchsorted(terms[new], np.arange(len(sizes) + 1))
         self.blocks = (self.numbers // BLOCK)[new]
+        self.block_key = terms[new] * self.n_blocks + self.blocks
         self.block_most = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
         self.most = np.maximum.reduceat(self.weights, self.start[:-1]) if len(sizes) else np.zeros(0)
         self.shingles = [shingles(w) for _, w in self.items]
@@ -107,31 +112,37 @@ class Index:
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """(piece, score) of those whose score for the distinct terms reaches the threshold."""
-        terms = terms[np.argsort(self.most[terms], kind="stable")]
-        below = np.cumsum(self.most[terms])
-        pivot = int(np.searchsorted(below, THRESHOLD - SLACK))  # the terms before it cannot reach the threshold together
+        most = self.most[terms]
+        order = most.argsort()
+        below = most[order].cumsum()
+        pivot = int(below.searchsorted(LEAST))  # the terms before it cannot reach the threshold together
         if pivot == len(terms):
             return []
-        a, z = self.block_start[terms], self.block_start[terms + 1]
-        at = _ranges(a[pivot:], z[pivot:])
-        blocks, where = np.unique(self.blocks[at], return_inverse=True)
-        bound = np.bincount(where, self.block_most[at])
-        for k in range(pivot - 1, -1, -1):
-            alive = bound + below[k] >= THRESHOLD - SLACK
+        start, end = self.block_start[terms], self.block_start[terms + 1]
+        late = order[:pivot]
+        late = late[end[late] - start[late] > SHORT]  # a short list is read faster than a cursor finds its place
+        whole = np.ones(len(terms), bool)
+        whole[late] = False
+        at = _ranges(start[whole], end[whole])
+        bound = np.bincount(self.blocks[at], self.block_most[at], self.n_blocks)
+        rest = most[late].cumsum()
+        left = len(late)
+        blocks = (bound >= LEAST - (rest[-1] if left else 0.0)).nonzero()[0]
+        bound = bound[blocks]
+        while left and len(blocks):  # the heaviest lists that are left
+            low = max(0, left - FEW)
+            keys = terms[late[low:left], None] * self.n_blocks + blocks
+            cursor = np.minimum(self.block_key.searchsorted(keys), len(self.block_key) - 1)
+            bound = bound + np.where(self.block_key[cursor] == keys, self.block_most[cursor], 0.0).sum(axis=0)
+            left = low
+            alive = bound >= LEAST - (rest[left - 1] if left else 0.0)
             blocks, bound = blocks[alive], bound[alive]
-            if not len(blocks):
-                return []
-            cursor = np.minimum(a[k] + np.searchsorted(self.blocks[a[k] : z[k]], blocks), z[k] - 1)
-            bound = bound + np.where(self.blocks[cursor] == blocks, self.block_most[cursor], 0.0)
-        blocks = blocks[bound >= THRESHOLD - SLACK]
         if not len(blocks):
             return []
-        terms = np.sort(terms)
-        at = _ranges(self.start[terms], self.start[terms + 1])
+        first = np.sort(terms)[:, None] * (len(self.item_of) + BLOCK) + blocks * BLOCK
+        at = _ranges(self.key.searchsorted(first.ravel()), self.key.searchsorted((first + BLOCK).ravel()))
         numbers = self.numbers[at]
-        row = np.minimum(np.searchsorted(blocks, numbers // BLOCK), len(blocks) - 1)
-        inside = blocks[row] == numbers // BLOCK
-        scores = np.bincount(row[inside] * BLOCK + numbers[inside] % BLOCK, self.weights[at[inside]], len(blocks) * BLOCK)
+        scores = np.bincount(blocks.searchsorted(numbers // BLOCK) * BLOCK + numbers % BLOCK, self.weights[at], len(blocks) * BLOCK)
         hit = np.flatnonzero(scores >= THRESHOLD)
         return list(zip((blocks[hit // BLOCK] * BLOCK + hit % BLOCK).tolist(), scores[hit].tolist()))
 
@@ -154,7 +165,7 @@ class Index:
             first = number * PASSAGE - shift
             new = before < first  # the term's first place in the passage
             bound = np.bincount(number, np.where(new, self.most[terms], 0.0))
-            for p in np.flatnonzero(bound >= THRESHOLD - SLACK):
+            for p in np.flatnonzero(bound >= LEAST):
                 a, b = np.searchsorted(number, (p, p + 1))
                 start = max(0, int(p) * PASSAGE - shift)
                 best: dict[int, float] = {}

@@ -277,7 +277,10 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, texts), items.limit(0)).count() == 0
 
 
-def test_search_equals_all_scores():
+@pytest.mark.parametrize(("short", "few"), [(0, 1), (2, 3), (64, 16)])
+def test_search_equals_all_scores(short, few, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHORT", short)
+    monkeypatch.setattr(decontaminate, "FEW", few)
     rng = np.random.default_rng(4)
     words = [f"v{i}" for i in range(60)]
     index = decontaminate.Index([(i, " ".join(rng.choice(words, rng.integers(5, 20)))) for i in range(50)])
@@ -329,7 +332,7 @@ def brute_leaks(texts, items):
 @pytest.mark.parametrize("part_bytes", [32 << 20, 6000])
 def test_leaks_are_all_pairs(spark, part_bytes, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART_BYTES", part_bytes)
-    rng = np.random.default_rng(12)
+    rng = np.random.default_rng(12)  # fixed, so both runs hold against the same rows
     word = lambda n, k=300: " ".join(f"v{i}" for i in rng.zipf(1.3, n) % k)
     items = [word(n) + "? " + word(m) for n, m in rng.integers(3, 60, (24, 2))] + [word(700), "", None, "one", word(40)]
     texts = [*ODD, word(900)]
