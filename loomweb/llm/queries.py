@@ -131,5 +131,75 @@ from b
 """
 
 
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def op1_sql() -> str:
+    """The license scan without its filters: every template is compared with every block."""
+    rows = []
+    for t in license_scan.templates():
+        words = [w.decode() for w in (t.words if t.phrase else sorted(set(t.words)))]
+        stride = max(license_scan.STRIDE, 1 << (len(t.words) - 1).bit_length())
+        rows.append(f"({_text(t.label)}, {str(t.phrase).lower()}, {stride}, {t.need}, [{', '.join(map(_text, words))}])")
+    return rf"""
+with t(label, phrase, stride, need, words) as (values {', '.join(rows)}),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (select *, row_number() over () as row from d),
+f as (select row, ws, label, words, unnest(list_filter(range(1, len(ws) + 1), lambda n: ws[n] = words[1])) as n from i, t where phrase),
+p as (select row, label, n - 1 as start from f where ws[n : n + len(words) - 1] = words),
+b as (select row, label, need, len(words) as size, len(list_intersect(words, ws[n * stride + 1 : (n + 2) * stride])) as shared from (select row, ws, label, words, need, stride, unnest(range(0, len(ws) // stride + 1)) as n from i, t where not phrase)),
+m as (select row, label, shared / size::double as share from b where shared >= need),
+base as (select row, count(*) as n_base, min(start) as first_word, max(start) as last_word, array_to_string(list_sort(list(distinct label)), ',') as base_labels from p group by 1),
+every as (select row, array_to_string(list_sort(list(distinct label)), ',') as labels, max(share) as best from (select row, label, 1.0::double as share from p union all select * from m) group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(best, 0.0)::double as score
+from i left join base using (row) left join every using (row)
+"""
+
+
+OP2_SQL = """
+with d as (select doc_id, row_number() over () as row, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select row, unnest(range(0, greatest(0, length(h) // 2 - 199))) as i from d),
+k as (select row, i, md5(substr(h, 2 * i + 1, 400)) as m from s join d using (row)),
+x as (select row, i from k where m in (select m from k group by m having count(*) > 1)),
+g as (select row, i, coalesce(i > lag(i) over w + 200, true) as fresh from x window w as (partition by row order by i)),
+n as (select row, i, sum(fresh::int) over (partition by row order by i) as span from g),
+r as (select row, span, min(i) as a, max(i) + 200 as z from n group by 1, 2),
+q as (select row, a, z, coalesce(lag(z) over (partition by row order by a), 0) as before from r),
+o as (select row, count(*) as n_spans, sum(z - a) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) as rest from q join d using (row) group by 1)
+select doc_id, strlen(text)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256 from d left join o using (row)
+"""
+
+
+def op9_sql() -> str:
+    """Counts, references and distances of the quality rules, with windows as strings."""
+    known = " ".join(f"when '{lang}' then [{', '.join(map(_text, words))}]" for lang, words in quality.COMMON.items())
+    n = len(quality.COMMON["en"])
+    js = "sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: case when {p}[i] > 0 then 0.5 * {p}[i] * log2(2 * {p}[i] / ({p}[i] + {q}[i])) else 0 end + case when {q}[i] > 0 then 0.5 * {q}[i] * log2(2 * {q}[i] / ({p}[i] + {q}[i])) else 0 end))))"
+    count = lambda c: f"length(regexp_replace(joined, '{c}', '', 'g'))"
+    return rf"""
+with d as (select doc_id, lang, row_number() over () as row, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') as ws, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as ls, case lang {known} end as own from d),
+j as (select *, array_to_string(ws, '') as joined from w),
+c as (select *, length(joined) as chars, [length(joined) - {count('[A-Z]')}, length(joined) - {count('[0-9]')}, length(joined) - {count("[.,;:!?''" + '"' + "()-]")}, length(joined) - {count('[#*$%&|<>]')}] as four, {count('[\\x00-\\x7F]+')} as wide from j),
+win as (select row, n, array_to_string(ws[n : n + 7], ' ') as t from (select row, ws, unnest(range(1, greatest(1, len(ws) - 6))) as n from c)),
+twice as (select row, n, count(*) over (partition by row, t) as k from win),
+cover as (select row, count(distinct n + o) as covered from twice, (select unnest(range(0, 8)) as o) where k > 1 group by 1),
+m as (select c.*, len(ws) as n_words, coalesce(covered, 0) as n_repeat, len(ws) < 20 or 100 * coalesce(covered, 0) > 30 * len(ws) as base_failed,
+ list_transform(four || [chars - wide - list_sum(four), wide], lambda v: case when chars > 0 then v / chars::double else 0 end) as p,
+ list_transform(own, lambda v: case when len(ws) > 0 then len(list_filter(ws, lambda x: x = v)) / len(ws)::double else 0 end) as ps from c left join cover using (row)),
+e as (select *, ps || [greatest(0, 1 - list_sum(ps))] as pc from m),
+q1 as (select lang, {', '.join(f'avg(p[{i}]) as a{i}' for i in range(1, 7))} from e where not base_failed and n_words >= {quality.MIN_CLASS_WORDS} group by 1),
+q2 as (select lang, {', '.join(f'avg(pc[{i}]) as b{i}' for i in range(1, n + 2))} from e where not base_failed and n_words >= {quality.MIN_COMMON_WORDS} and own is not null group by 1),
+r as (select e.*, case when q1.a1 is not null then [{', '.join(f'a{i}' for i in range(1, 7))}] end as qa, case when b1 is not null then [{', '.join(f'b{i}' for i in range(1, n + 2))}] end as qb
+ from e left join q1 on q1.lang is not distinct from e.lang left join q2 on q2.lang is not distinct from e.lang),
+z as (select *, case when n_words >= {quality.MIN_CLASS_WORDS} and qa is not null then {js.format(p='p', q='qa')} end as da, case when n_words >= {quality.MIN_COMMON_WORDS} and qb is not null and own is not null then {js.format(p='pc', q='qb')} end as db from r)
+select doc_id, n_words::bigint as n_words, chars::bigint as word_chars, four[4]::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, n_repeat::bigint as n_repeat_words, base_failed,
+ not base_failed and coalesce(da, 0) <= {quality.MAX_CLASS_DISTANCE} and coalesce(db, 0) <= {quality.MAX_COMMON_DISTANCE} as kept, round(da, 6) as class_distance, round(db, 6) as common_distance from z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op1_license_scan": op1_sql(), "op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op9_quality_rules": op9_sql()}
