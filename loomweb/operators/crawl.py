@@ -28,8 +28,15 @@ def crawl(seeds: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int =
     return visited.withColumn("ord", F.row_number().over(order).cast("bigint")).where(F.col("ord") <= max_pages).select("seed", "url", "depth", "ord")
 
 
-def host_waves(pages: DataFrame, cap: int = 3) -> DataFrame:
-    """pages with the wave in which a cap of simultaneous requests per host lets them go."""
-    order = Window.partitionBy("host").orderBy("page_id")
-    rows = pages.withColumn("host", urls.host(F.col("url")))
-    return rows.withColumn("wave", F.ceil(F.row_number().over(order) / cap).cast("bigint"))
+def host_waves(pages: DataFrame, cap: int = 3, part_bits: int = 16) -> DataFrame:
+    """pages with the wave in which a cap of simultaneous requests per host lets them go.
+
+    Pages are numbered within a host's stretches of 2^part_bits ids, and the stretches' sizes are summed up, so that a host with a third of
+    all pages is numbered by many tasks.  Null ids form a stretch of their own, the first."""
+    rows = pages.withColumn("host", urls.host(F.col("url"))).withColumn("_part", F.coalesce(F.shiftright("page_id", part_bits), F.lit(-(1 << 62))))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("host", "_part").orderBy("page_id")))
+    sizes = rows.groupBy("host", "_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("host").alias("_host"), F.col("_part").alias("_own"), before.alias("_before"))
+    rows = rows.join(sizes, (F.col("host") == F.col("_host")) & (F.col("_part") == F.col("_own")))
+    return rows.withColumn("wave", F.ceil((F.col("_n") + F.col("_before")) / cap).cast("bigint")).drop("_part", "_n", "_host", "_own", "_before")

@@ -141,6 +141,15 @@ def url_route(spark, sf_dir):
     return cascade.dispatched(_inputs(spark, sf_dir))
 
 
+@query("""with i as (select page_id, case when page_id % 3 = 0 then url else regexp_replace(url, '^https?://', '') end as input from pages)
+select page_id, case when input like 'http%' then input else 'https://' || input end as url, lower(regexp_extract(input, '^(?:https?://)?([^/?#]*)', 1)) as domain, input as query from i""")
+def url_forced(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?://", "")).alias("input"))
+    asked = cascade.dispatched(rows, force_query=True).select(F.col("page_id").alias("_id"), F.col("query").alias("_query"))
+    found = cascade.dispatched(rows, force_url=True).join(asked, F.col("page_id") == F.col("_id"))
+    return found.select("page_id", "url", "domain", F.col("_query").alias("query"))
+
+
 @query(ROUTED + """select page_id, platform, item, case when platform = 'github' then case hub when '' then 'readme' when '/issues' then 'issues' else 'issue' end end as hub_kind,
  case when platform = 'github' and hub like '/issues/%' then cast(segs[4] as bigint) end as issue,
  case platform when 'reddit' then rtrim(regexp_replace(item, '[?#].*$', ''), '/') || '?' || pairs || '.json' when 'hackernews' then 'https://hn.algolia.com/api/v1/items/' || item
@@ -250,7 +259,7 @@ def domain_frequency_topn(spark, sf_dir):
 
 @query(f"select page_id, {AUTH} as host, cast(ceil(row_number() over (partition by {AUTH} order by page_id) / 3.0) as bigint) as wave from pages")
 def host_wave_schedule(spark, sf_dir):
-    return crawl.host_waves(read(spark, sf_dir, "pages")).select("page_id", "host", "wave")
+    return crawl.host_waves(read(spark, sf_dir, "pages"), part_bits=4).select("page_id", "host", "wave")
 
 
 # Pages -----------------------------------------------------------------------------------------------------------
@@ -636,6 +645,12 @@ for _name in ("domain_trust", "url_pattern", "project_match", "blocklist_penalty
     _scorer(_name)
 
 
+@query(_worded_sql(5, "benchmark", "item_id") + f"""select item_id, array_to_string(list_filter(ts, lambda t, i: i = 1 or ts[i - 1] <> t), ' ') as tokens from (select item_id, list_filter([lower(w0), lower(w0), lower(w1) || '-x', 'rust', lower(w2), 'ab_c', 'ab_c', lower(w3), lower(w3), 'abc', 'Ünd', lower(w0)], lambda t: contains(t, '-') or contains(t, '_') or (regexp_full_match(t, '[a-z]{{4,}}') and t not in ({_sql_list(V.COMMON_WORDS)}))) as ts from t)""")
+def score_project_tokens(spark, sf_dir):
+    text = _page("{w0} {w0} {w1}-x Rust {w2} ab_c  ab_c {w3} {w3} abc Ünd {w0}")
+    return _worded(spark, sf_dir, 5, "benchmark", "item_id").select("item_id", F.array_join(ranking.project_tokens(text), " ").alias("tokens"))
+
+
 @query(ENGINES + "select query_id, url, score::double as score, final_rank from r")
 def search_ranked(spark, sf_dir):
     return ranked(spark, sf_dir).select("query_id", "url", "score", "final_rank")
@@ -941,6 +956,17 @@ def page_cascade(spark, sf_dir):
     return found.join(rows.select("page_id", F.col("url").alias("_u")), F.col("url") == F.col("_u")).select("page_id", "source", "text", "n_pages", "sparse")
 
 
+@query("""with x as (select page_id, page_id % 4 as k, 'https://d' || page_id || '.x/a.html' as u from pages)
+select page_id, case when k in (0, 1) then 'cloud' when k = 2 then 'crawl' end as source, case when k in (0, 1) then '<!-- Processed via Jina.ai Cloud Proxy -->' || chr(10) || chr(10) else '' end || '# --- [Source: ' || u || '] ---' || chr(10) || chr(10) || case when k in (0, 1) then 'read for ' || page_id when k = 2 then 'crawled' end as text from x""")
+def page_cascade_cloud(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).alias("k"), F.concat(F.lit("https://d"), F.col("page_id").cast("string"), F.lit(".x/a.html")).alias("url"))
+    status = F.when(F.col("k") == 2, 503).otherwise(200)
+    bodies = rows.where("k < 3").select(F.concat(F.lit(V.CLOUD_READER), "url").alias("url"), status.alias("status"), F.lit("text/markdown").alias("content_type"), F.concat(F.lit("read for "), F.col("page_id").cast("string")).alias("body"))
+    crawled = rows.where("k in (1, 2)").select("url", F.lit("crawled").alias("text"), F.lit(1).alias("n_pages"))
+    found = cascade.generic_text(rows, bodies, crawled, allow_cloud=True)
+    return found.join(rows.select("page_id", F.col("url").alias("_u")), F.col("url") == F.col("_u")).select("page_id", "source", "text")
+
+
 LINE = "case page_id % 6 when 0 then concat('  ', url, ' ') when 1 then concat('h', page_id, '.x/p') when 2 then '   ' when 3 then concat('bad host/', page_id) when 4 then 'https://' else url end"
 BATCH = f"with l as (select page_id as place, {LINE} as line from pages), t as (select place, trim(line) as t from l), u as (select place, case when regexp_matches(t, '^https?://') then t else 'https://' || t end as url from t where t <> ''), v as (select * from u where regexp_matches(url, '^https?://[^/?# ]+([/?#]|$)') order by place limit 40)\n"
 
