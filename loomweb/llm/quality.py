@@ -35,6 +35,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Least words before a histogram counts, and the largest distance that is kept.
 MIN_CLASS_WORDS, MIN_COMMON_WORDS = 30, 200
 MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.35, 0.24
+#: References (some 300 bytes each) up to which every task gets them.
+MOST_LANGUAGES = 10_000
 # Frequent function words of the languages.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "this"],
@@ -164,8 +166,10 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     measured = measures(docs, text_col, lang_col)
     measured = measured.select(F.struct(*[F.col(own[name]).alias(name) for name in carry or docs.columns]).alias("doc"), *[c for c in measured.columns if c not in own.values()])
     measured = written(measured, "measures")
-    # a language has one row; Spark broadcasts them where they are few enough
-    found = measured.join(references(measured), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    refs = written(references(measured), "references")
+    if refs.count() <= MOST_LANGUAGES:  # else Spark's own choice, which splits a language's rows
+        refs = F.broadcast(refs)
+    found = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     class_distance = F.when(F.col("n_words") >= MIN_CLASS_WORDS, distance(F.col("p_class"), F.col("q_class")))
     common_distance = F.when(F.col("n_words") >= MIN_COMMON_WORDS, distance(F.col("p_common"), F.col("q_common")))
     found = found.withColumn("class_distance", class_distance).withColumn("common_distance", common_distance)

@@ -45,7 +45,7 @@ from .shared import release, text_key, written
 
 LENGTH, ANCHOR = 200, 64
 #: Bytes of one collection up to which a task gets it whole, and of collections that a task takes on together.
-MOST_BYTES, CHUNK_BYTES = 64 << 10, 4 << 20
+MOST_BYTES, CHUNK_BYTES = 32 << 10, 4 << 20
 #: Texts are scanned in stretches of at most so many bytes.
 STRETCH = 1 << 20
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
