@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
@@ -40,8 +40,8 @@ N_PIVOTS = 16
 SIGNATURE, BAND = 128, 4
 #: Agreeing values from which two texts are candidates: at a similarity of 0.8, fewer than 72 agree less than once in a billion pairs.
 CANDIDATE = 72
-#: Candidate groups up to this size are verified in one piece.
-MEMBERS = 512
+#: Candidate groups up to this size are verified in one piece, and signatures of one band key compared in one piece.
+MEMBERS, MET = 512, 4096
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = np.random.default_rng(12).integers(0, 1 << 63, size=SIGNATURE, dtype=np.uint64)
 
@@ -316,10 +316,18 @@ def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, own binary")
 
 
+def _part_keys(key: str) -> Column:
+    """The keys under which a node of a group in ``parts`` parts is compared: with each other part, or with its only one."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: (k != own) | (F.col("parts") == 1))
+    return F.transform(others, lambda k: F.xxhash64(F.col(key), F.least(k, own), F.greatest(k, own)))
+
+
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(u, v): edges between nodes of classes(node, sig) that connect those that meet in a band and agree in CANDIDATE values.
 
-    Keys of one text are dropped before signatures travel."""
+    Keys of one text are dropped before signatures travel; the texts of a key that more than MET share are dealt to parts, and each two parts
+    are compared together."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -329,9 +337,10 @@ def candidate_links(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
     keyed = written(classes.select("node", "sig").mapInArrow(bands, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")), "bands")
-    shared = written(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")), "shared")
-    met = written(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "node"), "met")
-    rows = met.join(classes.select("node", "sig"), "node").select("key", "node", "sig")
+    parts = F.ceil(F.col("count") / MET).cast("bigint").alias("parts")
+    shared = written(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"), parts), "shared")
+    met = keyed.join(shared, F.col("key") == F.col("_key")).select("node", F.explode(_part_keys("key")).alias("key"))
+    rows = written(met, "met").join(classes.select("node", "sig"), "node").select("key", "node", "sig")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(agreeing), "u bigint, v bigint")
 
 
@@ -347,9 +356,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, shingle_words: int, simi
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("first_id", "k1", "k2")]
     chosen = texts.alias("t").join(found.alias("c"), same).select("c.node", "t.text").dropDuplicates(["node"])
     sets = shingle_sets(chosen, shingle_words).join(found.select("node", "label", "parts"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: (k != own) | (F.col("parts") == 1))
-    sets = sets.select("node", "own", F.explode(F.transform(others, lambda k: F.concat_ws(" ", "label", F.least(k, own), F.greatest(k, own)))).alias("key"))
+    sets = sets.select("node", "own", F.explode(_part_keys("label")).alias("key"))
     return sets.select("key", "node", "own").repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_exactly(similarity)), "u bigint, v bigint")
 
 

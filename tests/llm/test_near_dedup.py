@@ -33,6 +33,7 @@ def edited(rng, n, places):
 @pytest.mark.parametrize("members", [4, 512])
 def test_similarity_is_exact_at_the_bar(spark, monkeypatch, members):
     monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "MET", members)
     rng = np.random.default_rng(5)
     texts = []
     for n in range(48 - 8, 49 + 8):  # with 49 words, one changed word leaves 40 of 50 shingles: 0.8
