@@ -4,10 +4,12 @@ Test items are cut into pieces of at most ``PIECE`` words, the indexed documents
 query.  Passages have ``PASSAGE`` words and overlap by half, so a piece that a text quotes lies whole in one of them,
 however long its item is.  Posting weights are BM25 contributions divided by the piece's own score, so one threshold
 holds for all pieces.  Postings are cut into blocks of piece numbers that are the same for all terms; each term has a
-list of the blocks it is in with its largest weight there.  For a passage the terms with the smallest list maxima that
-together cannot reach the threshold choose no block.  The other terms' blocks are candidates; the rest of the lists are
-entered by cursors that skip to these, the heaviest list first, and a block is left as soon as what is known of it and the
-maxima of the lists still to come stay below the threshold (lists of ``SHORT`` blocks are read whole instead).  Only blocks that remain are scored.  Every piece at or
+list of the blocks it is in with its largest weight there.  All passages of a text are bounded at once, by the entries of
+lists of up to ``SHORT`` blocks and the maxima of longer ones; those of which no block can reach the threshold are left.  For each other passage
+the terms with the smallest list maxima that together cannot reach the threshold choose no block.  The other terms' blocks are
+candidates; the rest of the lists are entered by cursors that skip to these, the heaviest lists first (short lists are
+read whole instead), and a block is left as soon as what is known of it and the maxima of the lists still to come stay below the threshold.
+Only blocks that remain are scored.  Every piece at or
 above the threshold is retrieved and its item verified: half of the words of both the item's question (up to its
 first sentence or line end) and its answer (the rest) must be there, and ``PAIR_OVERLAP`` of its word pairs, which
 tells edited items from other texts of the same words.  The share of its five-word shingles
@@ -40,11 +42,11 @@ from .shared import text_key, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, PAIR_OVERLAP, PART_OVERLAP, SHINGLE = 0.5, 0.4, 0.5, 5
-PASSAGE, PIECE, BLOCK = 128, 64, 8
+PASSAGE, PIECE, BLOCK = 128, 64, 4
 PART_BYTES = 32 << 20
 #: Bounds and scores add up in different orders; what a bound discards is below the threshold by more than that.
 SLACK = 1e-9
-LEAST, FEW, SHORT = THRESHOLD - SLACK, 16, 64
+LEAST, FEW, SHORT, CELLS = THRESHOLD - SLACK, 16, 64, 1 << 18
 _QUESTION = re.compile(rb"^.*?(?:[.?!](?=\s)|\n|$)", re.S)
 
 
@@ -146,6 +148,28 @@ class Index:
         hit = np.flatnonzero(scores >= THRESHOLD)
         return list(zip((blocks[hit // BLOCK] * BLOCK + hit % BLOCK).tolist(), scores[hit].tolist()))
 
+    def reaching(self, passage: np.ndarray, term: np.ndarray, n: int) -> list[int]:
+        """Passages of which a block can reach the threshold, by short lists' entries and long lists' maxima.
+
+        passage and term are pairs in order of passages, of numbers below n."""
+        high = np.bincount(passage, self.most[term], n) >= LEAST
+        keep = high[passage]
+        passage, term = passage[keep], term[keep]
+        first, end = self.block_start[term], self.block_start[term + 1]
+        long = end - first > SHORT
+        rest = np.bincount(passage[long], self.most[term[long]], n)
+        passage, first, end = passage[~long], first[~long], end[~long]
+        out: list[int] = []
+        step = max(1, CELLS // max(1, self.n_blocks))
+        alive = np.flatnonzero(high)
+        for some in np.split(alive, range(step, len(alive), step)):
+            a, z = passage.searchsorted((some[0], some[-1] + 1)) if len(some) else (0, 0)
+            at = _ranges(first[a:z], end[a:z])
+            cell = np.repeat(some.searchsorted(passage[a:z]), end[a:z] - first[a:z]) * self.n_blocks + self.blocks[at]
+            bound = np.bincount(cell, self.block_most[at], len(some) * self.n_blocks).reshape(len(some), self.n_blocks).max(axis=1)
+            out += some[bound + rest[some] >= LEAST].tolist()
+        return out
+
     def matches(self, text: bytes) -> list[tuple[int, float, float, int]]:
         """(item id, score, shingle overlap, first word of the passage) of the best passage of each verified item."""
         words = words_of(text)
@@ -159,24 +183,29 @@ class Index:
         before = np.full(len(at), -1)
         same = terms[order][1:] == terms[order][:-1]
         before[order[1:][same]] = at[order[:-1][same]]
-        found: dict[int, tuple[float, float, int]] = {}
+        # pairs of a passage and a term at its first place there, both shifts one after the other
+        passages, own, base = [], [], 0
         for shift in (0, PASSAGE // 2):  # passages that overlap by half
             number = (at + shift) // PASSAGE
-            first = number * PASSAGE - shift
-            new = before < first  # the term's first place in the passage
-            bound = np.bincount(number, np.where(new, self.most[terms], 0.0))
-            for p in np.flatnonzero(bound >= LEAST):
-                a, b = np.searchsorted(number, (p, p + 1))
-                start = max(0, int(p) * PASSAGE - shift)
-                best: dict[int, float] = {}
-                for piece, score in self.search(terms[a:b][new[a:b]]):
-                    item = self.item_of[piece]
-                    best[item] = max(best.get(item, 0.0), score)
-                for item, score in best.items():
-                    margin = len(self.items[item][1])
-                    overlap = self.verify(item, words[max(0, start - margin) : int(p) * PASSAGE - shift + PASSAGE + margin])
-                    if overlap is not None:  # the best passage, the first of equal ones
-                        found[item] = max(found.get(item, (0.0, 0.0, 0)), (overlap, round(score, 9), -start))
+            new = before < number * PASSAGE - shift
+            passages.append(number[new] + base)
+            own.append(terms[new])
+            base += len(words) // PASSAGE + 2
+        passage, term = np.concatenate(passages), np.concatenate(own)
+        found: dict[int, tuple[float, float, int]] = {}
+        for p in self.reaching(passage, term, 2 * base):
+            low, high = passage.searchsorted((p, p + 1))
+            number, shift = (p, 0) if p < base // 2 else (p - base // 2, PASSAGE // 2)
+            start = number * PASSAGE - shift
+            best: dict[int, float] = {}
+            for piece, score in self.search(term[low:high]):
+                item = self.item_of[piece]
+                best[item] = max(best.get(item, 0.0), score)
+            for item, score in best.items():
+                margin = len(self.items[item][1])
+                overlap = self.verify(item, words[max(0, max(0, start) - margin) : start + PASSAGE + margin])
+                if overlap is not None:  # the best passage, the first of equal ones
+                    found[item] = max(found.get(item, (0.0, 0.0, 0)), (overlap, round(score, 9), -max(0, start)))
         return [(self.items[i][0], score, overlap, -start) for i, (overlap, score, start) in sorted(found.items())]
 
     def verify(self, item: int, words: list[bytes]) -> float | None:
