@@ -36,7 +36,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
-_SPACING = re.compile(r"((?<=[(\[{\n]) +|(?<! ) (?=[,.;:!?)\]}]))|  +")
+_AFTER, _BEFORE, _RUN = re.compile(r"([(\[{\n]) +"), re.compile(r" (?<!  )(?=[,.;:!?)\]}])"), re.compile("  +")
+_NEGATIVE = re.compile("|".join(map(re.escape, V.NEGATIVE_HINTS)))
 
 
 class Node:
@@ -96,7 +97,7 @@ def walk(node: Node) -> Iterator[Node]:
 
 
 def _dropped(node: Node) -> bool:
-    return node.tag in V.DROPPED_TAGS or (node.tag in V.HINTED_TAGS and any(h in node.hints for h in V.NEGATIVE_HINTS))
+    return node.tag in V.DROPPED_TAGS or (node.tag in V.HINTED_TAGS and _NEGATIVE.search(node.hints) is not None)
 
 
 def clean(text: str) -> str:
@@ -106,8 +107,8 @@ def clean(text: str) -> str:
 
 
 def _spaced(text: str) -> str:
-    """No space before closing or after opening signs, and none twice."""
-    return _SPACING.sub(lambda m: "" if m[1] is not None else " ", text).strip()
+    """No space after opening signs, none alone before closing ones, and none twice."""
+    return _RUN.sub(" ", _BEFORE.sub("", _AFTER.sub(r"\1", text))).strip()
 
 
 def inner_text(node: Node) -> str:
