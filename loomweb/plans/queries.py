@@ -1,1284 +1,10 @@
-"""Queries over the shared tables, and the SQL that gives the same rows."""
+"""All queries over the shared tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import text as T
-from ..functions import urls
-from ..functions import values as V
-from ..operators import candidates, cascade, crawl, evaluate, find, formats, html, platforms, ranking
-from ..sources import adapters, evals
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-N_QUERIES = 40
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors can write to and read."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "")
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="loomweb-")
-    return f"{folder.rstrip('/')}/queries-{uuid.uuid4().hex}"
-
-
-def _sql_list(items) -> str:
-    return ", ".join("'" + str(x).replace("'", "''") + "'" for x in items)
-
-
-def _any_host(host: str, domains) -> str:
-    return " or ".join(f"({host} = '{d}' or {host} like '%.{d}')" for d in domains) or "false"
-
-
-# URLs ------------------------------------------------------------------------------------------------------------
-SCHEME, AUTH = "lower(regexp_extract(url, '^([a-z]+)://', 1))", "lower(regexp_extract(url, '^https?://([^/?#]*)', 1))"
-PATH, QUERY, FRAGMENT = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)", r"regexp_extract(url, '^[^?#]*(\?[^#]*)', 1)", "regexp_extract(url, '(#.*)$', 1)"
-PAIRS = f"list_filter(string_split(substr({QUERY}, 2), '&'), lambda p: p <> '' and string_split(p, '=')[1] not in ({_sql_list(V.TRACKING)}))"
-KEPT = f"case when len({PAIRS}) > 0 then '?' || array_to_string({PAIRS}, '&') else '' end"
-TRIMMED = f"rtrim({PATH}, '/')"
-
-
-@query(f"select page_id, {SCHEME} || '://' || {AUTH} || case when {PATH} = '' then '/' else {PATH} end || {KEPT} as clean_url from pages")
-def url_strip_tracking(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("clean_url"))
-
-
-NORMAL = f"{SCHEME} || '://' || {AUTH} || case when {TRIMMED} = '' then '/' else {TRIMMED} end || {KEPT}"
-
-
-@query(f"select page_id, {NORMAL} as norm_url from pages")
-def url_normalize(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("norm_url"))
-
-
-FUSION_KEY = f"{SCHEME} || '://' || {AUTH} || {TRIMMED} || {QUERY} || {FRAGMENT}"
-EVAL_KEY = f"{SCHEME} || '://' || {AUTH} || case when {TRIMMED} = '' then '/' else {TRIMMED} end || {QUERY}"
-
-
-@query(f"select page_id, {FUSION_KEY} as rrf_key from pages")
-def url_rrf_key(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.fusion_key(F.col("url")).alias("rrf_key"))
-
-
-@query(f"select page_id, {EVAL_KEY} as eval_key from pages")
-def url_eval_key(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.eval_key(F.col("url")).alias("eval_key"))
-
-
-@query(f"select page_id, {AUTH} as host from pages")
-def url_host(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
-
-
-@query(f"select page_id, (regexp_replace({AUTH}, '^www\\.', '') = 'example.org' or regexp_replace({AUTH}, '^www\\.', '') like '%.example.org') as on_site from pages")
-def url_host_match_site(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.site_matches(urls.host(F.col("url")), " .www.Example.org").alias("on_site"))
-
-
-@query(f"select page_id, sha256({NORMAL}) as cache_key from pages")
-def url_cache_key(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.cache_key(F.col("url")).alias("cache_key"))
-
-
-#: An input for each page, as SQL for either engine.
-INPUT = """case page_id % 18 when 0 then concat('https://github.com/o', page_id, '/r', page_id, '/') when 1 then concat('https://github.com/o', page_id, '/r/issues/', page_id, '#c')
- when 2 then concat('https://github.com/o', page_id, '/r/pulls') when 3 then concat('https://github.com/o', page_id) when 4 then concat('https://www.reddit.com/r/x/comments/', page_id, '/?a=b#c')
- when 5 then concat('https://news.ycombinator.com/item?p=1&id=', page_id) when 6 then 'https://news.ycombinator.com/newest' when 7 then concat('https://en.wikipedia.org/wiki/T_', page_id, '/x')
- when 8 then concat('https://stackoverflow.com/questions/', page_id, '/x') when 9 then concat('https://stackoverflow.com/questions/tagged/', page_id) when 10 then concat('https://arxiv.org/pdf/', page_id, '.1.pdf')
- when 11 then concat('https://youtu.be/v', page_id) when 12 then concat('https://www.youtube.com/watch?t=1&v=v', page_id) when 13 then concat('https://youtube.com/shorts/s', page_id)
- when 14 then concat('how to join ', page_id) when 15 then concat('https://github.com/o/r', page_id, '/issues/new') when 16 then 'ftp://e.com/x' else url end"""
-ROUTED = f"""with i as (select page_id, {INPUT} as input from pages),
-h as (select *, lower(regexp_extract(input, '^https?://([^/?#]*)', 1)) as host, regexp_extract(input, '^https?://[^/?#]*([^?#]*)', 1) as path, regexp_extract(input, '[?]([^#]*)', 1) as pairs from i),
-g as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as segs from h),
-m as (select *, case when not regexp_matches(input, '^https?://[^/?#]+') then null
-  when host = 'github.com' and len(segs) >= 2 then ['github', segs[1] || '/' || segs[2]]
-  when host in ('reddit.com', 'www.reddit.com', 'old.reddit.com') then ['reddit', input]
-  when host = 'news.ycombinator.com' and regexp_matches(pairs, '(^|&)id=') then ['hackernews', regexp_extract(pairs, '(^|&)id=([^&]*)', 2)]
-  when host = 'en.wikipedia.org' and segs[1] = 'wiki' and len(segs) >= 2 then ['wikipedia', segs[2]]
-  when host = 'stackoverflow.com' and segs[1] = 'questions' and regexp_full_match(segs[2], '[0-9]+') then ['stackoverflow', segs[2]]
-  when host = 'arxiv.org' and segs[1] in ('abs', 'pdf') and len(segs) >= 2 then ['arxiv', regexp_replace(segs[2], '\\.pdf$', '')]
-  when host = 'youtu.be' and len(segs) >= 1 then ['youtube', segs[1]]
-  when host in ('youtube.com', 'www.youtube.com') and regexp_matches(pairs, '(^|&)v=') then ['youtube', regexp_extract(pairs, '(^|&)v=([^&]*)', 2)]
-  when host in ('youtube.com', 'www.youtube.com') and segs[1] in ('shorts', 'embed', 'v') and len(segs) >= 2 then ['youtube', segs[2]]
-  else ['generic', null] end as found from g),
-r as (select *, found[1] as platform, found[2] as item, case when segs[3] in ('issues', 'pulls') then case when regexp_full_match(segs[4], '[0-9]+') then '/issues/' || segs[4] else '/issues' end else '' end as hub from m)
-"""
-
-
-def _inputs(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", F.expr(INPUT).alias("input"))
-
-
-@query(ROUTED + """select page_id, input, case when platform is null then 'query' else 'url' end as kind, coalesce(platform, 'search') as source_type,
- case platform when 'github' then 'https://github.com/' || item || hub when 'hackernews' then 'https://news.ycombinator.com/item?id=' || item when 'wikipedia' then 'https://en.wikipedia.org/wiki/' || item
-  when 'stackoverflow' then 'https://stackoverflow.com/questions/' || item when 'arxiv' then 'https://arxiv.org/abs/' || item when 'youtube' then input when 'reddit' then input when 'generic' then input end as url,
- case when platform is null then input end as query,
- case platform when 'github' then 'github.com' when 'reddit' then 'reddit.com' when 'hackernews' then host when 'wikipedia' then 'wikipedia.org' when 'stackoverflow' then host when 'arxiv' then host when 'youtube' then 'youtube.com' when 'generic' then host end as domain
- from r""")
-def url_route(spark, sf_dir):
-    return cascade.dispatched(_inputs(spark, sf_dir))
-
-
-@query("""with i as (select page_id, case when page_id % 3 = 0 then url else regexp_replace(url, '^https?://', '') end as input from pages)
-select page_id, case when input like 'http%' then input else 'https://' || input end as url, lower(regexp_extract(input, '^(?:https?://)?([^/?#]*)', 1)) as domain, input as query from i""")
-def url_forced(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?://", "")).alias("input"))
-    asked = cascade.dispatched(rows, force_query=True).select(F.col("page_id").alias("_id"), F.col("query").alias("_query"))
-    found = cascade.dispatched(rows, force_url=True).join(asked, F.col("page_id") == F.col("_id"))
-    return found.select("page_id", "url", "domain", F.col("_query").alias("query"))
-
-
-@query(ROUTED + """select page_id, platform, item, case when platform = 'github' then case hub when '' then 'readme' when '/issues' then 'issues' else 'issue' end end as hub_kind,
- case when platform = 'github' and hub like '/issues/%' then cast(segs[4] as bigint) end as issue,
- case platform when 'reddit' then rtrim(regexp_replace(item, '[?#].*$', ''), '/') || '?' || pairs || '.json' when 'hackernews' then 'https://hn.algolia.com/api/v1/items/' || item
-  when 'wikipedia' then 'https://en.wikipedia.org/api/rest_v1/page/summary/' || item when 'stackoverflow' then 'https://api.stackexchange.com/2.3/questions/' || item || '/answers?order=desc&sort=votes&site=stackoverflow&filter=withbody'
-  when 'arxiv' then 'https://export.arxiv.org/api/query?id_list=' || item || '&max_results=1' when 'youtube' then 'https://www.youtube.com/oembed?url=' || item || '&format=json' end as data_url
- from r where platform is not null""")
-def url_platform_items(spark, sf_dir):
-    rows = _inputs(spark, sf_dir).where(urls.route(F.col("input")) == "url")
-    kind, item = urls.platform(F.col("input")), urls.platform_item(F.col("input"))
-    rows = rows.withColumn("platform", kind).withColumn("item", F.coalesce(*[F.when(F.col("platform") == k, c) for k, c in item.items()]))
-    hub = urls.github_parts(F.col("input"))
-    is_hub = F.col("platform") == "github"
-    return rows.select("page_id", "platform", "item", F.when(is_hub, hub["kind"]).alias("hub_kind"), F.when(is_hub, hub["issue"]).alias("issue"), urls.api_url(F.col("platform"), F.col("item")).alias("data_url"))
-
-
-@query("select item_id, 'https://api.openalex.org/works/W' || item_id as work_url, 'https://api.semanticscholar.org/graph/v1/paper/CorpusID:' || item_id as paper_url from benchmark")
-def url_scholar(spark, sf_dir):
-    made = [urls.api_url(F.lit(kind), F.concat(F.lit(mark), F.col("item_id").cast("string"))).alias(name) for kind, mark, name in (("openalex", "W", "work_url"), ("semantic_scholar", "CorpusID:", "paper_url"))]
-    return read(spark, sf_dir, "benchmark").select("item_id", *made)
-
-
-@query("select doc_id, regexp_replace(url_encode(text), '%20', '+', 'g') as encoded, text as decoded from (select doc_id, regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9 éèüöäßñ&=+/?%#]', '', 'g') as text from documents)")
-def url_codec(spark, sf_dir):
-    text = F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z0-9 éèüöäßñ&=+/?%#]", "")
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.url_encode(text).alias("encoded"))
-    return rows.select("doc_id", "encoded", F.try_url_decode("encoded").alias("decoded"))
-
-
-HOSTS = """case doc_id % 8 when 0 then 'docs.rs' when 1 then 'www.amazon.com' when 2 then concat('p', doc_id, '.readthedocs.io') when 3 then 'x.gov' when 4 then 'www.reddit.com' when 5 then concat('h', doc_id, '.github.io') when 6 then 'en.wikipedia.org' else 'example.com' end"""
-
-
-@query(f"""with h as (select doc_id, {HOSTS} as host from documents)
-select doc_id, host, case regexp_replace(host, '^www\\.', '') {" ".join(f"when '{h}' then '{f}'" for h, f in V.FAMILY_HOSTS.items())} else case {" ".join(f"when host like '%{x}' then '{f}'" for x, f in V.FAMILY_SUFFIXES)} else 'generic' end end as family from h""")
-def url_host_family(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.expr(HOSTS).alias("host"))
-    return rows.withColumn("family", urls.family_of_host(F.col("host")))
-
-
-FAMILY_SQL = "case " + " ".join(f"when {' or '.join(f'contains({PATH}, {_sql_list([p])})' for p in parts)} then '{family}'" for family, parts in V.FAMILY_PATHS) + " end"
-
-
-@query(f"select page_id, {FAMILY_SQL} as family from pages")
-def url_family_hint(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.family_hint(F.col("url")).alias("family"))
-
-
-PROBED = """case page_id % 4 when 0 then concat('https://d', page_id, '.x/guide/start') when 1 then concat('https://d', page_id, '.x/guide/?v=1') when 2 then concat('https://d', page_id, '.x/a/readme.md') else url end"""
-ORIGIN = "regexp_extract(u, '^(https?://[^/?#]*)', 1)"
-
-
-@query(f"""with p as (select page_id, {PROBED} as u from pages), q as (select page_id, u, {ORIGIN} as o, coalesce(nullif({PATH.replace("url", "u")}, ''), '/') as path, {QUERY.replace("url", "u")} as q from p)
-select page_id, unnest(['md', 'folder', 'full', 'llms', 'known']) as probe, unnest([case when not regexp_matches(path, '(/|[.]md|[.]html)$') then o || path || '.md' || q end,
- case when path like '%/' or not contains(path, '.') then o || regexp_replace(path, '[^/]*$', '') || 'index.html.md' end, o || '/llms-full.txt', o || '/llms.txt', o || '/.well-known/llms.txt']) as at from q""")
-def url_probe_candidates(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", F.expr(PROBED).alias("u"))
-    names = F.array(*[F.lit(x) for x in ("md", "folder", "full", "llms", "known")])
-    return rows.select("page_id", F.explode(F.arrays_zip(names.alias("probe"), urls.probe_urls(F.col("u")).alias("at"))).alias("x")).select("page_id", "x.probe", "x.at")
-
-
-HREFS = """case page_id % 9 when 0 then concat('a', page_id, '/b/#f') when 1 then '../up/./x' when 2 then '/root/' when 3 then concat('//d', page_id % 7, '.x/p?q=1') when 4 then 'mailto:a@b.c' when 5 then '#top' when 6 then '?page=2' when 7 then '../../..' else 'https://other.x/' end"""
-
-
-@query(f"""with l as (select page_id, concat('https://d', page_id % 7, '.x') as o, {HREFS} as href from pages),
-w as (select page_id, o, href, case when href like 'https://%' then href when href like '//%' then 'https:' || href when href like 'mailto:%' then null when href like '/%' then o || href
- when href like '#%' then o || '/x/y/z' when href like '?%' then o || '/x/y/z' || href when href = '../../..' then o || '/' when href like '../%' then o || '/x/up/x' else o || '/x/y/' || href end as u from l)
-select page_id, href, case when u like o || '/%' then case when regexp_replace(u, '#.*$', '') = o || '/' then o || '/' else regexp_replace(regexp_replace(u, '#.*$', ''), '/+$', '') end end as target from w""")
-def url_resolve_links(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://d"), (F.col("page_id") % 7).cast("string"), F.lit(".x/x/y/z")).alias("base"), F.expr(HREFS).alias("href"))
-    return rows.select("page_id", "href", urls.resolve(F.col("base"), F.col("href")).alias("target"))
-
-
-STATUS = "case event_id % 11 when 0 then 429 when 1 then 403 when 2 then 500 when 3 then 502 when 4 then 503 when 5 then 504 when 6 then 404 when 7 then 301 else 200 end"
-
-
-@query(f"""with s as (select event_id, {STATUS} as status from events)
-select event_id, status, status in (429, 500, 502, 503, 504) as retryable, case when status in (403, 429) then 'Blocked' when status not between 200 and 299 then 'Network' end as error,
- case when status in (403, 429) then 3 when status not between 200 and 299 then 2 else 0 end as exit_code from s""")
-def exit_code_map(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", F.expr(STATUS).alias("status"))
-    rows = rows.withColumn("retryable", urls.is_retryable(F.col("status"))).withColumn("error", urls.fetch_error(F.col("status")))
-    return rows.withColumn("exit_code", urls.exit_code(F.col("error")))
-
-
-PROBE_TYPES = "case page_id % 5 when 0 then 'text/markdown' when 1 then 'text/html; charset=utf-8' when 2 then 'text/x-html-markdown' when 3 then 'TEXT/HTML' end"
-
-
-@query(f"""with t as (select page_id, {PROBE_TYPES} as ct, case when page_id % 7 = 0 then '  ' else url end as body, case when page_id % 6 = 0 then 404 else 200 end as status from pages)
-select page_id, status = 200 and not (contains(lower(coalesce(ct, '')), 'html') and not contains(lower(coalesce(ct, '')), 'markdown')) and trim(body) <> '' as accepted from t""")
-def probe_accept(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.expr(PROBE_TYPES).alias("ct"))
-    body, status = F.when(F.col("page_id") % 7 == 0, "  ").otherwise(F.col("url")), F.when(F.col("page_id") % 6 == 0, 404).otherwise(200)
-    return rows.select("page_id", adapters.probe_accepts(status, F.col("ct"), body).alias("accepted"))
-
-
-@query("""with t as (select page_id, case page_id % 5 when 0 then 'text/html; charset=utf-8' when 1 then 'application/json' when 2 then 'image/png' when 3 then null else 'application/xhtml+xml' end as ct, strlen(html) as n from pages)
-select page_id, case when ct is null then 'missing_type' when not (split_part(ct, ';', 1) like 'text/%' or split_part(ct, ';', 1) in ('application/json', 'application/xml', 'application/xhtml+xml')) then 'bad_type' when n > 5242880 then 'too_large' else 'ok' end as reason from t""")
-def preflight_gate(spark, sf_dir):
-    kind = F.pmod("page_id", F.lit(5))
-    ct = F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "application/json").when(kind == 2, "image/png").when(kind == 4, "application/xhtml+xml")
-    return read(spark, sf_dir, "pages").select("page_id", adapters.preflight(ct, F.octet_length("html")).alias("reason"))
-
-
-@query(f"select {AUTH} as host, count(*) as n from pages group by 1 order by n desc, host limit 20")
-def domain_frequency_topn(spark, sf_dir):
-    return read(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(20)
-
-
-@query(f"select page_id, {AUTH} as host, cast(ceil(row_number() over (partition by {AUTH} order by page_id) / 3.0) as bigint) as wave from pages")
-def host_wave_schedule(spark, sf_dir):
-    return crawl.host_waves(read(spark, sf_dir, "pages"), part_bits=4).select("page_id", "host", "wave")
-
-
-# Pages -----------------------------------------------------------------------------------------------------------
-TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-
-
-@query(f"select page_id, {TITLE} as title from pages")
-def page_title(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-#: The article of a page and its marks gone: what extraction must keep of it, to the letter.
-ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
-LETTERS = "regexp_replace(regexp_replace({0}, '(?s)<[^>]*>', '', 'g'), '[*#\\s]', '', 'g')"
-
-
-def _extracted(spark, sf_dir, **how) -> DataFrame:
-    return candidates.best_candidates(html.page_parts(read(spark, sf_dir, "pages")), **how)
-
-
-@query(f"select page_id, 'ok' as status, coalesce({FAMILY_SQL}, 'search') as family, 'article' as tag, {LETTERS.format(ARTICLE)} as letters from pages")
-def page_extract_markdown(spark, sf_dir):
-    letters = F.regexp_replace("text", r"[*#\s]", "")
-    return _extracted(spark, sf_dir).select("page_id", "status", "family", "tag", letters.alias("letters"))
-
-
-@query(f"""select page_id, len(list_filter(regexp_split_to_array(regexp_replace({ARTICLE}, '(?s)<[^>]*>', ' ', 'g'), '\\s+'), lambda w: w <> '' and not regexp_full_match(w, '[*#.,;:!?]+'))) as words from pages""")
-def page_best_candidate(spark, sf_dir):
-    words = F.filter(T.words(F.regexp_replace("text", r"\*\*", "")), lambda w: ~w.rlike("^[*#.,;:!?]+$"))
-    return _extracted(spark, sf_dir, tables=True).select("page_id", F.size(words).alias("words"))
-
-
-NAV = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"([^\"]+)\"', 1)"
-
-
-@query(f"""with n as (select page_id, {AUTH} as host, {SCHEME} as scheme, {NAV} as hrefs from pages), f as (select page_id, scheme || '://' || host as o, list_distinct(hrefs) as kinds, hrefs from n),
-x as (select page_id, o, unnest(kinds) as href, hrefs from f)
-select page_id, row_number() over (partition by page_id order by list_position(hrefs, href)) - 1 as link_ord, href, o || case when rtrim(regexp_replace(href, '[#].*$', ''), '/') = '' then '/' else rtrim(regexp_replace(href, '[#].*$', ''), '/') end as target from x""")
-def page_links(spark, sf_dir):
-    shown = F.replace(F.replace("html", F.lit("<nav>"), F.lit("<main>")), F.lit("</nav>"), F.lit("</main>"))
-    found = html.page_parts(read(spark, sf_dir, "pages").withColumn("html", shown)).select("page_id", "url", F.posexplode("links").alias("link_ord", "href"))
-    return found.select("page_id", F.col("link_ord").cast("bigint").alias("link_ord"), "href", urls.resolve(F.col("url"), F.col("href")).alias("target"))
-
-
-#: Texts as words, from 0 on.
-WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
-
-
-def _w(n: int, words: str = "ws") -> str:
-    return f"coalesce({words}[{n + 1}], 'w{n}')"
-
-
-def _worded(spark, sf_dir, n: int, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
-    """The id and the first n words w0, w1, ... of each text, with stand-ins where it has fewer."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    return read(spark, sf_dir, name).select(id_col, words.alias("ws")).select(id_col, *[F.coalesce(F.get("ws", F.lit(k)), F.lit(f"w{k}")).alias(f"w{k}") for k in range(n)])
-
-
-def _worded_sql(n: int, name: str = "documents", id_col: str = "doc_id") -> str:
-    return f"with d as (select {id_col}, {WORDS} as ws from {name}), t as (select {id_col}, " + ", ".join(f"{_w(k)} as w{k}" for k in range(n)) + " from d)\n"
-
-
-def _page(template: str) -> Column:
-    """Text with the names of words in braces."""
-    return F.concat(*[F.col(x[1:-1]) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{w[0-9]+\})", template) if x])
-
-
-def _made(template: str) -> str:
-    """The same as SQL for the twin."""
-    return " || ".join(x[1:-1] if x.startswith("{") else "'" + x.replace("'", "''") + "'" for x in re.split(r"(\{w[0-9]+\})", template) if x)
-
-
-RENDERED = (
-    "<html><body><main><h2>{w0} <i>{w1}</i></h2><p>{w2} <b>{w3}</b> , ( <em>{w4}</em> ) <code> {w5}  x </code></p><ul><li>{w6}<ul><li>{w7}</li></ul></li><li> </li><li>{w8}</li></ul><ol><li></li><li>{w9}</li><li>{w10}</li></ol>"
-    "<pre><code class='a language-py'>\n{w0} = 1\n  {w1}\n</code></pre><blockquote><p>{w2}</p><p>{w3}</p></blockquote><table><thead><tr><th>{w4}</th><td></td><td>{w5}</td></tr></thead><tr><td>{w6}</td></tr><tr></tr></table>"
-    "<hr><img alt=' {w7}  pic '><a href='https://E.com/?utm_source=x&id=1#f'>{w8}</a> <a href='/r'></a><nav>{w9}</nav><div class='sidebar'>{w10}</div><script>{w1}</script></main></body></html>"
-)
-EXPECTED = (
-    "## {w0} *{w1}*\n\n{w2} **{w3}**, (*{w4}*) `{w5} x`\n\n- {w6}\n  - {w7}\n- {w8}\n\n1. {w9}\n2. {w10}\n\n```py\n{w0} = 1\n  {w1}\n```\n\n> {w2}\n>\n> {w3}\n\n| {w4} | {w5} |\n| {w6} |\n\n---\n[Image: {w7} pic] [{w8}](https://e.com/?id=1) [/r](/r)"
-)
-
-
-@query(_worded_sql(11) + f"select doc_id, {_made(EXPECTED)} as made from t")
-def page_render(spark, sf_dir):
-    pages = _worded(spark, sf_dir, 11).select(F.col("doc_id").alias("page_id"), F.lit("https://e.com/x").alias("url"), _page(RENDERED).alias("html"))
-    return candidates.best_candidates(html.page_parts(pages)).select(F.col("page_id").alias("doc_id"), F.col("text").alias("made"))
-
-
-#: A block of links with rows of text: kept as a listing from three paragraphs and four short lines on, or with a table, or below 30 bytes.
-LINKED = """case doc_id % 4 when 0 then concat('<a href=/a>', w0, ' and more words that make a long label of a link</a> ', w1)
- when 1 then concat('<p>', w0, '</p><p>', w1, '</p><p>', w2, '</p><p>', w3, '</p><a href=/b>', w4, ' with a long label that outweighs all of the short paragraphs here</a>')
- when 2 then concat('<a href=/c>', w0, ' and more words that make a long label of a link</a><table><tr><td>', w1, '</td></tr></table>') else concat('<a href=/d>d</a>', substr(w0, 1, 3)) end"""
-LABEL = " and more words that make a long label of a link"
-
-
-@query(_worded_sql(5) + f"""select doc_id, case doc_id % 4 when 0 then w4 when 1 then w0 || chr(10) || chr(10) || w1 || chr(10) || chr(10) || w2 || chr(10) || chr(10) || w3 || chr(10) || '[' || w4 || ' with a long label that outweighs all of the short paragraphs here](/b) ' || w4
- when 2 then '[' || w0 || '{LABEL}](/c)' || chr(10) || '| ' || w1 || ' |' || chr(10) || w4 else '[d](/d) ' || substr(w0, 1, 3) || ' ' || w4 end as made from t""")
-def page_link_saturation(spark, sf_dir):
-    body = F.concat(F.lit("<main><div>"), F.expr(LINKED), F.lit("</div>"), F.col("w4"), F.lit("</main>"))
-    pages = _worded(spark, sf_dir, 5).select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), body.alias("html"))
-    return candidates.best_candidates(html.page_parts(pages)).select(F.col("page_id").alias("doc_id"), F.col("text").alias("made"))
-
-
-#: Conversations as threads: each turn is a post with a score, every third one accepted.
-@query("""with p as (select conv_id, turn, regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g') as raw, (length(text) % 13) - 4 as score, turn % 3 = 2 as ok from conversations),
-c as (select conv_id, turn, trim(regexp_replace(raw, ' +', ' ', 'g')) as body, score, ok from p), f as (select * from c where body <> ''),
-o as (select *, row_number() over (partition by conv_id order by turn) as n from f), r as (select *, row_number() over (partition by conv_id order by n > 1, not ok, -score, n) as place from o),
-first as (select conv_id, body from o where n = 1)
-select conv_id, any_value(first.body) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Answers' || chr(10) || chr(10) || coalesce(string_agg('### [Score: ' || score || ']' || case when ok then ' (Accepted Answer)' else '' end || chr(10) || chr(10) || r.body || chr(10) || chr(10), '' order by place) filter (n > 1), '') as thread
- from r join first using (conv_id) group by conv_id""")
-def page_forum_thread(spark, sf_dir):
-    body = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
-    post = F.concat(F.lit("<div class='post"), F.when(F.col("turn") % 3 == 2, " accepted").otherwise(""), F.lit("'><span class=score>"), (F.length("text") % 13 - 4).cast("string"), F.lit(" points</span>"), body, F.lit("</div>"))
-    threads = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", post.alias("post")))).alias("xs"))
-    pages = threads.select(F.col("conv_id").alias("page_id"), F.lit("https://x.com/forum/1").alias("url"), F.array_join(F.transform("xs", lambda x: x["post"]), "\n").alias("html"))
-    rows = candidates.best_candidates(html.page_parts(pages)).where(F.col("text").contains("## Answers"))
-    return rows.select(F.col("page_id").alias("conv_id"), F.col("text").alias("thread"))
-
-
-@query(_worded_sql(8) + """select doc_id, 'a ' || w0 || ' ' || w1 || ' sentence of this page' || chr(10) || 'more ' || w2 || ' words in the list here' || chr(10) || 'last ' || w3 || ' part of the state ' || w4 as state from t""")
-def page_embedded_state(spark, sf_dir):
-    w = lambda *xs: F.concat(*[F.col(x[1:]) if x.startswith("$") else F.lit(x) for x in xs])
-    value = F.struct(
-        w("last ", "$w3", " part of the state ", "$w4").alias("z"), F.array(w("more ", "$w2", " words in the list here"), F.lit("short"), F.lit("onelongwordwithoutanyspacesinside")).alias("m"),
-        F.struct(w("a ", "$w0", " ", "$w1", " sentence of this page").alias("b")).alias("a"),
-    )
-    shell = F.concat(F.lit('<html><body><div id="root">'), F.col("w5"), F.lit('</div><script id="__NEXT_DATA__" type="application/json">'), F.to_json(value), F.lit("</script></body></html>"))
-    pages = _worded(spark, sf_dir, 8).select(F.col("doc_id").alias("page_id"), F.lit("https://e.com/x").alias("url"), shell.alias("html"))
-    return candidates.best_candidates(html.page_parts(pages)).select(F.col("page_id").alias("doc_id"), F.col("text").alias("state"))
-
-
-META = """case doc_id % 9 when 0 then '<meta property="og:type" content="article">' when 1 then '<meta property="og:type" content="product">' when 2 then '<meta property="og:type" content="website"><div itemtype="https://schema.org/BlogPosting"></div>'
- when 3 then '<div itemscope itemtype="https://schema.org/Product"></div>' when 4 then '<body itemtype="https://schema.org/SearchResultsPage"></body>' when 5 then '<ul itemtype="https://schema.org/ItemList"></ul>'
- when 6 then '<form><input type="search"></form><div class="hits"></div>' else '' end"""
-
-
-@query(f"""with t as (select doc_id, case when doc_id % 5 = 0 then 'docs' end as hint, case doc_id % 9 when 0 then 'article' when 1 then 'product' when 2 then 'article' when 3 then 'product' when 4 then 'search' when 5 then 'listing' end as own, doc_id % 9 = 6 as form from documents)
-select doc_id, coalesce(hint, own, 'search') as family, coalesce(hint, own, case when form then 'search' else 'generic' end) as intended from t""")
-def page_family(spark, sf_dir):
-    url = F.when(F.col("doc_id") % 5 == 0, "https://e.com/docs/x").otherwise("https://e.com/x")
-    parts = html.page_parts(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), url.alias("url"), F.expr(META).alias("html")))
-    own = lambda compat: candidates.page_family(F.col("url"), F.col("og_type"), F.col("item_type"), F.col("is_search"), compat)
-    return parts.select(F.col("page_id").alias("doc_id"), own(True).alias("family"), own(False).alias("intended"))
-
-
-#: Divisions that tell a family by name or by what they hold.
-BLOCK = """case doc_id % 6 when 0 then concat('<main class="api-box"><p>', w0, '</p></main>') when 1 then concat('<main><h2>', w0, '</h2><p>costs $5</p></main>') when 2 then concat('<main id="storytime"><p>', w0, '</p></main>')
- when 3 then concat('<main><pre>', w0, '</pre></main>') when 4 then concat('<main class="x">', repeat(concat('<p>', repeat(concat(w0, ' ', w1, ' '), 40), '</p>'), 4), '</main>') else concat('<main><p>', w0, '</p></main>') end"""
-
-
-@query("select doc_id, case doc_id % 6 when 0 then 'docs' when 1 then 'product' when 2 then 'article' when 3 then 'docs' when 4 then 'article' else 'generic' end as family from documents")
-def page_candidate_family(spark, sf_dir):
-    pages = _worded(spark, sf_dir, 2).select(F.col("doc_id").alias("page_id"), F.lit("https://e.com/x").alias("url"), F.expr(BLOCK).alias("html"))
-    return candidates.scored_candidates(html.page_parts(pages), compat=False).select(F.col("page_id").alias("doc_id"), F.col("candidate_family").alias("family"))
-
-
-@query("select page_id, case page_id % 4 when 1 then regexp_replace(html, '[^\\x{00}-\\x{FF}]', '?', 'g') else html end as html from pages")
-def page_decode(spark, sf_dir):
-    kind = F.col("page_id") % 4
-    body = F.when(kind == 1, F.encode("html", "ISO-8859-1")).when(kind == 2, F.encode("html", "UTF-16BE")).when(kind == 3, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("html", "UTF-8"))).otherwise(F.encode("html", "UTF-8"))
-    how = F.when(kind == 1, "text/html; charset=latin1").when(kind == 2, 'text/html; charset="UTF-16BE"').when(kind == 3, "text/html; charset=iso-8859-1").otherwise("text/html; charset=nonsense")
-    return html.decoded(read(spark, sf_dir, "pages").select("page_id", body.alias("html"), how.alias("content_type")))
-
-
-@query("select page_id, case page_id % 3 when 0 then 'ok' when 1 then 'empty' else 'too_large' end as status, case page_id % 3 when 0 then 'x' else '' end as text from pages")
-def page_status(spark, sf_dir):
-    kind = F.col("page_id") % 3
-    body = F.when(kind == 0, F.concat(F.repeat(F.lit("<div><b>"), 400), F.lit("x<![foo "))).when(kind == 1, "<p> </p><![CDATA[x]]><!-- y").otherwise(F.repeat(F.lit("z"), V.MAX_PAGE_BYTES + 1))
-    some = read(spark, sf_dir, "pages").select("page_id", "url", body.alias("html"))
-    return candidates.best_candidates(html.page_parts(some)).select("page_id", "status", F.regexp_replace("text", r"\*", "").alias("text"))
-
-
-@query(_worded_sql(6) + """, m as (select doc_id, '[' || w0 || '](/a) ' || w1 || chr(10) || '```' || chr(10) || w2 || chr(10) || '```' as md, '<body><main><a href=/a>' || w0 || '</a> ' || w1 || '<pre>' || w2 || '</pre></main>' || repeat('pad ', 30) || '<nav>' || w3 || '</nav></body>' as h from t)
-select doc_id, round(strlen(md) / strlen(h)::double, 3) as compression, round(strlen(md) / strlen(regexp_replace(h, '<[^>]*>', '', 'g'))::double, 3) as noise_to_signal,
- round(strlen(regexp_extract(md, '^[^)]*[)]')) / strlen(md)::double, 3) as link_saturation, round(strlen(regexp_extract(md, '(?s)```.*```')) / strlen(md)::double, 3) as code_share from m""")
-def page_quality_metrics(spark, sf_dir):
-    made = _page("<body><main><a href=/a>{w0}</a> {w1}<pre>{w2}</pre></main>" + "pad " * 30 + "<nav>{w3}</nav></body>")
-    pages = _worded(spark, sf_dir, 6).select(F.col("doc_id").alias("page_id"), F.lit("https://e.com/x").alias("url"), made.alias("html"))
-    parts = html.page_parts(pages)
-    best = candidates.best_candidates(parts).select(F.col("page_id").alias("_id"), F.regexp_replace("text", " " + "pad ?" * 30 + "$", "").alias("text"), "tag")
-    rows = pages.select("page_id", F.octet_length("html").alias("n")).join(parts.select(F.col("page_id").alias("_p"), "body_bytes"), F.col("page_id") == F.col("_p")).join(best, F.col("page_id") == F.col("_id"))
-    return rows.select(F.col("page_id").alias("doc_id"), *[c.alias(n) for n, c in candidates.quality_metrics(F.col("n"), F.col("body_bytes"), F.col("text")).items()])
-
-
-# Texts -----------------------------------------------------------------------------------------------------------
-LINES = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
-ROWS = f"list_transform({LINES}, lambda x: trim(x))"
-
-
-@query(f"""select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as words,
- len(list_filter({ROWS}, lambda x: starts_with(x, '#'))) as headings,
- len(list_filter({ROWS}, lambda x: starts_with(x, '- ') or regexp_matches(x, '^[0-9]+\\. '))) as list_items,
- len(list_filter({ROWS}, lambda x: x <> '' and strlen(x) < 35)) as short_lines,
- len(string_split(text, '](')) - 1 as links, strlen(text) as bytes from documents""")
-def doc_text_stats(spark, sf_dir):
-    s = T.stats(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", *[s[n].alias(n) for n in ("words", "headings", "list_items", "short_lines", "links", "bytes")])
-
-
-@query(f"""select doc_id, len(list_filter({LINES}, lambda x: {" or ".join(f"contains(x, {_sql_list([p])})" for p in V.PRICE_PHRASES)})) as price_lines,
- len(list_filter({LINES}, lambda x: {" or ".join(f"contains(lower(x), {_sql_list([p])})" for p in V.SPEC_PHRASES)})) as spec_lines from documents""")
-def doc_price_spec_markers(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.price_lines(F.col("text")).alias("price_lines"), T.spec_lines(F.col("text")).alias("spec_lines"))
-
-
-@query(f"""with s as (select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as w, len(list_filter({ROWS}, lambda x: starts_with(x, '#'))) as h,
- len(list_filter({ROWS}, lambda x: starts_with(x, '- ') or regexp_matches(x, '^[0-9]+\\. '))) as l, len(list_filter({ROWS}, lambda x: x <> '' and strlen(x) < 35)) as s, len(string_split(text, '](')) - 1 as k,
- len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '')) as p, len(list_filter({LINES}, lambda x: {" or ".join(f"contains(x, {_sql_list([p])})" for p in V.PRICE_PHRASES)})) as m,
- len(list_filter({LINES}, lambda x: {" or ".join(f"contains(lower(x), {_sql_list([p])})" for p in V.SPEC_PHRASES)})) as c from documents)
-select doc_id, 12 * h + 4 * l - s as docs, 14 * p + w // 20 - 2 * k as article, 16 * h + 12 * l + 40 * m + 22 * c - 4 * k as product, 10 * p + 2 * k - s as listing, 8 * p + 3 * k - 4 * h as search, 16 * p + w // 30 - 3 * k as forum from s""")
-def doc_family_adjustment(spark, sf_dir):
-    found = T.family_adjustment(T.stats(F.col("text")), T.price_lines(F.col("text")), T.spec_lines(F.col("text")))
-    return read(spark, sf_dir, "documents").select("doc_id", *[found[n].alias(n) for n in ("docs", "article", "product", "listing", "search", "forum")])
-
-
-@query(r"""select doc_id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r]+(\n|$)', '\1', 'g'), '\n{3,}', chr(1), 'g'), '\n\n', chr(10), 'g'), chr(1), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') as clean from documents""")
-def doc_cleanup(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.cleanup(F.col("text")).alias("clean"))
-
-
-TOKENS = "concat(text, ' ', repeat('ab1', 20), ' ', sha2(text, 256), ' ', repeat('QUJD', 25), '=')"
-SQL_TOKENS = "text || ' ' || repeat('ab1', 20) || ' ' || sha256(text) || ' ' || repeat('QUJD', 25) || '='"
-SHORT = """case when regexp_full_match({0}, '[A-Za-z0-9+/=]{{80,}}') then '[BASE64_TRUNCATED]' when regexp_full_match({0}, '[0-9a-fA-F]{{40,64}}') then '[SHA_TRUNCATED]' else {0} end"""
-
-
-@query(f"""select doc_id, array_to_string(list_transform(string_split({SQL_TOKENS}, ' '), lambda t: array_to_string(list_transform(string_split(t, chr(10)), lambda u: {SHORT.format("u")}), chr(10))), ' ') as short from documents""")
-def doc_token_truncate(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.shorten_tokens(F.expr(TOKENS)).alias("short"))
-
-
-#: White space runs with chr(1) for two or more line breaks and chr(2) for one.
-PACKED = r"regexp_replace(regexp_replace(regexp_replace({0}, '[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*', chr(1), 'g'), '[ \t\r]*\n[ \t\r]*', chr(2), 'g'), '[ \t\r]+', ' ', 'g')"
-UNPACKED = "replace(replace({0}, chr(1), chr(10) || chr(10)), chr(2), chr(10))"
-
-
-@query(f"select doc_id, {UNPACKED.format(PACKED.format('text'))} as packed from documents")
-def doc_collapse_space(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.collapse_space(F.col("text")).alias("packed"))
-
-
-#: (label, target) pairs of words, shown as links one after the other.
-PAIRS_SQL = "[{'l': w0, 'h': '#' || w1}, {'l': w2, 'h': 'https://e.com/' || w3}, {'l': 'https://' || w4, 'h': 'https://' || w4}, {'l': w5, 'h': w6 || '/p.html'}, {'l': w7, 'h': 'mailto:' || w0}, {'l': w1, 'h': '/' || w2}, {'l': '', 'h': 'x'}, {'l': w3, 'h': ''}, {'l': 'é' || w4, 'h': '../ü'}]"
-
-
-@query(_worded_sql(8) + f"""select doc_id, array_to_string(list_transform({PAIRS_SQL}, lambda x: case when x.l <> '' and x.h <> '' and (x.h like '#%' or x.l = x.h or (not contains(x.h, '://') and x.h not like '/%' and x.h not like 'mailto:%')) then x.l else '[' || x.l || '](' || x.h || ')' end), ' [note] ') as made from t""")
-def doc_link_simplify(spark, sf_dir):
-    text = _page("[{w0}](#{w1}) [note] [{w2}](https://e.com/{w3}) [note] [https://{w4}](https://{w4}) [note] [{w5}]({w6}/p.html) [note] [{w7}](mailto:{w0}) [note] [{w1}](/{w2}) [note] [](x) [note] [{w3}]() [note] [é{w4}](../ü)")
-    return _worded(spark, sf_dir, 8).select("doc_id", T.simplify_links(text).alias("made"))
-
-
-@query("select conv_id, turn, strlen(text) > 20 and len(string_split(text, ' ')) > 2 as leaf from conversations")
-def doc_json_leaf_strings(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_leaf(F.col("text")).alias("leaf"))
-
-
-@query(_worded_sql(6) + """select doc_id, '# ' || w0 || chr(10) || w1 || ' ' || w2 || chr(10) || chr(10) || '```py' || chr(10) || '  a  ' || w3 || '   [x](#y)' || chr(10) || 'Copy item path' || chr(10) || '```' || chr(10) || w4 || ' `' || w5 || '`' as made from t""")
-def doc_minify_fences(spark, sf_dir):
-    text = _page("# {w0}[§](#a)  \n  Copy item path\n{w1}   [{w2}](#z) \n\n\n\n```py\n  a  {w3}   [x](#y)\nCopy item path\n```\nExpand description\n{w4}\t `{w5}`  \n\n")
-    return _worded(spark, sf_dir, 6).select("doc_id", T.minify(text).alias("made"))
-
-
-LEAN = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-
-
-@query(f"""with a as (select doc_id, text, {PACKED.format("text || chr(10)")} as packed from documents), b as (select doc_id, text, array_to_string(list_transform(string_split(replace(replace(packed, chr(1), ' ' || chr(1) || ' '), chr(2), ' ' || chr(2) || ' '), ' '), lambda t: {SHORT.format("t")}), ' ') as t from a),
-c as (select doc_id, text, regexp_replace(regexp_replace({UNPACKED.format("replace(replace(t, ' ' || chr(1) || ' ', chr(1)), ' ' || chr(2) || ' ', chr(2))")}, '[ \\t\\r\\n]+$', ''), '^\\n+', '') as made from b)
-select doc_id, case when strlen(made) > strlen({LEAN.format("text")}) then {LEAN.format("text")} else made end as minified from c""")
-def doc_minify(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.minify(F.col("text")).alias("minified"))
-
-
-# Find ------------------------------------------------------------------------------------------------------------
-TERMS = ["the", "of", "in"]
-
-
-def _threads(spark, sf_dir) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return turns.select("conv_id", F.array_join(F.transform("x", lambda t: t["text"]), "\n\n").alias("thread"))
-
-
-FIND = """with th as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as thread from conversations group by 1),
-b as (select conv_id, unnest(string_split(thread, chr(10) || chr(10))) as raw, generate_subscripts(string_split(thread, chr(10) || chr(10)), 1) as place0 from th),
-b2 as (select conv_id, place0, trim(raw) as block, lower(trim(raw)) as low from b where trim(raw) <> ''),
-b3 as (select conv_id, place0, block, low, (contains(low, 'the')::int + contains(low, 'of')::int + contains(low, 'in')::int) as hits,
- (length(low) - length(replace(low, 'the', ''))) // 3 + (length(low) - length(replace(low, 'of', ''))) // 2 + (length(low) - length(replace(low, 'in', ''))) // 2 as said from b2),
-r as (select *, row_number() over (partition by conv_id order by hits desc, said desc, place0) as place, max(hits) over (partition by conv_id) as best from b3 where hits > 0),
-k as (select conv_id, best, string_agg(block, chr(10) || chr(10) order by place0) as txt from r where (best = 3 and hits = 3) or (best < 3 and place <= 5) group by 1, 2)
-"""
-
-
-@query(FIND + "select th.conv_id, case when k.best = 3 then 'all' when k.best > 0 then 'partial' else 'none' end as match_mode from th left join k using (conv_id)")
-def conv_find_mode(spark, sf_dir):
-    return find.find_blocks(_threads(spark, sf_dir), F.col("thread"), TERMS).select("conv_id", "match_mode")
-
-
-@query(FIND + "select th.conv_id, coalesce(k.txt, '') as filtered_text from th left join k using (conv_id)")
-def conv_find_blocks(spark, sf_dir):
-    return find.find_blocks(_threads(spark, sf_dir), F.col("thread"), TERMS).select("conv_id", "filtered_text")
-
-
-@query("select conv_id, turn, case when turn = 0 then 0 else row_number() over (partition by conv_id, turn = 0 order by length(text) desc, turn) end as place from conversations")
-def conv_op_vs_replies_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("conv_id", F.col("turn") == 0).orderBy(F.desc(F.length("text")), "turn")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 0, 0).otherwise(F.row_number().over(own)).cast("bigint").alias("place"))
-
-
-# Ranked lists ----------------------------------------------------------------------------------------------------
-LOW_TRUST = ["example.net"]
-#: Some of the pages under hosts that the scorers know, as SQL for either engine.
-KNOWN = """case page_id % 19 when 0 then concat('https://docs.rs/c', page_id, '/latest/') when 1 then concat('https://u', page_id, '.github.io/docs/') when 2 then concat('https://medium.com/what-is-', page_id) when 3 then concat('https://www.w3schools.com/p', page_id)
- when 4 then concat('https://stackoverflow.com/questions/', page_id) when 5 then concat('https://geeksforgeeks.org/introduction-to-', page_id) when 6 then concat('https://x.example.net/what-is-', page_id) when 7 then concat('https://pypi.org/reference/', page_id) else url end"""
-ENGINES = f"""with base as (select page_id % {N_QUERIES} as query_id, page_id, {KNOWN} as url, {TITLE} as title, substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 200) as snippet, length(html) as n from pages),
-e as (select query_id, 'e1' as engine, 0 as engine_ord, row_number() over (partition by query_id order by page_id) - 1 as rank, url, title, snippet from base
- union all select query_id, 'e2', 1, row_number() over (partition by query_id order by n, page_id) - 1, url, title, snippet from base
- union all select query_id, 'e3', 2, row_number() over (partition by query_id order by page_id desc) - 1, url, title, snippet from base),
-k as (select *, {FUSION_KEY} as key, {EVAL_KEY} as ekey, {AUTH} as host from e),
-f0 as (select query_id, key, round(sum(1.0::double / (60.0 + rank + 1)), 9) as rrf, arg_min(struct_pack(url := url, title := title, snippet := snippet), engine_ord * 1000000000 + rank) as one from k group by 1, 2),
-f as (select query_id, key, rrf, one.url as url, one.title as title, one.snippet as snippet, row_number() over (partition by query_id order by rrf desc, one.url) as fused_rank from f0),
-q as (select item_id as query_id, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 4), ' ') as query from benchmark),
-j as (select f.*, q.query, {AUTH.replace("url", "f.url")} as host, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: strlen(t) >= 3) as terms,
- list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: contains(t, '-') or contains(t, '_') or (regexp_full_match(t, '[a-z]{{4,}}') and t not in ({_sql_list(V.COMMON_WORDS)}))) as tokens from f join q using (query_id)),
-s as (select *, round(1.0 * case when {_any_host("host", V.HIGH_TRUST)} then 2.0 when {_any_host("host", V.MEDIUM_TRUST)} then 0.5 when {_any_host("host", LOW_TRUST)} then -0.5 else 0 end, 9) as domain_trust,
- round(0.8 * case when {_any_host("host", V.DOCS_HOSTS)} then 1.5 when host like '%.github.io' then 1.0 when {_any_host("host", V.FARM_HOSTS)} then -1.0 when {" or ".join(f"contains(lower(url), '{p}')" for p in V.DOCS_PATHS)} then 0.8 when {" or ".join(f"contains(lower(url), '{p}')" for p in V.FARM_PATHS)} then -0.5 else 0 end, 9) as url_pattern,
- round(1.2 * case when len(list_filter(tokens, lambda t: contains(lower(title), t) or contains(host, t))) > 0 then 1.5 else 0 end, 9) as project_match,
- round(case when {_any_host("host", V.BLOCKED)} then -5.0 else 0 end, 9) as blocklist_penalty,
- round(0.6 * case when len(terms) > 0 then len(list_filter(terms, lambda t: contains(lower(snippet), t)))::double / len(terms) else 0 end, 9) as snippet_relevance,
- round(0.5 * -0.5 * (row_number() over (partition by query_id, host order by fused_rank) - 1), 9) as domain_diversity from j),
-t as (select *, round(domain_trust + url_pattern + project_match + blocklist_penalty + snippet_relevance + domain_diversity, 9) as score from s),
-r as (select *, row_number() over (partition by query_id order by score desc, fused_rank) as final_rank from t)
-"""
-
-
-def engines(spark, sf_dir) -> DataFrame:
-    """Three ranked lists of all pages, dealt to N_QUERIES queries."""
-    from pyspark.sql import Window
-
-    base = read(spark, sf_dir, "pages").select(
-        F.pmod("page_id", F.lit(N_QUERIES)).alias("query_id"), "page_id", F.expr(KNOWN).alias("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.substring(F.regexp_replace("html", "<[^>]*>", " "), 1, 200).alias("snippet"), F.length("html").alias("n"),
-    )
-    out = None
-    for ord_, (name, order) in enumerate((("e1", ["page_id"]), ("e2", ["n", "page_id"]), ("e3", [F.desc("page_id")]))):
-        rank = (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).cast("bigint")
-        one = base.select("query_id", F.lit(name).alias("engine"), F.lit(ord_).alias("engine_ord"), rank.alias("rank"), "url", "title", "snippet")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def query_texts(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ").alias("query"))
-
-
-def ranked(spark, sf_dir) -> DataFrame:
-    return ranking.score(ranking.fuse(engines(spark, sf_dir)), query_texts(spark, sf_dir), low=LOW_TRUST)
-
-
-@query(ENGINES + "select query_id, key, rrf, fused_rank from f")
-def fuse_rrf(spark, sf_dir):
-    return ranking.fuse(engines(spark, sf_dir)).select("query_id", "key", "rrf", "fused_rank")
-
-
-@query(ENGINES + "select query_id, key, url, title from f")
-def fuse_first_payload(spark, sf_dir):
-    return ranking.fuse(engines(spark, sf_dir)).select("query_id", "key", "url", "title")
-
-
-@query(ENGINES + "select query_id, ekey as key, row_number() over (partition by query_id order by rank, engine_ord) as position from (select *, row_number() over (partition by query_id, ekey order by rank, engine_ord) as n from k) where n = 1")
-def fuse_round_robin(spark, sf_dir):
-    return ranking.round_robin(engines(spark, sf_dir)).select("query_id", "key", "position")
-
-
-def _scorer(name: str):
-    def run(spark, sf_dir):
-        return ranked(spark, sf_dir).select("query_id", "url", F.col(name).cast("double").alias(name))
-
-    run.__name__ = f"score_{name}"
-    query(ENGINES + f"select query_id, url, {name}::double as {name} from s")(run)
-
-
-for _name in ("domain_trust", "url_pattern", "project_match", "blocklist_penalty", "snippet_relevance", "domain_diversity"):
-    _scorer(_name)
-
-
-@query(_worded_sql(5, "benchmark", "item_id") + f"""select item_id, array_to_string(list_filter(ts, lambda t, i: i = 1 or ts[i - 1] <> t), ' ') as tokens from (select item_id, list_filter([lower(w0), lower(w0), lower(w1) || '-x', 'rust', lower(w2), 'ab_c', 'ab_c', lower(w3), lower(w3), 'abc', 'Ünd', lower(w0)], lambda t: contains(t, '-') or contains(t, '_') or (regexp_full_match(t, '[a-z]{{4,}}') and t not in ({_sql_list(V.COMMON_WORDS)}))) as ts from t)""")
-def score_project_tokens(spark, sf_dir):
-    text = _page("{w0} {w0} {w1}-x Rust {w2} ab_c  ab_c {w3} {w3} abc Ünd {w0}")
-    return _worded(spark, sf_dir, 5, "benchmark", "item_id").select("item_id", F.array_join(ranking.project_tokens(text), " ").alias("tokens"))
-
-
-@query(ENGINES + "select query_id, url, score::double as score, final_rank from r")
-def search_ranked(spark, sf_dir):
-    return ranked(spark, sf_dir).select("query_id", "url", "score", "final_rank")
-
-
-@query(ENGINES + "select query_id, url, final_rank from (select *, (host = 'example.net' or host like '%.example.net') as hit, count(*) filter (host = 'example.net' or host like '%.example.net') over (partition by query_id) as n from r) where hit or n = 0")
-def search_site_scoped(spark, sf_dir):
-    return ranking.site_scoped(ranked(spark, sf_dir), "example.net").select("query_id", "url", "final_rank")
-
-
-LINK = "'[' || title || '](' || url || ')'"
-FLAT = "replace(snippet, chr(10), ' ')"
-SERP = {
-    "compact": (1, f"'- ' || {LINK} || chr(10)"),
-    "standard": (2, f"'- ' || {LINK} || chr(10) || coalesce('  > ' || {FLAT} || chr(10), '')"),
-    "full": (3, f"'### ' || {LINK} || chr(10) || coalesce(snippet || chr(10), '') || '---' || chr(10)"),
-}
-BLOCKS = {
-    "compact": (1, f"'- ' || {LINK}"),
-    "standard": (2, f"'- ' || {LINK} || coalesce(chr(10) || chr(10) || {FLAT}, '')"),
-    "full": (3, f"'### ' || {LINK} || coalesce(chr(10) || chr(10) || snippet, '')"),
-}
-for _name, (_density, _line) in SERP.items():
-
-    def _serp(spark, sf_dir, density=_density):
-        return formats.result_page(ranked(spark, sf_dir), density)
-
-    _serp.__name__ = f"search_serp_{_name}"
-    query(ENGINES + f"select query_id, regexp_replace(string_agg({_line}, '' order by final_rank), '^\\s+|\\s+$', '', 'g') as page from r group by 1")(_serp)
-for _name, (_density, _line) in BLOCKS.items():
-
-    def _structured(spark, sf_dir, density=_density):
-        return formats.result_page(ranked(spark, sf_dir), density, "structured")
-
-    _structured.__name__ = f"search_structured_{_name}"
-    _body = f"'---' || chr(10) || 'source: ' || url || chr(10) || 'title: ' || replace(title, chr(10), ' ') || chr(10) || 'type: search_result' || chr(10) || 'fetched: unknown' || chr(10) || '---' || chr(10) || chr(10) || regexp_replace({_line}, '^\\s+|\\s+$', '', 'g')"
-    query(ENGINES + f"select query_id, string_agg({_body}, chr(10) || chr(10) order by final_rank) as page from r group by 1")(_structured)
-
-
-#: Engines fail for some queries; a query of number 3 mod 5 has none left.
-FAILS = "case when query_id % 5 = 3 then true when query_id % 5 = 1 then engine = 'e2' else false end"
-
-
-@query(ENGINES + f"""select query_id, engine, rank, url from e where not ({FAILS}) and not (query_id % 5 in (1, 3) and query_id % 5 = 3)""")
-def search_degraded(spark, sf_dir):
-    lists = engines(spark, sf_dir)
-    failed = lists.select("query_id", "engine").distinct().where(F.expr(FAILS))
-    return cascade.fan_out(lists, ["e1"], failed).select("query_id", "engine", "rank", "url")
-
-
-@query(ENGINES + """select query_id, case when trim(query) = '' then 'query is empty' when query_id % 5 = 3 then 'all search engines failed or returned no results (e1: timeout; e2: timeout; e3: timeout; e4: no results)' end as error from (select query_id, case when query_id % 7 = 6 then '  ' else query end as query from q where query_id in (select query_id from e))""")
-def search_errors(spark, sf_dir):
-    lists = engines(spark, sf_dir)
-    asked = query_texts(spark, sf_dir).join(lists.select("query_id").distinct(), "query_id").withColumn("query", F.when(F.col("query_id") % 7 == 6, "  ").otherwise(F.col("query")))
-    failed = lists.select("query_id", "engine").distinct().where(F.expr(FAILS))
-    left = lists.join(failed, ["query_id", "engine"], "left_anti")
-    return cascade.search_errors(asked, left, ["e1", "e2", "e3", "e4"], failed.withColumn("error", F.lit("timeout")))
-
-
-# Evaluation: the gold URL of a query is that of its page with the least id; the next one counts as well, less ----------
-GOLD = ENGINES.rstrip() + ",\ng as (select query_id, url as gold_url, rank = 0 as preferred from e where engine = 'e1' and rank < 2),\n"
-GKEY = EVAL_KEY.replace("url", "gold_url")
-HITS = GOLD + f"""gk as (select query_id, {GKEY} as key from g), h as (select gk.query_id, min(final_rank) as hit from gk left join (select query_id, {EVAL_KEY} as key, final_rank from r) x using (query_id, key) group by 1)
-"""
-
-
-def gold(spark, sf_dir) -> DataFrame:
-    return engines(spark, sf_dir).where("engine = 'e1' and rank < 2").select("query_id", F.col("url").alias("gold_url"), (F.col("rank") == 0).alias("preferred"))
-
-
-def _lists(spark, sf_dir) -> DataFrame:
-    return ranked(spark, sf_dir).select("query_id", F.col("final_rank").alias("rank"), "url")
-
-
-def _at(n: int) -> str:
-    return f"round(count(*) filter (hit <= {n}) / count(*)::double, 9) as recall_{n}"
-
-
-@query(HITS + f"select count(*) as questions, {_at(1)}, {_at(5)}, {_at(10)}, round(count(*) filter (hit <= 20) / count(*)::double, 9) as recall_k, round(count(hit) / count(*)::double, 9) as coverage, round(avg(coalesce(1.0::double / hit, 0)), 9) as mrr from h")
-def eval_recall_mrr(spark, sf_dir):
-    return evaluate.recall(evaluate.first_match(_lists(spark, sf_dir), gold(spark, sf_dir)), 20)
-
-
-@query(HITS + "select query_id, hit from h")
-def eval_first_rank(spark, sf_dir):
-    return evaluate.first_match(_lists(spark, sf_dir), gold(spark, sf_dir))
-
-
-#: Questions with the exit codes of their cached results, as SQL for either engine.
-CODE = "case query_id % 9 when 4 then 3 when 7 then 4 else 0 end"
-
-
-def _coded(spark, sf_dir) -> DataFrame:
-    hits = evaluate.first_match(_lists(spark, sf_dir), gold(spark, sf_dir).where("preferred"))
-    counts = _lists(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_results"))
-    return hits.join(counts, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0))).withColumn("exit_code", F.expr(CODE))
-
-
-ONE_HIT = GOLD + f"""gk as (select query_id, {GKEY} as key from g where preferred), h0 as (select gk.query_id, min(final_rank) as hit from gk left join (select query_id, {EVAL_KEY} as key, final_rank from r) x using (query_id, key) group by 1),
-h as (select h0.*, coalesce(n, 0) as n, {CODE.replace("query_id", "h0.query_id")} as code, case when {CODE.replace("query_id", "h0.query_id")} = 0 then hit end as ok from h0 left join (select query_id, count(*) as n from r group by 1) c using (query_id))
-"""
-
-
-@query(ONE_HIT + """select count(*) as questions, count(*) filter (code = 3) as blocked, count(*) filter (code = 4) as no_content, count(*) filter (ok <= 3) as passed, count(*) filter (ok > 3) as missed, count(*) filter (code = 0 and ok is null) as failed,
- round(count(*) filter (ok <= 3) / count(*)::double, 9) as recall_k, round(count(*) filter (ok = 1) / count(*)::double, 9) as recall_1, round(count(ok) / count(*)::double, 9) as coverage,
- round(sum(coalesce(1.0::double / ok, 0)) / count(*), 9) as mrr, round(sum(coalesce(1.0::double / ok, 0)) / count(*) filter (code = 0), 9) as objective from h""")
-def eval_report(spark, sf_dir):
-    return evaluate.recall_report(_coded(spark, sf_dir), 3)
-
-
-RAW_HIT = ENGINES.rstrip() + f""",
-u as (select query_id, ekey, row_number() over (partition by query_id order by rank, engine_ord) as position from (select *, row_number() over (partition by query_id, ekey order by rank, engine_ord) as n from k) where n = 1),
-g as (select query_id, {EVAL_KEY} as key from e where engine = 'e2' and rank = 3), hh as (select q.query_id, min(position) as hit from (select distinct query_id from e) q left join g using (query_id) left join u on u.query_id = q.query_id and u.ekey = g.key group by 1)
-"""
-
-
-@query(RAW_HIT + """select count(*) as questions, round(count(*) filter (hit <= 1) / count(*)::double, 9) as recall_1, round(count(*) filter (hit <= 5) / count(*)::double, 9) as recall_5, round(count(*) filter (hit <= 10) / count(*)::double, 9) as recall_10,
- round(count(*) filter (hit <= 7) / count(*)::double, 9) as recall_k, round(count(hit) / count(*)::double, 9) as recall_any, round(count(*) filter (hit is null) / count(*)::double, 9) as gap, 0::bigint as empty from hh""")
-def eval_url_recall(spark, sf_dir):
-    lists = engines(spark, sf_dir)
-    union = ranking.round_robin(lists).select("query_id", F.col("position").alias("rank"), "url")
-    wanted = lists.where("engine = 'e2' and rank = 3").select("query_id", F.col("url").alias("gold_url"))
-    hits = lists.select("query_id").distinct().join(evaluate.first_match(union, wanted), "query_id", "left").withColumn("n_results", F.lit(1))
-    return evaluate.url_recall(hits, 7)
-
-
-@query(ONE_HIT + "select round(sum(coalesce(1.0::double / hit, 0)) / count(*), 9) as objective from h")
-def eval_tuning_objective(spark, sf_dir):
-    lists, wanted = engines(spark, sf_dir), gold(spark, sf_dir).where("preferred")
-    ranked_ = ranking.score(ranking.fuse(lists), query_texts(spark, sf_dir), low=LOW_TRUST).select("query_id", F.col("final_rank").alias("rank"), "url")
-    hits = evaluate.first_match(ranked_, wanted).withColumn("n_results", F.lit(1)).withColumn("exit_code", F.lit(0))
-    return evaluate.recall_report(hits).select("objective")
-
-
-@query(GOLD + """m as (select query_id, any_value(query) as query, count(*) as n from f join q using (query_id) group by 1) select m.query_id, m.query, m.n as n_results, g.gold_url from m join g on g.query_id = m.query_id and preferred""")
-def eval_zip_by_key(spark, sf_dir):
-    counts = ranking.fuse(engines(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n_results"))
-    return query_texts(spark, sf_dir).join(counts, "query_id").join(gold(spark, sf_dir).where("preferred").select("query_id", "gold_url"), "query_id")
-
-
-REL = GOLD + """rel as (select r.query_id, r.final_rank as rank, max(case when preferred then 2 when gold_url is not null then 1 else 0 end) as rel from r left join g on g.query_id = r.query_id
- and (rtrim(r.url, '/') = rtrim(gold_url, '/') or starts_with(rtrim(r.url, '/'), rtrim(gold_url, '/') || '/') or starts_with(rtrim(r.url, '/'), rtrim(gold_url, '/') || '?')) group by 1, 2, r.url),
-got as (select query_id, bool_or(rel > 0 and rank <= 1) as success_1, bool_or(rel > 0 and rank <= 3) as success_3, bool_or(rel > 0 and rank <= 5) as success_5,
- coalesce(1.0::double / min(rank) filter (rel > 0), 0) as rr, coalesce(sum(rel / log2(rank + 1)) filter (rank <= 10), 0) as dcg from rel group by 1),
-ideal as (select query_id, sum(v / log2(n + 1)) as ideal from (select query_id, case when preferred then 2 else 1 end as v, row_number() over (partition by query_id order by preferred desc) as n from g) where n <= 10 group by 1)
-"""
-
-
-@query(REL + "select query_id, success_1, success_3, success_5, round(rr, 9) as rr from got join ideal using (query_id)")
-def eval_success_at_k(spark, sf_dir):
-    return evaluate.ndcg(_lists(spark, sf_dir), gold(spark, sf_dir)).drop("ndcg")
-
-
-@query(REL + "select round(avg(success_1::int), 3) as success_1, round(avg(success_3::int), 3) as success_3, round(avg(success_5::int), 3) as success_5, round(avg(round(rr, 9)), 3) as mrr from got join ideal using (query_id)")
-def eval_means(spark, sf_dir):
-    rows = evaluate.ndcg(_lists(spark, sf_dir), gold(spark, sf_dir))
-    return rows.agg(*[F.round(F.avg(F.col(f"success_{n}").cast("int")), 3).alias(f"success_{n}") for n in (1, 3, 5)], F.round(F.avg("rr"), 3).alias("mrr"))
-
-
-@query(REL + "select query_id, round(dcg / ideal, 6) as ndcg from got join ideal using (query_id)")
-def eval_ndcg10(spark, sf_dir):
-    return evaluate.ndcg(_lists(spark, sf_dir), gold(spark, sf_dir)).select("query_id", F.round("ndcg", 6).alias("ndcg"))
-
-
-# Formats ---------------------------------------------------------------------------------------------------------
-HEAD = "'# --- [Source: https://e.com/' || doc_id || '] ---' || chr(10) || chr(10)"
-
-
-@query(f"select doc_id, {HEAD} || '- [Generic Page](https://e.com/' || doc_id || ')' as compact, {HEAD} || case when length(text) > 2000 then substr(text, 1, 2000) || '... (truncated)' else text end as standard, {HEAD} || text as whole from documents")
-def fmt_generic_tiers(spark, sf_dir):
-    source = F.concat(F.lit("https://e.com/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x#f"))
-    return read(spark, sf_dir, "documents").select("doc_id", *[formats.tier(source, F.col("text"), d).alias(n) for d, n in ((1, "compact"), (2, "standard"), (3, "whole"))])
-
-
-@query(f"select doc_id, '---' || chr(10) || 'source: ' || source || chr(10) || 'title: ' || lang || chr(10) || 'type: document' || chr(10) || 'fetched: unknown' || chr(10) || '---' || chr(10) || chr(10) || {LEAN.format('text')} as block from documents")
-def fmt_structured(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", formats.structured(F.col("source"), F.col("lang"), "document", F.col("text")).alias("block"))
-
-
-BARE = r"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace({0}, '^#+', '')), '^>+', '')), '^(?:- )*(?:\* )*', ''))"
-
-
-@query(f"""select doc_id, list_filter(list_transform(list_filter(list_transform({LINES}, lambda v: trim(v)), lambda v: not (starts_with(v, '<!--') or v = '---' or starts_with(v, '# --- [Source:'))), lambda v: {BARE.format("v")}), lambda v: v <> '')[1] as title from documents""")
-def fmt_title_infer(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.title_line(F.col("text")).alias("title"))
-
-
-@query(_worded_sql(3) + "select doc_id, '---' || chr(10) || 'source: https://e.com/' || doc_id || chr(10) || 'title: ' || case when doc_id % 2 = 0 then w1 || ' ' || w2 else 'https://e.com/' || doc_id end || chr(10) || 'type: generic' || chr(10) || 'fetched: unknown' || chr(10) || '---' || chr(10) || chr(10) || case when doc_id % 2 = 0 then '<!-- ' || w0 || ' -->' || chr(10) || '---' || chr(10) || '## > - ' || w1 || ' ' || w2 else '---' end as block from t")
-def fmt_dispatch(spark, sf_dir):
-    body = F.when(F.col("doc_id") % 2 == 0, _page("<!-- {w0} -->\n---\n## > - {w1} {w2}\n")).otherwise("---")
-    return _worded(spark, sf_dir, 3).select("doc_id", formats.formatted(body, F.concat(F.lit("https://e.com/"), F.col("doc_id").cast("string")), "structured").alias("block"))
-
-
-@query("select lang, count(*) as pages, sum(strlen(text))::bigint as bytes, cast(sum((strlen(text) + 3) // 4) as bigint) as token_estimate from documents group by 1")
-def stat_totals(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("pages"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.floor((F.octet_length("text") + 3) / 4)).alias("token_estimate"))
-
-
-PLAIN_LINE = r"rtrim(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(case when {0} like '#%' then ltrim(regexp_replace({0}, '^#+', '')) when ltrim({0}) like '#%' then ltrim({0}) else {0} end, '^[ \t]*(?:> )+', ''), '^[ \t]*[-*] ', ''), '^[ \t]*[0-9]+\.[ \t]+', ''), '\[([^\]]+)\]\(([^)]+)\)', '\1 (\2)', 'g'), '**', ''), '__', ''), '`', ''))"
-
-
-@query(f"""with l as (select doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: not (starts_with(trim(x), '<!--') or trim(x) = '---')), lambda x: {PLAIN_LINE.format("x")}) as ls from documents),
-j as (select doc_id, regexp_replace(array_to_string(ls, chr(10)), '\\n([ \\t\\r]*)\\n(?:[ \\t\\r]*\\n)+', chr(10) || '\\1' || chr(10), 'g') as t from l)
-select doc_id, {LEAN.format("t")} as plain from j""")
-def fmt_plain(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", formats.plain(F.col("text")).alias("plain"))
-
-
-@query(_worded_sql(8) + """select doc_id, 'Source: ' || w0 || chr(10) || chr(10) || w1 || ' ' || w2 || chr(10) || w3 || chr(10) || w4 || chr(10) || w5 || chr(10) || '# ' || w6 || '  **x**' || chr(10) || chr(10) || 'see ' || w7 || ' (/y) code' as plain from t""")
-def fmt_plain_marks(spark, sf_dir):
-    text = _page("<!-- c -->\n# --- [Source: {w0}] ---\n\n\n## {w1} **{w2}**\n---\n> > {w3}\n- {w4}\n 12. {w5}\n```sh\n# {w6}  **x**\n```\n\nsee [{w7}](/y) `code`  \n")
-    return _worded(spark, sf_dir, 8).select("doc_id", formats.plain(text).alias("plain"))
-
-
-# Crawl, sessions, snapshots ------------------------------------------------------------------------------------------
-#: A site per remainder of 7; each page links to the next ones of its site, to itself, to another site and to a page that is not there.
-SITE = "concat('https://d', {0} % 7, '.x/p', {0})"
-GRAPH = f"""with recursive n as (select page_id as id, {SITE.format("page_id")} as url from pages),
-l as (select id, id + 7 as goal, 1 as ord from n union all select id, id + 14, 3 from n union all select id, id, 0 from n),
-w as (select id as seed, id, 0 as depth, [0] as way from n where id < 7 union all select w.seed, l.goal, w.depth + 1, list_append(w.way, l.ord) from w join l on l.id = w.id join n on n.id = l.goal where w.depth < 3),
-v as (select seed, id, min(depth) as depth, arg_min(way, (depth, way)) as way from w group by 1, 2),
-o as (select seed, id, depth, row_number() over (partition by seed order by depth, way) as ord from v)
-"""
-
-
-def _site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    pages = read(spark, sf_dir, "pages").select("page_id", F.expr(SITE.format("page_id")).alias("url"))
-    hrefs = F.array(F.lit("#self"), F.concat(F.lit("/p"), (F.col("page_id") + 7).cast("string")), F.concat(F.lit("//d"), ((F.col("page_id") + 1) % 7).cast("string"), F.lit(".x/p"), (F.col("page_id") + 1).cast("string")), F.concat(F.lit("./x/../p"), (F.col("page_id") + 14).cast("string"), F.lit("/")), F.lit("missing"))
-    return pages, pages.select("url", F.posexplode(hrefs).alias("link_ord", "href"))
-
-
-@query(GRAPH + f"select {SITE.format('seed')} as seed, {SITE.format('id')} as url, depth, ord from o where ord <= 5")
-def crawl_bfs_budget(spark, sf_dir):
-    pages, links = _site(spark, sf_dir)
-    return crawl.crawl(pages.where("page_id < 7").select(F.col("url").alias("seed")), links, pages.select("url"), max_depth=3, max_pages=5)
-
-
-@query(GRAPH + f"""select {SITE.format('seed')} as seed, string_agg(chr(10) || chr(10) || '# --- [Source: ' || {SITE.format('id')} || '] ---' || chr(10) || chr(10) || 'text of ' || id, '' order by ord) as text, count(*) as n_pages from o where ord <= 5 group by seed""")
-def crawl_joined_pages(spark, sf_dir):
-    pages, links = _site(spark, sf_dir)
-    found = crawl.crawl(pages.where("page_id < 7").select(F.col("url").alias("seed")), links, pages.select("url"), max_depth=3, max_pages=5)
-    texts = pages.select(F.col("url").alias("_u"), F.concat(F.lit("text of "), F.col("page_id").cast("string")).alias("text"))
-    return cascade.joined_pages(found.join(texts, F.col("url") == F.col("_u")))
-
-
-EVENTS = "a as (select * from events where event_type = (select min(event_type) from events)), b as (select * from events where event_type = (select max(event_type) from events))"
-
-
-@query(f"with {EVENTS} select a.event_id, arg_min(b.event_id, (abs(epoch_us(b.ts) - epoch_us(a.ts)), b.ts, b.event_id)) as nearest_id from a join b on a.user_id = b.user_id group by 1")
-def asof_snapshot_nearest(spark, sf_dir):
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ends = events.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
-    wanted = events.join(F.broadcast(ends), F.col("event_type") == F.col("lo")).select("event_id", F.col("user_id").alias("key"), F.col("ts").alias("at"))
-    seen = events.join(F.broadcast(ends), F.col("event_type") == F.col("hi")).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
-    return adapters.nearest_snapshots(wanted, seen).where("nearest_id is not null").select("event_id", "nearest_id")
-
-
-#: Archived states of a user's page: one per event of the last type, asked for by dates of which some are none.
-ASKED = "case when event_id % 10 = 0 then '2024-13-01' when event_id % 10 = 1 then 'yesterday' else substr(cast(ts as string), 1, 10) end"
-
-
-@query(f"""with {EVENTS}, w as (select distinct 'u' || user_id as url, {ASKED.replace("as string", "as varchar")} as date, user_id from a),
-x as (select url, date, user_id, case when regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast(date as date) end as d from w),
-y as (select x.url, x.date, x.d, arg_min(b.event_id, (abs(epoch_us(b.ts) - epoch_us(d + interval 12 hour)), b.ts, b.event_id)) as id, arg_min(b.ts, (abs(epoch_us(b.ts) - epoch_us(d + interval 12 hour)), b.ts, b.event_id)) as ts from x left join b on b.user_id = x.user_id and d is not null group by all)
-select url, date, case when id is not null then 's' || lpad(id::varchar, 9, '0') end as snapshot_url, strftime(ts, '%Y-%m-%d') as snapshot_date,
- case when id is not null then '> **Archived snapshot** requested `' || date || '` → `' || strftime(ts, '%Y-%m-%d') || '` ([Wayback URL](s' || lpad(id::varchar, 9, '0') || '))' || chr(10) || chr(10) || 'state ' || id end as text, case when d is null then 'Config' when id is null then 'NoContent' end as error from y""")
-def asof_pages(spark, sf_dir):
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("url", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    ends = events.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
-    wanted = events.join(F.broadcast(ends), F.col("event_type") == F.col("lo")).select("url", F.expr(ASKED).alias("date")).distinct()
-    seen = events.join(F.broadcast(ends), F.col("event_type") == F.col("hi"))
-    seen = seen.select("url", "ts", F.concat(F.lit("s"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("snapshot_url"), F.concat(F.lit("state "), F.col("event_id").cast("string")).alias("text"))
-    return cascade.as_of(wanted, seen)
-
-
-#: Bodies stored an hour or a week before they are asked for, or never.
-STORED = "case when page_id % 3 = 0 then 3600 when page_id % 3 = 1 then 604800 end"
-
-
-@query(f"select page_id, coalesce({STORED} <= 86400, false) as cache_hit, case when {STORED} <= 86400 then 'body ' || page_id end as body from pages")
-def cache_fresh_bodies(spark, sf_dir):
-    at = F.timestamp_seconds(F.lit(1_700_000_000))
-    rows = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://e.com/p"), F.col("page_id").cast("string"), F.lit("/?ref=x#f")).alias("url"))
-    clean = F.concat(F.lit("https://e.com/p"), F.col("page_id").cast("string"))
-    stored = rows.select(urls.cache_key(clean).alias("key"), F.concat(F.lit("body "), F.col("page_id").cast("string")).alias("body"), F.timestamp_seconds(F.lit(1_700_000_000) - F.expr(STORED)).alias("stored_at")).where("stored_at is not null")
-    older = stored.withColumn("body", F.lit("old")).withColumn("stored_at", F.timestamp_seconds(F.lit(1_000_000_000)))
-    return cascade.with_cached(rows.withColumn("at", at), stored.unionByName(older), 86400).select("page_id", "cache_hit", "body")
-
-
-@query("""with x as (select page_id, page_id % 6 as k, 'https://d' || page_id || '.x/guide' as u from pages)
-select page_id, case k when 0 then 'markdown' when 1 then 'markdown' when 2 then 'llms' when 5 then null else 'crawl' end as source,
- '# --- [Source: ' || u || '] ---' || chr(10) || chr(10) || case k when 0 then 'twin' when 1 then 'folder' when 2 then 'index' when 3 then 'short' when 4 then repeat('long ', 40) end as text,
- case when k = 4 then 2 when k < 5 then 1 end as n_pages, k = 3 as sparse from x""")
-def page_cascade(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 6).alias("k"), F.concat(F.lit("https://d"), F.col("page_id").cast("string"), F.lit(".x/guide")).alias("url"))
-    origin = F.substring_index("url", "/guide", 1)
-    body = lambda at, text, kind="text/plain", status=200: F.struct(F.concat(*at).alias("url"), F.lit(status).alias("status"), F.lit(kind).alias("content_type"), F.lit(text).alias("body"))
-    twin, folder, index = [F.col("url"), F.lit(".md")], [origin, F.lit("/index.html.md")], [origin, F.lit("/.well-known/llms.txt")]
-    served = F.when(F.col("k") == 0, F.array(body(twin, "twin"), body(folder, "folder"))).when(F.col("k") == 1, F.array(body(twin, "masked", "text/html"), body(folder, "folder", "text/markdown"), body(index, "index")))
-    served = served.when(F.col("k") == 2, F.array(body(twin, "gone", status=404), body(folder, "  "), body(index, "index"))).otherwise(F.array(body(twin, "gone", status=404)))
-    crawled = rows.where("k in (0, 3, 4)").select("url", F.when(F.col("k") == 4, F.repeat(F.lit("long "), 40)).otherwise("short").alias("text"), F.when(F.col("k") == 4, 2).otherwise(1).alias("n_pages"))
-    found = cascade.generic_text(rows, rows.select(F.inline(served)), crawled)
-    return found.join(rows.select("page_id", F.col("url").alias("_u")), F.col("url") == F.col("_u")).select("page_id", "source", "text", "n_pages", "sparse")
-
-
-@query("""with x as (select page_id, page_id % 4 as k, 'https://d' || page_id || '.x/a.html' as u from pages)
-select page_id, case when k in (0, 1) then 'cloud' when k = 2 then 'crawl' end as source, case when k in (0, 1) then '<!-- Processed via Jina.ai Cloud Proxy -->' || chr(10) || chr(10) else '' end || '# --- [Source: ' || u || '] ---' || chr(10) || chr(10) || case when k in (0, 1) then 'read for ' || page_id when k = 2 then 'crawled' end as text from x""")
-def page_cascade_cloud(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).alias("k"), F.concat(F.lit("https://d"), F.col("page_id").cast("string"), F.lit(".x/a.html")).alias("url"))
-    status = F.when(F.col("k") == 2, 503).otherwise(200)
-    bodies = rows.where("k < 3").select(F.concat(F.lit(V.CLOUD_READER), "url").alias("url"), status.alias("status"), F.lit("text/markdown").alias("content_type"), F.concat(F.lit("read for "), F.col("page_id").cast("string")).alias("body"))
-    crawled = rows.where("k in (1, 2)").select("url", F.lit("crawled").alias("text"), F.lit(1).alias("n_pages"))
-    found = cascade.generic_text(rows, bodies, crawled, allow_cloud=True)
-    return found.join(rows.select("page_id", F.col("url").alias("_u")), F.col("url") == F.col("_u")).select("page_id", "source", "text")
-
-
-LINE = "case page_id % 6 when 0 then concat('  ', url, ' ') when 1 then concat('h', page_id, '.x/p') when 2 then '   ' when 3 then concat('bad host/', page_id) when 4 then 'https://' else url end"
-BATCH = f"with l as (select page_id as place, {LINE} as line from pages), t as (select place, trim(line) as t from l), u as (select place, case when regexp_matches(t, '^https?://') then t else 'https://' || t end as url from t where t <> ''), v as (select * from u where regexp_matches(url, '^https?://[^/?# ]+([/?#]|$)') order by place limit 40)\n"
-
-
-@query(BATCH + "select place, url from v")
-def batch_normalize(spark, sf_dir):
-    return cascade.batch_urls(read(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.expr(LINE).alias("line")), 40)
-
-
-@query(BATCH + "select count(*) filter (place % 4 <> 0) as n_ok, string_agg('page ' || place, chr(10) || chr(10) order by place) filter (place % 4 <> 0) as merged, null::varchar as error from v")
-def batch_merge(spark, sf_dir):
-    wanted = cascade.batch_urls(read(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.expr(LINE).alias("line")), 40)
-    text = F.when(F.col("place") % 8 == 0, "  \n").when(F.col("place") % 4 != 0, F.concat(F.lit("page "), F.col("place").cast("string")))
-    return cascade.batch_merge(wanted.select("place", text.alias("text")))
-
-
-@query(ROUTED + """, k as (select *, case when page_id % 10 = 3 then 'Blocked' when page_id % 10 = 7 then 'NoContent' end as error from r), x as (select *, case when error is null then 'Found the words of ' || input end as text from k)
-select cast(1700000000 + page_id as varchar) as timestamp, coalesce(platform, 'search') as source_type, strlen(coalesce(text, '')) as bytes, length(coalesce(text, '')) as output_chars, 'standard' as mode, page_id % 2 = 0 as cache_hit,
- case when text is null then '' else 'words' || case when contains(lower(text), 'join') then ',join' else '' end end as keywords, error is null as success, case error when 'Blocked' then 3 when 'NoContent' then 4 else 0 end as exit_code, error from x""")
-def session_log_rows(spark, sf_dir):
-    failed = F.when(F.col("page_id") % 10 == 3, "Blocked").when(F.col("page_id") % 10 == 7, "NoContent")
-    done = _inputs(spark, sf_dir).select("input", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("at"), F.when(failed.isNull(), F.concat(F.lit("Found the words of "), F.col("input"))).alias("text"), F.lit(7).alias("tokens"), (F.col("page_id") % 2 == 0).alias("cache_hit"), failed.alias("error"))
-    rows = cascade.session_entries(done, find.parse_terms("WORDS, join, absent"), 2)
-    return rows.select("timestamp", "source_type", "bytes", "output_chars", "mode", "cache_hit", F.array_join("keywords_found", ",").alias("keywords"), "success", "exit_code", "error")
-
-
-# Questions and their caches ----------------------------------------------------------------------------------------
-def _asked_line() -> Column:
-    """A question under one of the names that its fields may have, as JSON."""
-    kind = F.col("item_id") % 3
-    plain = F.to_json(F.struct(F.concat(F.lit(" "), F.col("q")).alias("question"), F.col("u").alias("source_url"), F.col("a").alias("answer")))
-    other = F.to_json(F.struct(F.lit("  ").alias("question"), F.col("q").alias("query"), F.col("u").alias("url"), F.col("a").alias("reference_answer")))
-    return F.when(kind == 0, plain).when(kind == 1, other).otherwise(F.to_json(F.struct(F.col("q").alias("prompt"), F.col("u").alias("sourceUrl"), F.lit(1).alias("extra"))))
-
-
-QUESTIONS = "select item_id, trim(substr(text, 1, 60)) as question, 'https://e.com/' || item_id as source_url, case when item_id % 3 = 2 then '' else 'answer ' || item_id end as answer from benchmark"
-
-
-def _questions(spark, sf_dir) -> DataFrame:
-    rows = read(spark, sf_dir, "benchmark").select("item_id", F.trim(F.substring("text", 1, 60)).alias("q"), F.concat(F.lit("https://e.com/"), F.col("item_id").cast("string")).alias("u"), F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("a"))
-    return rows.select("item_id", _asked_line().alias("line"))
-
-
-@query(f"select question, source_url, answer from ({QUESTIONS})")
-def ref_alias_resolve(spark, sf_dir):
-    return adapters.reference_question(_questions(spark, sf_dir).select(F.from_json("line", adapters.REF).alias("r")).select("r.*"))
-
-
-@query(f"select question, source_url, answer from ({QUESTIONS})")
-def ref_question_files(spark, sf_dir):
-    path = f"{scratch(spark)}/questions.jsonl"
-    _questions(spark, sf_dir).select("line").write.text(path)
-    return evals.load_questions(spark, path)
-
-
-@query("select item_id, trim(text) as question, 'https://e.com/' || item_id as source_url from benchmark where item_id % 2 = 0 union all select item_id, text, null from benchmark where item_id % 2 = 1")
-def ref_split_urls(spark, sf_dir):
-    text = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(evals.REFERENCE_MARK + "https://e.com/"), F.col("item_id").cast("string"), F.lit(" "))).otherwise(F.col("text"))
-    question, url = evals.split_reference(text)
-    return read(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), url.alias("source_url"))
-
-
-@query(ENGINES + """select substr(query, 1, 40) as query, 'general_technical' as intent, array_to_string(list_sort(list(url) filter (rank < 2)), ' ') as gold_urls, count(*) filter (rank < 3) as n_results, 0::bigint as n_negative from q join e using (query_id) where engine = 'e1' group by query_id, query""")
-def bench_files(spark, sf_dir):
-    rows = engines(spark, sf_dir).where("engine = 'e1'").join(query_texts(spark, sf_dir), "query_id")
-    results = F.sort_array(F.collect_list(F.when(F.col("rank") < 3, F.struct("rank", "url", "title", "snippet"))))
-    made = rows.groupBy("query_id", "query").agg(F.sort_array(F.collect_list(F.when(F.col("rank") < 2, F.col("url")))).alias("gold_urls"), F.transform(results, lambda r: F.struct(r["url"].alias("url"), r["title"].alias("title"), r["snippet"].alias("snippet"))).alias("baseline_results"))
-    path = f"{scratch(spark)}/bench.jsonl"
-    made.select(F.substring("query", 1, 40).alias("query"), F.lit("general_technical").alias("intent"), "gold_urls", F.slice("gold_urls", 1, 1).alias("gold_priority"), "baseline_results").write.json(path)
-    found = evals.load_benchmark(spark, path)
-    return found.select("query", "intent", F.array_join("gold_urls", " ").alias("gold_urls"), F.size("baseline_results").cast("bigint").alias("n_results"), F.size("negative_urls").cast("bigint").alias("n_negative"))
-
-
-#: Engines of a question: all fail for 0 of 4, one fails for 1, none has anything for 2.
-ROLLED = f"with q as ({QUESTIONS}), n as (select *, item_id % 4 as k from q)\n"
-
-
-def _rolled(spark, sf_dir) -> DataFrame:
-    rows = adapters.reference_question(_questions(spark, sf_dir).select("item_id", F.from_json("line", adapters.REF).alias("r")).select("item_id", "r.*"))
-    named = read(spark, sf_dir, "benchmark").select("item_id", F.trim(F.substring("text", 1, 60)).alias("question"))
-    engine = F.explode(F.array(*[F.lit(e) for e in evals.ENGINES])).alias("engine")
-    k = F.col("item_id") % 4
-    failed = (k == 0) | ((k == 1) & (F.col("engine") == "ddg_lite"))
-    result = F.array(F.struct(F.concat(F.lit("https://e.com/"), F.col("item_id").cast("string")).alias("url"), F.col("engine").alias("title"), F.lit(None).cast("string").alias("snippet")))
-    answered = named.select("item_id", "question", engine).select("question", "engine", failed.alias("failed"), F.when(k.isin(1, 3), result).otherwise(F.array().cast(evals.RECORD)).alias("results"))
-    return evals.roll_up(rows, answered, F.lit(1_700_000_000))
-
-
-@query(ROLLED + "select question, source_url, case k when 0 then 3 when 2 then 4 else 0 end as exit_code, case k when 1 then 2 when 3 then 3 else 0 end as n_results, '1700000000' as cached_at from n")
-def cache_roll_up(spark, sf_dir):
-    found = F.aggregate(F.map_values("engine_results"), F.lit(0), lambda a, x: a + F.size(x))
-    return _rolled(spark, sf_dir).select("question", "source_url", "exit_code", found.alias("n_results"), "cached_at")
-
-
-@query(ROLLED + "select sha256(question) as query_id, e as engine, 0::bigint as rank, source_url as url, e as title from n, (select unnest(['searxng', 'ddg_lite', 'marginalia']) as e) where k = 3 or (k = 1 and e <> 'ddg_lite')")
-def cache_files(spark, sf_dir):
-    folder = f"{scratch(spark)}/cache"
-    evals.write_cache(_rolled(spark, sf_dir), folder)
-    return evals.engine_lists(evals.load_cache(spark, folder)).select("query_id", "engine", "rank", "url", "title")
-
-
-@query(ROLLED + "select question from n where item_id % 5 <> 1")
-def cache_due_questions(spark, sf_dir):
-    named = read(spark, sf_dir, "benchmark").select("item_id", F.trim(F.substring("text", 1, 60)).alias("question"))
-    stored = named.where("item_id % 5 in (1, 2)").select("question", F.when(F.col("item_id") % 5 == 1, "1700000000").otherwise("1600000000").alias("cached_at"))
-    return evals.due_questions(named, stored, F.lit(1_700_000_100), 86400).select("question")
-
-
-# Payloads, made of the tables and parsed again ----------------------------------------------------------------------
-@query(ENGINES + "select query_id, engine, engine_ord, rank, url, title, snippet from e where rank < 4")
-def parse_engines(spark, sf_dir):
-    lists = engines(spark, sf_dir)
-    found = None
-    for ord_, (name, field) in enumerate((("e1", "content"), ("e2", "description"), ("e3", "content"))):
-        rows = lists.where(F.col("engine") == name).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "url", "title", F.col("snippet").alias(field), F.lit(0.5).alias("quality")))).alias("results"))
-        one = adapters.engine_results(rows.select("query_id", F.to_json(F.struct("results")).alias("raw")), "raw", name, ord_, field, 4)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-#: Titles without what HTML would read.
-SAFE = "trim(regexp_replace(title, '[^A-Za-z ]', '', 'g'))"
-
-
-@query(ENGINES + f"""select query_id, 'lite' as engine, rank - skipped as rank, url, t as title from (select query_id, rank, url, t, count(*) filter (t = '') over (partition by query_id order by rank) as skipped from (select query_id, rank, url, {SAFE} as t from e where engine = 'e1')) where t <> '' and rank - skipped < 6""")
-def parse_result_pages(spark, sf_dir):
-    lists = engines(spark, sf_dir).where("engine = 'e1'")
-    title = F.trim(F.regexp_replace("title", "[^A-Za-z ]", ""))
-    href = F.when(F.col("rank") % 2 == 0, F.concat(F.lit("/l/?uddg="), F.url_encode("url"), F.lit("&amp;rut=abc"))).otherwise(F.col("url"))
-    anchor = F.concat(F.lit('<tr><td><a rel="nofollow" class="big result__a" href="'), href, F.lit('">'), title, F.lit('</a><a class="result__a" href="'), href, F.lit('">again</a></td></tr>'))
-    rows = lists.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", anchor.alias("a")))).alias("xs"))
-    raw = F.concat(F.lit('<html><a href="/settings">s</a><table>'), F.array_join(F.transform("xs", lambda x: x["a"]), "\n"), F.lit("</table>"))
-    pages = rows.select("query_id", raw.alias("raw"))
-    return html.search_results(pages, "raw", "lite", 0, 6).where("title <> 'again'").select("query_id", "engine", "rank", "url", "title")
-
-
-SUMMARY = "substr(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), 1, 80)"
-
-
-def _summary() -> Column:
-    return F.substring(F.regexp_replace("text", r"[\r\n]+", " "), 1, 80)
-
-
-@query(f"select doc_id, '# T' || doc_id || chr(10) || chr(10) || case when doc_id % 3 = 0 then '' else '_' || source || '_' || chr(10) || chr(10) end as brief, '# T' || doc_id || chr(10) || chr(10) || case when doc_id % 3 = 0 then '' else '_' || source || '_' || chr(10) || chr(10) end || {SUMMARY} as made from documents")
-def parse_wiki(spark, sf_dir):
-    payload = F.to_json(F.struct(F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("description"), _summary().alias("extract"), F.lit(1).alias("pageid")))
-    return read(spark, sf_dir, "documents").select("doc_id", payload.alias("p")).select("doc_id", adapters.wikipedia(F.col("p"), 1).alias("brief"), adapters.wikipedia(F.col("p")).alias("made"))
-
-
-#: Conversations as issues: the first turn is the issue, the others are comments.
-ISSUES = f"""with c as (select conv_id, turn, role, case when turn % 4 = 3 then null else {SUMMARY} end as body, row_number() over (partition by conv_id order by turn) as n from conversations),
-i as (select c.conv_id, c.role, c.body, coalesce(list_filter(['bug', case when c.conv_id % 2 = 0 then 'help' end], lambda x: x is not null), []) as labels from c where n = 1)
-"""
-ISSUE_HEAD = "'# [#' || i.conv_id || '] T' || i.conv_id || chr(10) || '**Labels**: ' || array_to_string(i.labels, ', ') || chr(10) || '**Author**: ' || i.role || chr(10) || chr(10) || coalesce(i.body, '')"
-
-
-@query(ISSUES + f"""select i.conv_id, '- [#' || i.conv_id || '] T' || i.conv_id || ' [Labels: ' || array_to_string(i.labels, ', ') || ']' || chr(10) as line, {ISSUE_HEAD} as head,
- {ISSUE_HEAD} || chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || coalesce((select string_agg('### ' || c.role || chr(10) || coalesce(c.body, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' order by c.n) from c where c.conv_id = i.conv_id and c.n > 1), '') as whole from i""")
-def parse_github_issue(spark, sf_dir):
-    from pyspark.sql import Window
-
-    body = F.when(F.col("turn") % 4 != 3, _summary())
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "role", body.alias("body"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"))
-    names = F.filter(F.array(F.lit("bug"), F.when(F.col("conv_id") % 2 == 0, "help")), lambda x: x.isNotNull())
-    labels = F.transform(names, lambda x: F.struct(x.alias("name")))
-    payload = F.to_json(F.struct(F.col("conv_id").alias("number"), F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("title"), "body", labels.alias("labels"), F.struct(F.col("role").alias("login")).alias("user")))
-    issues = turns.where("place = 1").select(F.col("conv_id").alias("key"), adapters.issue(payload).alias("i"))
-    comments = turns.where("place > 1").select(F.col("conv_id").alias("key"), "place", F.col("role").alias("login"), "body")
-    made = lambda d: platforms.issue(F.col("i.number"), F.col("i.title"), F.col("i.labels"), F.col("i.author"), F.col("i.body"), F.col("comments"), d)
-    return adapters.with_comments(issues, comments).select(F.col("key").alias("conv_id"), *[made(d).alias(n) for d, n in ((1, "line"), (2, "head"), (3, "whole"))])
-
-
-@query("""with d as (select *, row_number() over (partition by source order by doc_id) as n from documents)
-select source, '# Issues for o/' || source || chr(10) || chr(10) || string_agg('- [#' || doc_id || '] T' || doc_id || ' (https://github.com/o/' || source || '/issues/' || doc_id || ') [Labels: ' || lang || ', x]' || chr(10), '' order by n) filter (n <= 20) as made from d group by 1""")
-def fmt_issues(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("n") <= platforms.ISSUES)
-    number = F.col("doc_id").cast("string")
-    one = F.struct("n", F.col("doc_id").alias("number"), F.concat(F.lit("T"), number).alias("title"), F.concat(F.lit("https://github.com/o/"), F.col("source"), F.lit("/issues/"), number).alias("html_url"), F.array(F.col("lang"), F.lit("x")).alias("labels"))
-    return rows.groupBy("source").agg(F.sort_array(F.collect_list(one)).alias("rows")).select("source", platforms.issues(F.lit("o"), F.col("source"), F.col("rows")).alias("made"))
-
-
-@query("""select page_id, case when page_id % 4 = 0 or page_id % 5 = 0 then null else url end as snapshot, case when page_id % 4 = 0 or page_id % 5 = 0 then null else '2020-0' || (1 + page_id % 9) || '-11' end as day, case when page_id % 3 = 0 then null else '20240229120000' end as asked from pages""")
-def parse_wayback(spark, sf_dir):
-    closest = F.struct((F.col("page_id") % 4 != 0).alias("available"), F.when(F.col("page_id") % 5 == 0, "404").otherwise("200").alias("status"), "url", F.concat(F.lit("20200"), (1 + F.col("page_id") % 9).cast("string"), F.lit("11235959")).alias("timestamp"))
-    payload = F.to_json(F.struct(F.struct(closest.alias("closest")).alias("archived_snapshots")))
-    found = adapters.wayback(F.col("p"))
-    date = F.when(F.col("page_id") % 3 == 0, "2023-02-29").otherwise("2024-02-29")
-    return read(spark, sf_dir, "pages").select("page_id", payload.alias("p")).select("page_id", found["url"].alias("snapshot"), found["date"].alias("day"), adapters.wayback_timestamp(date).alias("asked"))
-
-
-@query(f"""with l as (select conv_id, turn, turn * 701 as s, trim({SUMMARY}) as t from conversations)
-select conv_id, coalesce(string_agg('**[' || case when s >= 3600 then lpad((s // 3600)::varchar, 2, '0') || ':' else '' end || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') || ']** ' || t, chr(10) order by turn) filter (t <> ''), '') as lines from l group by 1""")
-def parse_captions(spark, sf_dir):
-    escaped = F.replace(F.replace(F.replace(F.replace(F.replace(_summary(), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#39;"))
-    one = F.concat(F.lit('<text start="'), (F.col("turn") * 701).cast("string"), F.when(F.col("turn") % 2 == 0, ".25").otherwise(""), F.lit('" dur="1.5"> '), escaped, F.lit("</text>"))
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", one.alias("x")))).alias("xs"))
-    return rows.select("conv_id", adapters.captions(F.concat(F.lit("<transcript>"), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</transcript>"))).alias("lines"))
-
-
-@query("select page_id, case when page_id % 3 = 0 then null else 'https://v.x/api?v=' || page_id || '&lang=en' end as track, 'T' || page_id as title, 'A' || page_id as channel from pages")
-def parse_video(spark, sf_dir):
-    number = F.col("page_id").cast("string")
-    watch = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit('x"captionTracks":[{"baseUrl":"https://v.x/api?v='), number, F.lit('\\u0026lang=en","name":"e"},{"baseUrl":"other"}]'))).otherwise('"baseUrl":"no"')
-    card = adapters.oembed(F.to_json(F.struct(F.concat(F.lit("T"), number).alias("title"), F.concat(F.lit("A"), number).alias("author_name"), F.lit("u").alias("author_url"))))
-    return read(spark, sf_dir, "pages").select("page_id", adapters.caption_url(watch).alias("track"), card["title"].alias("title"), card["author_name"].alias("channel"))
-
-
-CELL = r"trim(regexp_replace(replace({0}, '|', '\|'), '\s+', ' ', 'g'))"
-
-
-@query(f"""with c as (select conv_id, turn, {CELL.format("substr(role || '|' || text, 1, 40)")} as t, role from conversations)
-select conv_id, case when conv_id % 10 = 0 then '| result |' || chr(10) || '| --- |' || chr(10) || '| No columns returned |' else '| turn | said | who |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
- case when conv_id % 10 = 1 then '| No rows returned |  |  |' || chr(10) else string_agg('| ' || turn || ' | ' || t || ' | ' || case when turn % 2 = 0 then role else '' end || ' |', chr(10) order by turn) end end as made from c group by 1""")
-def parse_sparql_table(spark, sf_dir):
-    value = lambda c: F.struct(c.alias("value"))
-    cells = F.map_from_entries(F.filter(F.array(F.struct(F.lit("turn"), value(F.col("turn").cast("string"))), F.struct(F.lit("said"), value(F.substring(F.concat("role", F.lit("|"), "text"), 1, 40))), F.struct(F.when(F.col("turn") % 2 == 0, "who").otherwise("other"), value(F.col("role")))), lambda x: x.isNotNull()))
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.to_json(cells).alias("j")))).alias("xs"))
-    body = F.when(F.col("conv_id") % 10 == 1, "").otherwise(F.array_join(F.transform("xs", lambda x: x["j"]), ","))
-    names = F.when(F.col("conv_id") % 10 == 0, "").otherwise('"turn","said","who"')
-    return rows.select("conv_id", adapters.sparql_table(F.concat(F.lit('{"head":{"vars":['), names, F.lit(']},"results":{"bindings":['), body, F.lit("]}}"))).alias("made"))
-
-
-PLAINER = "trim(regexp_replace(regexp_replace(substr({0}, 1, 70), '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))"
-
-
-def _plainer() -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 70), "[^A-Za-z ]", " "), " +", " "))
-
-
-REPLIES = f"with a as (select conv_id, turn, {PLAINER.format('text')} as t, length(text) % 11 - 3 as score, turn % 5 = 2 as ok from conversations), o as (select *, row_number() over (partition by conv_id order by not ok, -score, turn) as n from a)\n"
-REPLY = "case when ok then '### ✅ Accepted Answer [Score: ' else '### [Score: ' end || score || ']' || chr(10) || chr(10) || '**' || t || '** [x](/u) `c`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)"
-
-
-@query(REPLIES + f"select conv_id, {', '.join(f"""'# Q' || conv_id || chr(10) || chr(10) || '## Answers' || chr(10) || chr(10) || coalesce(string_agg({REPLY}, '' order by n) filter (n <= {k} and conv_id % 7 <> 0), '') as {name}""" for k, name in ((1, 'best'), (3, 'some'), (10**9, 'every')))} from o group by conv_id")
-def parse_so_sorted(spark, sf_dir):
-    body = F.concat(F.lit("<p><strong>"), _plainer(), F.lit('</strong> <a href="/u" rel="n">x</a> <code>c</code></p>\n'))
-    one = F.struct("turn", body.alias("body"), (F.length("text") % 11 - 3).alias("score"), (F.col("turn") % 5 == 2).alias("is_accepted"))
-    rows = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.sort_array(F.collect_list(one)).alias("items"))
-    replies = rows.where("key % 7 <> 0").select("key", F.to_json(F.struct("items")).alias("payload"))
-    questions = rows.select("key", F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Q"), F.col("key").cast("string")).alias("title"))).alias("items"))).alias("payload"))
-    found = adapters.with_answers(questions, replies)
-    return found.select(F.col("key").alias("conv_id"), *[platforms.answers(F.col("title"), F.col("answers"), d).alias(n) for d, n in ((1, "best"), (2, "some"), (3, "every"))])
-
-
-RULED = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
-THREAD = f"with c as (select conv_id, turn, {PLAINER.format('text')} as t, length(text) % 5 - 1 as score, turn % 6 <> 5 as own from conversations), k as (select *, row_number() over (partition by conv_id order by turn) as n from c where t <> '' and ({{0}}))\n"
-
-
-def _comments(some: str, every: str) -> str:
-    said = lambda cut, name: f"'# T' || c.conv_id || any_value({some}) || coalesce(chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || string_agg(k.t, {RULED} order by k.n) filter (k.n <= {cut}), '') as {name}"
-    return f"select c.conv_id, '- [T' || c.conv_id || ']' as title, {said(every, 'some')}, {said(10**9, 'whole')} from (select distinct conv_id from c) c left join k using (conv_id) group by c.conv_id"
-
-
-@query(THREAD.format("score > 0 and own") + _comments("chr(10) || chr(10) || case when c.conv_id % 2 = 0 then 'self' else '' end", "2"))
-def parse_reddit(spark, sf_dir):
-    one = F.struct("turn", F.when(F.col("turn") % 6 != 5, "t1").otherwise("more").alias("kind"), F.struct(F.concat(F.lit(" "), _plainer()).alias("body"), (F.length("text") % 5 - 1).alias("score")).alias("data"))
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("xs"))
-    post = F.struct(F.lit("t3").alias("kind"), F.struct(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("title"), F.when(F.col("conv_id") % 2 == 0, "self").otherwise("").alias("selftext")).alias("data"))
-    listing = lambda x: F.to_json(F.struct(F.struct(x.alias("children")).alias("data")))
-    payload = F.concat(F.lit("["), listing(F.array(post)), F.lit(","), listing(F.transform("xs", lambda x: F.struct(x["kind"].alias("kind"), x["data"].alias("data")))), F.lit("]"))
-    r = adapters.reddit(F.col("p"))
-    return rows.select("conv_id", payload.alias("p")).select("conv_id", *[platforms.reddit(r["title"], r["selftext"], r["comments"], d).alias(n) for d, n in ((1, "title"), (2, "some"), (3, "whole"))])
-
-
-@query(THREAD.format("own") + _comments("case when c.conv_id % 2 = 0 then chr(10) || chr(10) || 'a b' else '' end", "5"))
-def parse_hn(spark, sf_dir):
-    one = F.struct("turn", F.when(F.col("turn") % 6 != 5, F.concat(F.lit("<p>"), _plainer(), F.lit("</p>"))).alias("text"))
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("children"))
-    payload = F.to_json(F.struct(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("title"), F.when(F.col("conv_id") % 2 == 0, "<p>a</p><i>b</i>").otherwise("<p> </p>").alias("text"), "children"))
-    h = adapters.hacker_news(F.col("p"))
-    return rows.select("conv_id", payload.alias("p")).select("conv_id", *[platforms.hacker_news(h["title"], h["text"], h["comments"], d).alias(n) for d, n in ((1, "title"), (2, "some"), (3, "whole"))])
-
-
-@query(_worded_sql(6) + """, x as (select *, case when doc_id % 5 = 0 then 'Unknown' when doc_id % 5 = 4 then w0 || ' et al.' else array_to_string(list_slice([w0, w1, w2], 1, doc_id % 5), ', ') end as names from t)
-select doc_id, '- [' || w3 || ' ' || w4 || '](http://a/' || doc_id || ')' as line, '# ' || w3 || ' ' || w4 || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || w5 as brief,
- '# ' || w3 || ' ' || w4 || chr(10) || chr(10) || '**Authors:** ' || names || chr(10) || '**Published:** 2020-02-03' || chr(10) || '**ArXiv:** http://a/' || doc_id || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || w5 as whole from x""")
-def parse_arxiv(spark, sf_dir):
-    names = F.slice(F.array("w0", "w1", "w2", "w3"), 1, (F.col("doc_id") % 5).cast("int"))
-    people = F.array_join(F.transform(names, lambda x: F.concat(F.lit("<author><name>"), x, F.lit("</name></author>"))), "")
-    atom = F.concat(F.lit("<feed><title>ArXiv Query</title><id>f</id><entry><id>http://a/"), F.col("doc_id").cast("string"), F.lit("</id><published>2020-02-03T00:00:00Z</published><title> "), F.col("w3"), F.lit("\n"), F.col("w4"), F.lit("</title><summary> "), F.col("w5"), F.lit("\n</summary>"), people, F.lit("</entry></feed>"))
-    a = adapters.arxiv(F.col("p"))
-    rows = _worded(spark, sf_dir, 6).select("doc_id", atom.alias("p"))
-    return rows.select("doc_id", *[platforms.paper(a["title"], a["authors"], a["published"], a["abstract"], a["id"], d).alias(n) for d, n in ((1, "line"), (2, "brief"), (3, "whole"))])
-
-
-VIDEO = "'# T' || doc_id || chr(10) || chr(10) || '**Channel:** [' || source || '](https://c/' || source || ')' || chr(10)"
-
-
-@query(f"""with x as (select doc_id, source, case when doc_id % 6 = 0 then '' else regexp_replace(text, '[^A-Za-z ]', '', 'g') end as t from documents)
-select doc_id, {VIDEO} as card, {VIDEO} || case when t = '' then '' else chr(10) || '## Transcript Snippet' || chr(10) || chr(10) || substr(t, 1, 500) || case when strlen(t) > 500 then '... (truncated)' else '' end end as some,
- {VIDEO} || case when t = '' then '' else chr(10) || '## Transcript' || chr(10) || chr(10) || t end as whole from x""")
-def fmt_youtube(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.regexp_replace("text", "[^A-Za-z ]", ""))
-    made = lambda d: platforms.video(F.concat(F.lit("T"), F.col("doc_id").cast("string")), F.col("source"), F.concat(F.lit("https://c/"), F.col("source")), said, d)
-    return read(spark, sf_dir, "documents").select("doc_id", *[made(d).alias(n) for d, n in ((1, "card"), (2, "some"), (3, "whole"))])
-
-
-@query(_worded_sql(6) + """select doc_id, '# ' || w0 || chr(10) || '### ' || w3 as heads, '# ' || w0 || chr(10) || '```' || chr(10) || w2 || chr(10) || '```' || chr(10) || '### ' || w3 || chr(10) || '#' || w4 || chr(10) as code,
- '# ' || w0 || chr(10) || w1 || chr(10) || '```' || chr(10) || w2 || chr(10) || '```' || chr(10) || '### ' || w3 || chr(10) || '#' || w4 || chr(10) || w5 as whole from t""")
-def fmt_readme(spark, sf_dir):
-    text = _page("# {w0}\n{w1}\n```\n{w2}\n```\n### {w3}\n#{w4}\n{w5}")
-    return _worded(spark, sf_dir, 6).select("doc_id", *[platforms.readme(text, d).alias(n) for d, n in ((1, "heads"), (2, "code"), (3, "whole"))])
-
-
-DATE = "concat(1995 + event_id % 40, '-', case when event_id % 14 < 10 then '0' else '' end, event_id % 14, '-', case when event_id % 33 < 10 and event_id % 7 > 0 then '0' else '' end, event_id % 33)"
-
-
-@query(f"with d as (select event_id, {DATE} as date from events) select event_id, date, coalesce(regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(date as date) is not null, false) as valid from d")
-def date_validate(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.expr(DATE).alias("date")).withColumn("valid", adapters.valid_date(F.col("date")))
+from . import crawl_queries, eval_queries, find_queries, format_queries, page_queries, payload_queries, question_queries, ranked_queries, text_queries, url_queries  # noqa: F401  (each registers its queries)
+from .base import QUERIES, SQL
+from .page_queries import page_extract_markdown  # noqa: F401
 
 
 def queries() -> dict:
