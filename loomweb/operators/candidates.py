@@ -46,32 +46,49 @@ def candidate_family(family: Column, hints: Column, s: dict[str, Column], price:
     return F.when(family != "generic", family).otherwise(own)
 
 
-def scored_candidates(parts: DataFrame, tables: bool = False, compat: bool = True) -> DataFrame:
-    """Each candidate of page_parts() with words, the page's family, its own and its score."""
+def _scored(parts: DataFrame, tables: bool, compat: bool) -> DataFrame:
+    """parts with the page's family and an array scored of its candidates that have words: score, place, tag, family, words, text.
+
+    Candidates are scored inside their page's row, so no row moves.  Each step's fields are made once and read by the next one."""
+    counters = ["words", "headings", "code_fences", "list_items", "short_lines", "links", "paragraphs", "bytes"]
+
+    def counted(c: Column) -> Column:
+        s = T.stats(c["text"])
+        return F.struct(c["ord"].alias("ord"), c["depth"].alias("depth"), c["tag"].alias("tag"), c["hints"].alias("hints"), c["text"].alias("text"), T.price_lines(c["text"]).alias("price"), T.spec_lines(c["text"]).alias("spec"), *[s[n].alias(n) for n in counters])
+
+    def named(c: Column) -> Column:
+        own = candidate_family(F.col("family"), c["hints"], {n: c[n] for n in counters}, c["price"], c["spec"])
+        return F.struct(c.alias("c"), own.alias("family"))
+
+    def judged(x: Column) -> Column:
+        c = x["c"]
+        s = {n: c[n] for n in counters}
+        extra = T.family_adjustment(s, c["price"], c["spec"])
+        points = reduce(lambda other, f: F.when(x["family"] == f, extra[f]).otherwise(other), extra, F.lit(0))
+        score = (base_score(s, c["tag"], c["depth"], c["hints"], tables) + points).cast("bigint")
+        return F.struct(score.alias("score"), (-c["ord"]).alias("place"), c["tag"].alias("tag"), x["family"].alias("family"), c["words"].alias("words"), c["text"].alias("text"))
+
     rows = parts.withColumn("family", page_family(F.col("url"), F.col("og_type"), F.col("item_type"), F.col("is_search"), compat))
-    rows = rows.select("page_id", "family", F.inline("candidates"))
-    s = T.stats(F.col("text"))
-    rows = rows.select("page_id", "family", "ord", "depth", "tag", "hints", "text", *[c.alias(f"s_{n}") for n, c in s.items()], T.price_lines(F.col("text")).alias("s_price"), T.spec_lines(F.col("text")).alias("s_spec"))
-    s = {n: F.col(f"s_{n}") for n in s}
-    rows = rows.withColumn("candidate_family", candidate_family(F.col("family"), F.col("hints"), s, F.col("s_price"), F.col("s_spec"))).where("s_words > 0")
-    extra = T.family_adjustment(s, F.col("s_price"), F.col("s_spec"))
-    points = reduce(lambda other, f: F.when(F.col("candidate_family") == f, extra[f]).otherwise(other), extra, F.lit(0))
-    score = (base_score(s, F.col("tag"), F.col("depth"), F.col("hints"), tables) + points).cast("bigint")
-    return rows.select("page_id", "ord", "tag", "text", "candidate_family", F.col("s_words").alias("words"), score.alias("score"))
+    told = F.filter(F.transform("candidates", counted), lambda c: c["words"] > 0)
+    return rows.withColumn("scored", F.transform(F.transform(told, named), judged))
+
+
+def scored_candidates(parts: DataFrame, tables: bool = False, compat: bool = True) -> DataFrame:
+    """Each candidate of page_parts() with its tag, own family, words and score."""
+    rows = _scored(parts, tables, compat).select("page_id", F.inline("scored"))
+    return rows.select("page_id", (-F.col("place")).alias("ord"), "tag", F.col("family").alias("candidate_family"), "words", "score", "text")
 
 
 def best_candidates(parts: DataFrame, tables: bool = False, compat: bool = True) -> DataFrame:
-    """(page_id, url, status, family, tag, score, text): a row for every page of page_parts(), with its text.
+    """page_parts() with family, tag, score and text of each page, a row for every page.
 
     The candidate with the highest score is chosen, the first of equals.  Forum pages with posts are laid out as threads.  Embedded state
     stands for texts of under 100 words that it is longer than.  tag and score are null, and text is empty, where a page has no candidate."""
-    best = F.max_by(F.struct("tag", "score", "text"), F.struct("score", (-F.col("ord")).alias("o")))
-    chosen = scored_candidates(parts, tables, compat).groupBy("page_id").agg(best.alias("b")).select(F.col("page_id").alias("_page"), "b.*")
-    family = page_family(F.col("url"), F.col("og_type"), F.col("item_type"), F.col("is_search"), compat)
-    rows = parts.select("page_id", "url", "status", family.alias("family"), "forum", "state").join(chosen, F.col("page_id").eqNullSafe(F.col("_page")), "left").drop("_page")
-    rows = rows.withColumn("text", F.when((F.col("family") == "forum") & (F.col("forum") != ""), F.col("forum")).otherwise(F.coalesce("text", F.lit(""))))
+    rows = _scored(parts, tables, compat).withColumn("best", F.array_max("scored"))
+    rows = rows.withColumn("text", F.when((F.col("family") == "forum") & (F.col("forum") != ""), F.col("forum")).otherwise(F.coalesce("best.text", F.lit(""))))
     words, found = T.word_count(F.col("text")), T.word_count(F.col("state"))
-    return rows.withColumn("text", F.when((words < 100) & (found > words), F.col("state")).otherwise(F.col("text"))).drop("forum", "state")
+    text = F.when((words < 100) & (found > words), F.col("state")).otherwise(F.col("text"))
+    return rows.select("page_id", "url", "status", "body_bytes", "family", "best.tag", "best.score", text.alias("text"))
 
 
 def quality_metrics(html_bytes: Column, body_bytes: Column, text: Column) -> dict[str, Column]:

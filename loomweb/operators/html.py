@@ -22,12 +22,14 @@ from pyspark.sql.types import BinaryType
 
 from ..functions import values as V
 
+# Elements without content, those whose children make one line, and classes of posts and scores in the order in which they are sought.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+INLINE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "em", "i", "strong", "b", "li", "th", "td", "span", "small", "time", "label", "summary", "details"}
+POSTS = ("post", "comment", "answer", "message")
+SCORES = ("score", "vote-count", "upvote-count")
 #: Elements whose text is not markup.
 RAW = {"script", "style"}
 MAX_DEPTH = 256
-#: Elements whose children make one line.
-INLINE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "em", "i", "strong", "b", "li", "th", "td", "span", "small", "time", "label", "summary", "details"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|</(?P<end>[A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)"
@@ -319,10 +321,6 @@ class Page:
             return ""
 
 
-POSTS = ("post", "comment", "answer", "message")
-SCORES = ("score", "vote-count", "upvote-count")
-
-
 def _classes(node: Node) -> list[str]:
     return node.attrs.get("class", "").split()
 

@@ -161,7 +161,6 @@ select doc_id, round(strlen(md) / strlen(h)::double, 3) as compression, round(st
 def page_quality_metrics(spark, sf_dir):
     made = _page("<body><main><a href=/a>{w0}</a> {w1}<pre>{w2}</pre></main>" + "pad " * 30 + "<nav>{w3}</nav></body>")
     pages = _worded(spark, sf_dir, 6).select(F.col("doc_id").alias("page_id"), F.lit("https://e.com/x").alias("url"), made.alias("html"))
-    parts = html.page_parts(pages)
-    best = candidates.best_candidates(parts).select(F.col("page_id").alias("_id"), F.regexp_replace("text", " " + "pad ?" * 30 + "$", "").alias("text"), "tag")
-    rows = pages.select("page_id", F.octet_length("html").alias("n")).join(parts.select(F.col("page_id").alias("_p"), "body_bytes"), F.col("page_id") == F.col("_p")).join(best, F.col("page_id") == F.col("_id"))
+    best = candidates.best_candidates(html.page_parts(pages)).withColumn("text", F.regexp_replace("text", " " + "pad ?" * 30 + "$", ""))
+    rows = best.join(pages.select(F.col("page_id").alias("_id"), F.octet_length("html").alias("n")), F.col("page_id") == F.col("_id"))
     return rows.select(F.col("page_id").alias("doc_id"), *[c.alias(n) for n, c in candidates.quality_metrics(F.col("n"), F.col("body_bytes"), F.col("text")).items()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .adapters import REF, reference_question
 
+# The fields of cached results and of benchmark rows, the engines, and what parts a question from its URLs.
 RECORD = "array<struct<url:string,title:string,snippet:string>>"
 ENGINES = ("searxng", "ddg_lite", "marginalia")
 CACHE = f"question string, source_url string, answer string, engine_results map<string,{RECORD}>, cached_at string, exit_code int"
