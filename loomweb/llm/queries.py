@@ -161,8 +161,11 @@ from i left join base using (row) left join every using (row)
 
 OP2_SQL = """
 with d as (select doc_id, row_number() over () as row, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
-s as (select row, unnest(range(0, greatest(0, length(h) // 2 - 199))) as i from d),
-k as (select row, i, md5(substr(h, 2 * i + 1, 400)) as m from s join d using (row)),
+l as (select row, h, length(h) // 2 - 199 as n from d where length(h) >= 400),
+c as (select row, n, h, unnest(range(0, (n + 499) // 500)) as part from l),
+p as (select row, 500 * part as low, least(500, n - 500 * part) as size, substr(h, 1000 * part + 1, 1398) as bytes from c),
+s as (select row, low, bytes, unnest(range(0, size)) as j from p),
+k as (select row, low + j as i, md5(substr(bytes, 2 * j + 1, 400)) as m from s),
 x as (select row, i from k where m in (select m from k group by m having count(*) > 1)),
 g as (select row, i, coalesce(i > lag(i) over w + 200, true) as fresh from x window w as (partition by row order by i)),
 n as (select row, i, sum(fresh::int) over (partition by row order by i) as span from g),
