@@ -204,5 +204,34 @@ select doc_id, n_words::bigint as n_words, chars::bigint as word_chars, four[4]:
 """
 
 
+def op7_sql() -> str:
+    """Every piece of every item scored against every passage, and the verification on lists of words."""
+    d = decontaminate
+    words = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = "list_distinct(list_transform(range(1, greatest(1, len({0}) - {1} + 1) + 1), lambda place: array_to_string({0}[place : place + {1} - 1], ' ')))"
+    return rf"""
+with d as (select doc_id, row_number() over () as row, {words.format('text')} as ws from documents),
+i0 as (select item_id, row_number() over () as item, text, {words.format('text')} as iw from benchmark),
+i1 as (select *, len(iw) as n, len({words.format(r"regexp_extract(text, '(?s)^(.*?)(?:[.?!]\s|\n|$)', 1)")}) as q from i0 where len(iw) > 0),
+i as (select item_id, item, iw, n, case when q = 0 or q = n then (n + 1) // 2 else q end as q from i1),
+pc as (select item, iw, n, (n + {d.PIECE - 1}) // {d.PIECE} as k, unnest(range(0, (n + {d.PIECE - 1}) // {d.PIECE})) as j from i),
+pw as (select item, item * 100000 + j as piece, unnest(iw[n * j // k + 1 : n * (j + 1) // k]) as w, n * (j + 1) // k - n * j // k as size from pc),
+tf as (select item, piece, w, size, count(*) as tf from pw group by all),
+df as (select w, count(*) as df from tf group by 1),
+tot as (select count(*) as n, avg(size) as mean from (select distinct piece, size from tf)),
+x0 as (select item, piece, w, ln(1 + (tot.n - df + 0.5) / (df + 0.5)) * tf * ({d.K1} + 1) / (tf + {d.K1} * (1 - {d.B} + {d.B} * size / mean)) as x from tf join df using (w), tot),
+x as (select item, piece, w, x / sum(x) over (partition by piece) as x from x0),
+p as (select distinct row, s, (place - 1 + s) // {d.PASSAGE} as p, ws[place] as w from (select row, ws, unnest(range(1, len(ws) + 1)) as place from d), (select unnest([0, {d.PASSAGE // 2}]) as s)),
+sc as (select row, s, p, item, piece, sum(x) as score from p join x using (w) group by all having sum(x) >= {d.THRESHOLD}),
+be as (select row, item, p * {d.PASSAGE} - s as start, max(score) as score from sc group by all),
+re as (select be.row, doc_id, item_id, i.item, score, greatest(0, start) as first, iw, n, q, ws[greatest(0, greatest(0, start) - n) + 1 : start + {d.PASSAGE} + n] as region from be join d using (row) join i using (item)),
+g as (select *, list_distinct(iw[1 : q]) as qs, list_distinct(case when q < n then iw[q + 1 :] else iw[1 : q] end) as an, list_distinct(region) as there, {grams.format('iw', 'least(2, n)')} as ip, {grams.format('region', 'least(2, n)')} as rp,
+ {grams.format('iw', f'least({d.SHINGLE}, n)')} as ish, {grams.format('region', f'least({d.SHINGLE}, n)')} as rsh from re),
+v as (select *, len(list_intersect(ish, rsh)) / len(ish)::double as overlap from g where len(list_intersect(qs, there)) >= {d.PART_OVERLAP} * len(qs) and len(list_intersect(an, there)) >= {d.PART_OVERLAP} * len(an) and len(list_intersect(ip, rp)) >= {d.PAIR_OVERLAP} * len(ip)),
+b as (select *, row_number() over (partition by row, item order by overlap desc, round(score, 9) desc, first) as best from v)
+select doc_id, item_id, round(score, 9) as score, overlap, first::bigint as first_word from b where best = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op9_quality_rules": op9_sql()}
+    return {"op1_license_scan": op1_sql(), "op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op7_benchmark_decontamination": op7_sql(), "op9_quality_rules": op9_sql()}

@@ -84,7 +84,7 @@ def test_windows_keep_their_budget(spark):
 def test_sql_twins(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for name in ("pages", "conversations", "documents"):
+    for name in ("pages", "conversations", "documents", "benchmark"):
         db.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         a, b = queries.queries()[name](spark, sf).toPandas(), db.execute(sql).df()
