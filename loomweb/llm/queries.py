@@ -204,6 +204,40 @@ select doc_id, n_words::bigint as n_words, chars::bigint as word_chars, four[4]:
 """
 
 
+def op6_sql() -> str:
+    """Rules, exact n-gram counts of accepted and rejected texts, and the cut between the held-out ones."""
+    u = url_filter
+    n = u.ORDERS
+    rules = ", ".join(f"({_text(r)}, {_text(r.split('/', 1)[0])}, {_text('/' + r.split('/', 1)[1])}, {_text(v)})" for v, r in u.RULES)
+    each = " union all ".join(f"select row, i, {k} as k, substr(padded, i + {n - 1 - k}, {k + 1}) as gram, substr(padded, i + {n - 1 - k}, {k}) as context from c" for k in range(n))
+
+    def chance(cls: str) -> str:
+        p = "(1 / 256.0::double)"
+        for k in range(n):
+            p = f"((g{cls}[{k + 1}] + {u.WEIGHT} * {p}) / (c{cls}[{k + 1}] + {u.WEIGHT}))"
+        return p
+
+    return rf"""
+with r(rule, own, start, what) as (values {rules}),
+u as (select page_id, row_number() over () as row, case when contains(url, '://') then regexp_replace(url, '^.*?://', '', 's') else '' end as rest from pages),
+h as (select page_id, row, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+m as (select h.*, host || path as raw, f.rule, f.what from h left join (select row, arg_max(rule, length(rule)) as rule, arg_max(what, length(rule)) as what from h join r on (host = own or ends_with(host, '.' || own)) and starts_with(path, start) group by 1) f using (row)),
+t as (select *, lower(raw) as txt, ('0x' || substr(md5(raw), 1, 7))::bigint % {u.FOLDS} = 0 as held from m),
+c as (select row, txt, repeat(chr(1), {n - 1}) || txt as padded, unnest(range(1, length(txt) + 1)) as i from t),
+e as ({each}),
+l as (select k, gram, context, what = 'block' as bad from e join t using (row) where what is not null and not held),
+g as (select k, gram, count(*) filter (not bad) as a, count(*) filter (bad) as b from l group by 1, 2),
+x as (select k, context, count(*) filter (not bad) as a, count(*) filter (bad) as b from l group by 1, 2),
+s as (select row, i, list(coalesce(g.a, 0) order by e.k) as ga, list(coalesce(g.b, 0) order by e.k) as gb, list(coalesce(x.a, 0) order by e.k) as ca, list(coalesce(x.b, 0) order by e.k) as cb from e left join g on g.k = e.k and g.gram = e.gram left join x on x.k = e.k and x.context = e.context group by 1, 2),
+z as (select t.*, coalesce(score, 0) as score from t left join (select row, sum(ln({chance('a')}) - ln({chance('b')})) / count(*) as score from s group by 1) using (row)),
+v as (select what = 'block' as bad, least(greatest(floor((score + {u.REACH}) * {u.BINS / (2 * u.REACH)}), 0), {u.BINS - 1}) as bin from z where what is not null and held),
+o as (select cut, count(*) filter (not bad and bin < cut) / nullif(count(*) filter (not bad), 0)::double + 1 - count(*) filter (bad and bin < cut) / nullif(count(*) filter (bad), 0)::double as error from v, (select unnest(range(0, {u.BINS + 1})) as cut) group by 1),
+w as (select list(cut order by cut) as cuts from o where error <= (select min(error) from o) + 1e-12),
+y as (select case when len(cuts) > 0 then -{u.REACH} + cuts[len(cuts) // 2 + 1] * {2 * u.REACH / u.BINS} else 0 end as bar, (select count(distinct bad) from l) = 2 as two from w)
+select page_id, host, path, rule, case when what is not null then what when two and raw <> '' and score < bar then 'block' else 'allow' end as verdict, case when what is null then round(score, 6) end as score from z, y
+"""
+
+
 def op7_sql() -> str:
     """Every piece of every item scored against every passage, and the verification on lists of words."""
     d = decontaminate
@@ -234,4 +268,4 @@ select doc_id, item_id, round(score, 9) as score, overlap, first::bigint as firs
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op7_benchmark_decontamination": op7_sql(), "op9_quality_rules": op9_sql()}
+    return {"op1_license_scan": op1_sql(), "op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_url_filter": op6_sql(), "op7_benchmark_decontamination": op7_sql(), "op9_quality_rules": op9_sql()}
